@@ -42,7 +42,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     gc.collect()  # the frames before it are done with: Spark may now delete their shuffle files
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``written`` made, once what was made from them is written too."""
+    for df in frames:
+        drop_path(df.sparkSession, df.written_to)
 
 
 def text_key(text: Column) -> Column:

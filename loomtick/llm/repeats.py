@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtick.llm.common import text_key, written
+from loomtick.llm.common import discard, text_key, written
 
 LENGTH = 400
 #: Bytes of the rolling hash, and how far before a trigger a place may lie.
@@ -226,21 +226,26 @@ def _cut_finer(rows: DataFrame, length: int, grid: int) -> DataFrame:
 
 
 def _classes(bands: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(bands that are repeated as a whole, bands to cut finer) of the bands of one step.
+    """(bands that are repeated as a whole, bands to cut finer by text) of the bands of one step.
 
     Of each class only one band goes on; ``live`` says whether it is still open.
     Counts are summed before each shuffle, and joins are between written tables, so
-    a string that very many texts share is spread.
+    a string that very many texts share is spread.  ``bands`` is discarded.
     """
     cores = written(bands.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), name + "-cores")
-    kept = written(bands.join(cores, "core", "left_semi"), name + "-bands")
+    kept = written(bands.join(cores, "core", "left_semi"), name + "-kept")
+    discard(bands, cores)
     one = F.min(F.struct("k1", "k2", "t", "lo", "hi")).alias("one")
     classes = written(kept.groupBy("core", "reach").agg(F.count(F.lit(1)).alias("n"), F.max("live").alias("live"), one), name + "-classes")
     repeated = kept.where("live").join(classes.where("n > 1").select("core", "reach"), ["core", "reach"], "left_semi").select("k1", "k2", "lo", "hi")
+    repeated = written(repeated.distinct(), "repeated")
+    discard(kept)
     is_open = (F.col("n") == 1) & F.col("live")
     open_cores = written(classes.where(is_open).select("core").distinct(), name + "-open")
     finer = classes.join(open_cores, "core", "left_semi").select("one.*", is_open.alias("live"))
-    return repeated, finer
+    lists = written(finer.groupBy("k1", "k2").agg(F.collect_list(F.struct("t", "lo", "hi", "live")).alias("bands")), "lists")
+    discard(classes, open_cores)
+    return repeated, lists
 
 
 def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -250,25 +255,23 @@ def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     texts = docs.select(*_halves(text_key(F.col("text"))), F.col("text").cast("string").alias("text"))
     long_enough = texts.where(F.octet_length("text") >= length)
-    bands = written(_parsed(long_enough, length, GRIDS[0]), "bands").withColumn("live", F.lit(True))
-    repeated, finer = _classes(bands, "bands")
-    found = [written(repeated.distinct(), "repeated")]
-    rows = None
+    parsed = _parsed(long_enough, length, GRIDS[0]).withColumn("live", F.lit(True))
+    repeated, lists = _classes(written(parsed, "bands"), "bands")
+    found = [repeated]
+    one = long_enough.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    rows = written(one.join(lists, ["k1", "k2"]), "open-texts")
     for grid in GRIDS[1:]:
-        lists = written(finer.groupBy("k1", "k2").agg(F.collect_list(F.struct("t", "lo", "hi", "live")).alias("bands")), "lists")
-        if rows is None:
-            one = long_enough.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-            rows = written(one.join(lists, ["k1", "k2"]), "open-texts")
-            source = rows
-        else:
-            source = rows.drop("bands").join(lists, ["k1", "k2"])
-        bands = written(_cut_finer(source.select("k1", "k2", "text", "bands"), length, grid), "bands")
+        bands = written(_cut_finer(rows.select("k1", "k2", "text", "bands"), length, grid), "bands")
+        discard(lists)
         if grid > 1:
-            repeated, finer = _classes(bands, f"bands{grid}")
+            repeated, lists = _classes(bands, f"bands{grid}")
+            before, rows = rows, written(rows.drop("bands").join(lists, ["k1", "k2"]), "open-texts")
+            discard(before)
         else:  # single places: equal names are equal strings
             twice = written(bands.groupBy("core", "reach").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "reach"), "strings")
-            repeated = bands.where("live").join(twice, ["core", "reach"], "left_semi").select("k1", "k2", "lo", "hi")
-        found.append(written(repeated.distinct(), "repeated"))
+            repeated = written(bands.where("live").join(twice, ["core", "reach"], "left_semi").select("k1", "k2", "lo", "hi").distinct(), "repeated")
+            discard(bands, twice, rows)
+        found.append(repeated)
     return functools.reduce(DataFrame.unionByName, found)
 
 
@@ -294,7 +297,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fal
     have equal results: they are worked out once and joined back to the rows.
     """
     places = repeated_places(docs, length)
-    lists = written(places.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "starts")
+    lists = written(places.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "starts")  # places are distinct from step to step
     texts = docs.select(*_halves(text_key(F.col("text"))), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     one = texts.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(lists, ["k1", "k2"], "left").select("k1", "k2", "text", "starts")
 
