@@ -121,18 +121,41 @@ class Shard:
 
 # --- encoding -----------------------------------------------------------------
 
-#: White space of every Unicode version; a text with any other white space is encoded in one piece.
-_UNIT = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-_ODD_SPACE = re.compile(r"[^\S \n\t\r]|[\x1c-\x1f᠎​⁠﻿]")
+# Texts are cut only where every match of a byte-level pattern ends anyway: from a
+# character that is not white space to one that is, and from letters or digits to
+# the marks of _MARKS.  Both hold whatever follows.
+_LETTERS = "A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_MARKS = r".,!|*$%&#"
+_UNIT = re.compile(rf"[ \n\t\r]*[{_LETTERS}]+(?=[ \n\t\r{_MARKS}]|\Z)|[{_MARKS}]+(?=[ \n\t\r]|\Z)|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+#: Other white space (which Unicode versions and libraries tell differently): such a text is encoded in one piece.
+_ODD_SPACE = re.compile(r"[^\S \n\t\r]|[\x1c-\x1f\u180e\u200b\u2060\ufeff]")
+_ODD_BYTES = b"\x0b\x0c\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3\xef"  # every such character has one of these in UTF-8
+
+
+def _odd(text: str) -> bool:
+    data = text.encode()
+    return len(data.translate(None, _ODD_BYTES)) != len(data) and _ODD_SPACE.search(text) is not None
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+#: Words whose ids are kept, twice: those of lately, and those before them.
 _UNITS_KEPT = 400_000
+#: Characters of text whose words are looked up together.
+_SLICE_CHARS = 1 << 20
 
 
 class Tokens:
-    """Ids of texts by the tokenizers library, each distinct word encoded once.
+    """Ids of texts by the tokenizers library, each distinct word encoded once in a while.
 
-    A byte-level pattern never matches from a character that is not white space
-    into white space, so white space with the word after it is encoded alike
-    wherever it stands.
+    What stands between two places of certain cuts is encoded alike wherever it
+    stands, so its ids are kept for a while.  The vocabulary is byte-level, its
+    pattern that of ``public_tokenizers.PATTERN``.
     """
 
     def __init__(self, path: str):
@@ -141,24 +164,48 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
-
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def ids(self, text: str) -> list[int]:
-        if _ODD_SPACE.search(text):
-            return self.whole(text)
-        units, known, out = _UNIT.findall(text), self.known, []
-        if new := [u for u in dict.fromkeys(units) if u not in known]:
-            if len(known) > _UNITS_KEPT:
-                known.clear()
-                new = list(dict.fromkeys(units))
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            known.update((u, e.ids) for u, e in zip(new, found, strict=True))
-        for u in units:
-            out += known[u]
-        return out
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.known) > _UNITS_KEPT:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
+        for w in words.difference(known):
+            if (ids := older.get(w)) is None:
+                new.append(w)
+            else:
+                known[w] = ids
+        merge, letters, mixed = self.model.tokenize, self.letters, []
+        for w in new:
+            if w.removeprefix(" ").isalpha():  # one match of the pattern: straight to the library's merges
+                ids = [t.id for t in merge(w.encode().decode("latin-1").translate(letters))]
+                known[w] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                mixed.append(w)
+        for w, e in zip(mixed, self.tokenizer.encode_batch_fast(mixed, add_special_tokens=False), strict=True):
+            known[w] = struct.pack(f"<{len(e)}I", *e.ids)
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        start = 0
+        while start < len(texts):
+            stop, size = start, 0
+            while stop < len(texts) and (stop == start or size + len(texts[stop]) <= _SLICE_CHARS):
+                size += len(texts[stop])
+                stop += 1
+            units = [None if _odd(t) else _UNIT.findall(t) for t in texts[start:stop]]
+            self._learn(set().union(*(u for u in units if u is not None)))
+            get = self.known.__getitem__
+            for text, own in zip(texts[start:stop], units, strict=True):
+                yield np.frombuffer(self.whole(text) if own is None else b"".join(map(get, own)), "<u4")
+            start = stop
 
 
 @functools.lru_cache(maxsize=2)
@@ -188,8 +235,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, p
         size = 0
         shard = lambda: pa.RecordBatch.from_arrays([pa.array([encode_shard(part, seq, names, lists)], pa.binary())], ["shard"])
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*tok.ids(text.as_py() or ""), end_id], np.uint32)
+            for name, found in zip(batch.column(0).to_pylist(), tok.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids = np.append(found, np.uint32(end_id))
                 if size and size + len(ids) > shard_ids:
                     yield shard()
                     seq, names, lists, size = seq + 1, [], [], 0
