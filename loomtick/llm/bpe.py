@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtick.llm.common import text_slices
+
 #: A text longer than this is encoded in segments of about this many characters.
 SEGMENT_CHARS = 1 << 16
 
@@ -65,7 +67,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             ids = [encode_text(enc, t or "").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -82,7 +84,7 @@ def digests(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             rows = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtick.llm.common import fresh, text_key, written
+from loomtick.llm.common import fresh, text_key, text_slices, written
 from loomtick.llm.graph import components
 
 WORDS = 5
@@ -70,7 +70,7 @@ class Shingler:
         if not words:
             return np.empty(0, np.uint64)
         known = self.known
-        if len(known) > 1_000_000:
+        if len(known) > 300_000:
             known.clear()
         for w in words:
             if w not in known:
@@ -106,7 +106,7 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in batches:
+        for batch in text_slices(batches, 2):
             sizes, found = [], []
             for value in batch.column(2):
                 text = value.as_py() or ""
@@ -212,7 +212,7 @@ def verified_links(docs: DataFrame, clusters: DataFrame, texts: DataFrame, thres
             out.extend((keys[a], keys[b], None) for a, b in forest)
 
         packed = lambda: pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], ["a", "b", "n"])
-        for batch in batches:
+        for batch in text_slices(batches, 5):
             head = list(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True))
             for (cluster, i, j, side, key), value in zip(head, batch.column(5), strict=True):
                 if at != (cluster, i, j):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtick.llm.common import text_key, written
+from loomtick.llm.common import text_key, text_slices, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -109,7 +109,7 @@ def protected(docs: DataFrame, near: int = NEAR) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near_type = pa.list_(pa.struct([("term", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("entity", pa.binary())]))
-        for batch in batches:
+        for batch in text_slices(batches, 2):
             base, close = [], []
             for value in batch.column(2):
                 text = value.as_py() or ""

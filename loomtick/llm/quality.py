@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtick.llm.common import text_slices
+
 WINDOW = 5
 #: Repeated substrings from this many words on count as covered.
 MIN_REPEAT = 10
@@ -190,7 +192,7 @@ def _measured(rows: DataFrame, head: str, min_repeat: int, max_covered: float, m
     name = head.split()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             m = measure([t or "" for t in batch.column(1).to_pylist()], min_repeat)
             failed, bad = _verdict(m, max_covered, max_repeat, max_fraction)
             cols = [batch.column(0), *(pa.array(m[k]) for k in _MEASURES), pa.array(failed), pa.array(~failed & ~bad), pa.array(m["covered_words"]), pa.array(m["longest_repeat"])]
@@ -209,7 +211,7 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, at):
             m = measure([t or "" for t in batch.column(at).to_pylist()], limits["min_repeat"])
             failed, bad = _verdict(m, limits["max_covered"], limits["max_repeat"], limits["max_repeat_fraction"])
             yield batch.filter(pa.array(~failed & ~bad))

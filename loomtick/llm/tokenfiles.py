@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtick.llm.common import new_path, written
+from loomtick.llm.common import new_path, text_slices, written
 
 MAGIC = b"LTD1"
 _HEAD = struct.Struct("<4sqqqqB")  # magic, part, sequence, documents, ids, levels
@@ -234,7 +234,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, p
         lists: list[np.ndarray] = []
         size = 0
         shard = lambda: pa.RecordBatch.from_arrays([pa.array([encode_shard(part, seq, names, lists)], pa.binary())], ["shard"])
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             for name, found in zip(batch.column(0).to_pylist(), tok.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 ids = np.append(found, np.uint32(end_id))
                 if size and size + len(ids) > shard_ids:

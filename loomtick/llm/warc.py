@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtick.llm.common import new_path, written
+from loomtick.llm.common import new_path, text_slices, written
 
 #: An empty gzip member: what the writer puts after every record.
 RECORD_END = bytes([31, 139, 8, 0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
@@ -120,7 +120,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_reco
     """Write one record for each row of ``pages`` (page_id, url, html); a null html is an empty payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 2, 8 << 20):
             out = []
             for i in range(batch.num_rows):
                 page_id, url, payload, hexed, refers_to, revisit = (batch.column(c)[i].as_py() for c in range(6))
