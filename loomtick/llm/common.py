@@ -39,13 +39,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
+def written(df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder and read it back.
+
+    ``tidy`` also lets go of the shuffle files of the frames before it.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    gc.collect()  # the frames before it are done with: Spark may now delete their shuffle files
-    spark._jvm.System.gc()
+    if tidy:  # Spark deletes the shuffle files of frames that are garbage
+        gc.collect()
+        spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
