@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtick.llm.common import text_slices
+from loomtick.llm.common import in_arrow, text_slices
 
 #: A text longer than this is encoded in segments of about this many characters.
 SEGMENT_CHARS = 1 << 16
@@ -71,7 +71,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
             ids = [encode_text(enc, t or "").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).transform(in_arrow, run, "doc_id long, ids binary")
 
 
 def decode_ids(enc, ids: bytes) -> bytes:
@@ -96,4 +96,4 @@ def digests(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.transform(in_arrow, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

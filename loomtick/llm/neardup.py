@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtick.llm.common import fresh, text_key, text_slices, written
+from loomtick.llm.common import fresh, in_arrow, text_key, text_slices, written
 from loomtick.llm.graph import components
 
 WORDS = 5
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "n_chars", "bands"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, key binary, n_chars long, bands array<long>")
+    return picked.transform(in_arrow, run, "doc_id long, key binary, n_chars long, bands array<long>")
 
 
 def candidate_clusters(texts: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def verified_links(docs: DataFrame, clusters: DataFrame, texts: DataFrame, thres
             close()
         yield packed()
 
-    return dealt.mapInArrow(run, "a binary, b binary, n long")
+    return dealt.transform(in_arrow, run, "a binary, b binary, n long")
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block_texts: int = BLOCK_TEXTS) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtick.llm.common import text_key, text_slices, written
+from loomtick.llm.common import in_arrow, text_key, text_slices, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -119,7 +119,7 @@ def protected(docs: DataFrame, near: int = NEAR) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.string()), pa.array(close, near_type)], ["doc_id", "key", "base", "near"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key binary, base string, near array<struct<term:string,a:long,b:long,entity:binary>>")
+    return rows.transform(in_arrow, run, "doc_id long, key binary, base string, near array<struct<term:string,a:long,b:long,entity:binary>>")
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
                     counts.clear()
         yield packed()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    return docs.select(F.col("text").cast("string")).transform(in_arrow, run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def disclosing(rows: DataFrame, docs: DataFrame, disclosure: float = 0.8, min_documents: int = 3) -> DataFrame:
@@ -211,4 +211,4 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).distinct()
     both = rows.join(found.withColumnRenamed("doc_id", "_id"), rows["doc_id"].eqNullSafe(F.col("_id"))).select("doc_id", "text", "base_sha256", "spans", "removed")
-    return both.mapInArrow(run, "doc_id long, text string")
+    return both.transform(in_arrow, run, "doc_id long, text string")

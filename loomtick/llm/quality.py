@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtick.llm.common import text_slices
+from loomtick.llm.common import in_arrow, text_slices
 
 WINDOW = 5
 #: Repeated substrings from this many words on count as covered.
@@ -24,7 +24,7 @@ MIN_REPEAT = 10
 #: Largest covered fraction of the words, and longest repeated substring in words and as a fraction of the text.
 MAX_COVERED = 0.2
 MAX_REPEAT = 60
-MAX_REPEAT_FRACTION = 0.1
+MAX_REPEAT_FRACTION = 0.05
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: Words whose suffixes are sorted together; a longer text is sorted alone.
 GROUP_WORDS = 1 << 18
@@ -198,7 +198,7 @@ def _measured(rows: DataFrame, head: str, min_repeat: int, max_covered: float, m
             cols = [batch.column(0), *(pa.array(m[k]) for k in _MEASURES), pa.array(failed), pa.array(~failed & ~bad), pa.array(m["covered_words"]), pa.array(m["longest_repeat"])]
             yield pa.RecordBatch.from_arrays(cols, [name, *_MEASURES, "base_failed", "kept", "covered_words", "longest_repeat"])
 
-    return rows.mapInArrow(run, f"{head}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, covered_words long, longest_repeat long")
+    return rows.transform(in_arrow, run, f"{head}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, covered_words long, longest_repeat long")
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
@@ -216,4 +216,4 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
             failed, bad = _verdict(m, limits["max_covered"], limits["max_repeat"], limits["max_repeat_fraction"])
             yield batch.filter(pa.array(~failed & ~bad))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow, run, docs.schema)

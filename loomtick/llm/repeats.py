@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtick.llm.common import discard, text_key, written
+from loomtick.llm.common import discard, in_arrow, text_key, written
 
 LENGTH = 400
 #: Bytes of the rolling hash, and how far before a trigger a place may lie.
@@ -39,8 +39,19 @@ ROLL = 16
 REACH = 192
 #: A trigger is a hash with so many leading zero bits: phrases of 128 bytes, then finer ones where none is in reach.
 TRIGGERS = (7, 5, 2)
-#: Widths of the bands, from step to step.
-GRIDS = (192, 24, 1)
+
+
+def steps(length: int) -> tuple[int, ...]:
+    """Widths of the bands from step to step; the first is how far before its trigger a place may lie.
+
+    A trigger in reach has to lie within the string with all the bytes it depends on.
+    """
+    if length < 4 * ROLL:
+        raise ValueError(f"strings have at least {4 * ROLL} bytes")
+    reach = min(REACH, (length - ROLL) // 2)
+    return reach, max(2, reach // 8), 1
+
+
 #: Bytes taken at a time.
 PIECE = 1 << 20
 
@@ -71,7 +82,7 @@ class Piece:
 
     def __init__(self, data: np.ndarray):
         self.n = len(data)
-        self.tables = _tables(PIECE + 2 * (LENGTH + REACH + ROLL) if self.n <= PIECE + 2 * (LENGTH + REACH + ROLL) else self.n)
+        self.tables = _tables(max(self.n, PIECE + 4096))
         self.sums = []
         for values, powers, _ in self.tables:
             s = np.zeros(self.n + 1, np.uint64)
@@ -95,17 +106,17 @@ def _next(flags: np.ndarray, n: int) -> np.ndarray:
     return np.minimum.accumulate(out[::-1])[::-1]
 
 
-def first_bands(piece: Piece, places: np.ndarray, grid: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def first_bands(piece: Piece, places: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(trigger, first place, last place) of each band of the places, which ascend."""
     h = piece.rolling()
     trigger = places.copy()
     open_ = np.ones(len(places), bool)
     for bits in TRIGGERS:
         at = _next((h >> np.uint64(64 - bits)) == 0, piece.n)[places]
-        use = open_ & (at - places < REACH)
+        use = open_ & (at - places < reach)
         trigger[use] = at[use]
         open_ &= ~use
-    return _runs(places, trigger, grid)
+    return _runs(places, trigger, reach)
 
 
 def _runs(places: np.ndarray, trigger: np.ndarray, grid: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,34 +155,34 @@ def fingerprints(piece: Piece, trigger: np.ndarray, low: np.ndarray, high: np.nd
     return core.view(np.int64), reach.view(np.int64)
 
 
-def _pieces(n: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+def _pieces(n: int, length: int, reach: int) -> Iterator[tuple[int, int, int, int]]:
     """(from, to, first place, places' end) of the parts of a text of n bytes."""
     stop = n - length + 1
     for first in range(0, max(0, stop), PIECE):
         last = min(first + PIECE, stop)
-        yield max(0, first - REACH), min(n, last + length + REACH + ROLL), first, last
+        yield max(0, first - reach), min(n, last + length + reach + ROLL), first, last
 
 
-def text_bands(data: bytes, length: int, grid: int) -> Iterator[tuple[np.ndarray, ...]]:
+def text_bands(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(core, reach, trigger, low, high) of the bands of a whole text, part by part."""
-    array = np.frombuffer(data, np.uint8)
-    for a, b, first, last in _pieces(len(data), length):
+    array, widest = np.frombuffer(data, np.uint8), steps(length)[0]
+    for a, b, first, last in _pieces(len(data), length, widest):
         piece = Piece(array[a:b])
-        t, lo, hi = first_bands(piece, np.arange(first - a, last - a), grid)
-        core, reach = fingerprints(piece, t, lo, hi, grid, -a, len(data) - a, length)
+        t, lo, hi = first_bands(piece, np.arange(first - a, last - a), widest)
+        core, reach = fingerprints(piece, t, lo, hi, widest, -a, len(data) - a, length)
         yield core, reach, t + a, lo + a, hi + a
 
 
 def list_bands(data: bytes, bands: np.ndarray, length: int, grid: int) -> Iterator[tuple[np.ndarray, ...]]:
     """The same of a finer grid for chosen bands, given as rows of trigger, low and high; also their number."""
-    array = np.frombuffer(data, np.uint8)
+    array, widest = np.frombuffer(data, np.uint8), steps(length)[0]
     order = np.argsort(bands[:, 1], kind="stable")
-    for a, b, first, last in _pieces(len(data), length):
+    for a, b, first, last in _pieces(len(data), length, widest):
         lo, hi = np.searchsorted(bands[order, 1], (first, last))
         pick = order[lo:hi]
         if not len(pick):
             continue
-        b = min(len(data), b + REACH)  # a band may go on behind the part
+        b = min(len(data), b + widest)  # a band may go on behind the part
         piece = Piece(array[a:b])
         t, x, y, of = narrower(bands[pick, 0] - a, bands[pick, 1] - a, bands[pick, 2] - a, grid)
         core, reach = fingerprints(piece, t, x, y, grid, -a, len(data) - a, length)
@@ -188,7 +199,7 @@ def _halves(key: Column) -> list[Column]:
     return [as_long(1).alias("k1"), as_long(9).alias("k2")]
 
 
-def _parsed(rows: DataFrame, length: int, grid: int) -> DataFrame:
+def _parsed(rows: DataFrame, length: int) -> DataFrame:
     """The bands of (k1, k2, text): a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +207,7 @@ def _parsed(rows: DataFrame, length: int, grid: int) -> DataFrame:
             parts: list[list[np.ndarray]] = []
             size = 0
             for k1, k2, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for found in text_bands(value.as_buffer().to_pybytes() if value.is_valid else b"", length, grid):
+                for found in text_bands(value.as_buffer().to_pybytes() if value.is_valid else b"", length):
                     n = len(found[0])
                     parts.append([np.full(n, k1), np.full(n, k2), *found])
                     size += n
@@ -206,7 +217,7 @@ def _parsed(rows: DataFrame, length: int, grid: int) -> DataFrame:
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], _NAMES)
 
-    return rows.mapInArrow(run, _BANDS)
+    return rows.transform(in_arrow, run, _BANDS)
 
 
 def _cut_finer(rows: DataFrame, length: int, grid: int) -> DataFrame:
@@ -222,7 +233,7 @@ def _cut_finer(rows: DataFrame, length: int, grid: int) -> DataFrame:
                     n = len(of)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k1.as_py())), pa.array(np.full(n, k2.as_py())), *map(pa.array, found), pa.array(live[of])], [*_NAMES, "live"])
 
-    return rows.mapInArrow(run, _BANDS + ", live boolean")
+    return rows.transform(in_arrow, run, _BANDS + ", live boolean")
 
 
 def _classes(bands: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -255,12 +266,12 @@ def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     texts = docs.select(*_halves(text_key(F.col("text"))), F.col("text").cast("string").alias("text"))
     long_enough = texts.where(F.octet_length("text") >= length)
-    parsed = _parsed(long_enough, length, GRIDS[0]).withColumn("live", F.lit(True))
+    parsed = _parsed(long_enough, length).withColumn("live", F.lit(True))
     repeated, lists = _classes(written(parsed, "bands"), "bands")
     found = [repeated]
     one = long_enough.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     rows = written(one.join(lists, ["k1", "k2"]), "open-texts")
-    for grid in GRIDS[1:]:
+    for grid in steps(length)[1:]:
         bands = written(_cut_finer(rows.select("k1", "k2", "text", "bands"), length, grid), "bands")
         discard(lists)
         if grid > 1:
@@ -319,7 +330,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fal
             types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
-    made = written(one.mapInArrow(run, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string, kept binary"), "kept")
+    made = written(one.transform(in_arrow, run, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string, kept binary"), "kept")
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_halves(text_key(F.col("text"))))
     out = keys.join(made, ["k1", "k2"])
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept"] * keep_text)

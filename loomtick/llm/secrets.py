@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtick.llm.common import text_slices
+from loomtick.llm.common import in_arrow, text_slices
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -214,4 +214,4 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
             types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_unwrapped", "layers", "n_unread"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_unwrapped long, layers string, n_unread long")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).transform(in_arrow, run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_unwrapped long, layers string, n_unread long")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtick.llm.common import new_path, text_slices, written
+from loomtick.llm.common import in_arrow, new_path, text_slices, written
 
 MAGIC = b"LTD1"
 _HEAD = struct.Struct("<4sqqqqB")  # magic, part, sequence, documents, ids, levels
@@ -169,8 +169,11 @@ class Tokens:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def whole_ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.whole_ids(text), "<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
         if len(self.known) > _UNITS_KEPT:
@@ -246,7 +249,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, p
         if names:
             yield shard()
 
-    shards = rows.mapInArrow(run, "shard binary")
+    shards = rows.transform(in_arrow, run, "shard binary")
     shards.select(F.col("shard").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
     return path
 
@@ -268,7 +271,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.where("length > 0").select("content").mapInArrow(run, "part long, seq long, k long, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+    return files.where("length > 0").select("content").transform(in_arrow, run, "part long, seq long, k long, doc_id long, local_start long, n_tokens long, ids_crc32 long")
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtick.llm.common import new_path, text_slices, written
+from loomtick.llm.common import in_arrow, new_path, text_slices, written
 
 #: An empty gzip member: what the writer puts after every record.
 RECORD_END = bytes([31, 139, 8, 0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
@@ -127,7 +127,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_reco
                 out.append(record(page_id, url, payload, base64.b32encode(bytes.fromhex(hexed)).decode(), refers_to, revisit))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    made = with_revisits(pages, min_bytes).mapInArrow(run, "record binary")
+    made = with_revisits(pages, min_bytes).transform(in_arrow, run, "record binary")
     writer = made.select(F.col("record").cast("string")).write.option("maxRecordsPerFile", archive_records)
     writer.option("lineSep", RECORD_END.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     return path
@@ -153,7 +153,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
     schema = "page_id long, url string, url_key string, record_type string, refers_to long, payload_bytes long, payload_digest string, block_bytes long, block_digest string, file string, offset long, length long"
-    return files.select("path", "content").mapInArrow(run, schema)
+    return files.select("path", "content").transform(in_arrow, run, schema)
 
 
 def checked(captures: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def write_index(captures: DataFrame, path: str, partitions: int | None = None, b
         if kept:
             yield block(kept)
 
-    blocks = lines.mapInArrow(run, "block binary").select(F.col("block").cast("string"))
+    blocks = lines.transform(in_arrow, run, "block binary").select(F.col("block").cast("string"))
     blocks.write.option("lineSep", RECORD_END.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +195,7 @@ def write_index(captures: DataFrame, path: str, partitions: int | None = None, b
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["first", "file", "offset", "length", "n"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
-    return files.select("path", "content").mapInArrow(places, "first string, file string, offset long, length long, n long")
+    return files.select("path", "content").transform(in_arrow, places, "first string, file string, offset long, length long, n long")
 
 
 class CaptureIndex:
