@@ -1,15 +1,400 @@
-"""The registered queries over the driver tables, and their SQL."""
+"""The registered queries over the driver tables, and their SQL.
+
+The tables hold no media, so each operator runs over a stream made of ``events`` (one
+for each user) or over rows of another table.  The relational queries at the end are
+Spark's own, over the same tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from loomtick.functions import quantiles as Q
+from loomtick.operators import evaluation as E
+from loomtick.operators import streams as S
+from loomtick.operators import temporal as T
+from loomtick.operators import timing as M
+
+HOUR = 3_600_000_000
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+#: The event stream and its parts, as SQL.
+STREAM_SQL = """s AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
+ epoch_us(ts) AS pts, value, event_type FROM events)"""
+
+
+def _query(sql: str = ""):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql.replace("{S}", STREAM_SQL)
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _s(spark: SparkSession, d: str) -> DataFrame:
+    return S.event_stream(_t(spark, d, "events"))
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n)
+
+
+
+def _sync():
+    return F.col("event_type") == "purchase"
+
+
+
+@_query("""WITH {S}, c AS (SELECT *, CASE WHEN abs(value - lag(value) OVER w) > 200 THEN 1 ELSE 0 END AS cut FROM s WINDOW w AS (PARTITION BY stream_id ORDER BY pos)),
+g AS (SELECT *, sum(cut) OVER (PARTITION BY stream_id ORDER BY pos) AS segment_id FROM c)
+SELECT stream_id, segment_id::BIGINT AS segment_id, count(*) AS n, round(avg(value), 6) AS mean, list_sort(list(value))[floor(0.9 * (count(*) - 1))::INT + 1] AS p90 FROM g GROUP BY 1, 2""")
+def segments_summary(spark, d):
+    s = S.with_segments(_s(spark, d), S.jump(200))
+    return s.groupBy("stream_id", "segment_id").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("value")).alias("mean"), Q.nearest_lower(F.collect_list("value"), 0.9).alias("p90"))
+
+
+
+def _embedded():
+    return W.partitionBy("label").orderBy("vec_id")
+
+
+
+@_query("""WITH p AS (SELECT vec_id, label, embedding AS b, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS a FROM embeddings),
+m AS (SELECT vec_id, label, CASE WHEN a IS NOT NULL THEN list_sum(list_transform(list_zip(a, b), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) / len(b) END AS mad FROM p)
+SELECT vec_id, label, round(mad, 6) AS mad, coalesce(mad > 0.13, false) AS is_cut FROM m""")
+def cut_simple(spark, d):
+    e = _t(spark, d, "embeddings")
+    mad = S.array_mad(F.col("embedding"), F.lag("embedding").over(_embedded()))
+    return e.withColumn("m", mad).select("vec_id", "label", _r("m").alias("mad"), F.coalesce(F.col("m") > 0.13, F.lit(False)).alias("is_cut"))
+
+
+@_query("""WITH b AS (SELECT vec_id, label, list_transform(embedding, lambda v: floor(floor(least(greatest((v::DOUBLE + 1) * 128, 0), 255)) * 32 / 256)) AS bins FROM embeddings),
+h AS (SELECT vec_id, label, list_transform(range(0, 32), lambda k: len(list_filter(bins, lambda x: x = k))::DOUBLE) AS now FROM b),
+p AS (SELECT vec_id, label, now, lag(now) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM h),
+m AS (SELECT vec_id, label, CASE WHEN before IS NOT NULL THEN list_sum(list_transform(list_zip(before, now), lambda x: (x[1] - x[2]) * (x[1] - x[2]) / (x[1] + x[2] + 1e-6))) / (list_sum(before) + 1e-6) END AS chi FROM p)
+SELECT vec_id, label, round(chi, 6) AS chi, coalesce(chi > 0.25, false) AS is_cut FROM m""")
+def cut_hist(spark, d):
+    e = _t(spark, d, "embeddings")
+    scaled = F.transform("embedding", lambda v: F.floor(F.least(F.greatest((v.cast("double") + 1) * 128, F.lit(0.0)), F.lit(255.0))))
+    h = e.select("vec_id", "label", S.histogram(scaled).alias("now")).withColumn("before", F.lag("now").over(_embedded()))
+    return h.withColumn("c", S.chi_square(F.col("before"), F.col("now"))).select("vec_id", "label", _r("c").alias("chi"), F.coalesce(F.col("c") > 0.25, F.lit(False)).alias("is_cut"))
+
+
+@_query("""WITH {S}, f AS (SELECT stream_id * 4 + k AS stream_id, row_number() OVER (PARTITION BY stream_id, k ORDER BY pts, pos) - 1 AS pos,
+ CASE k WHEN 0 THEN pts WHEN 1 THEN pos * 40000 WHEN 2 THEN pos * 40000 + (pos % 3 = 1)::INT WHEN 3 THEN (pos + pos // 7) * 40000 END AS pts FROM s, range(0, 4) r(k)),
+d AS (SELECT *, lead(pts) OVER (PARTITION BY stream_id ORDER BY pos) - pts AS d FROM f),
+c AS (SELECT stream_id, d, count(*) AS c FROM d WHERE d IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT stream_id, arg_min(d, (-c)::HUGEINT * 1000000000000000 + d) AS modal FROM c GROUP BY 1),
+b AS (SELECT d.stream_id, count(*) AS n, min(pts) AS first_pts, max(pts) - min(pts) AS span, min(d) AS d_min, max(d) AS d_max FROM d GROUP BY 1),
+t AS (SELECT d.stream_id, bool_and(modal > 0 AND d % nullif(modal, 0) = 0) AS bm, bool_and(d_min > 0 AND d % nullif(d_min, 0) = 0) AS bn FROM d JOIN m USING (stream_id) JOIN b USING (stream_id) WHERE d IS NOT NULL GROUP BY 1),
+v AS (SELECT b.*, modal, bm, CASE WHEN n = 1 THEN 'single' WHEN d_min <= 0 THEN 'vfr' WHEN d_min = d_max THEN 'exact_cfr'
+ WHEN abs(d_max * (n - 1) - span) <= n - 1 AND abs(d_min * (n - 1) - span) <= n - 1 THEN 'cfr' WHEN bm OR bn THEN 'gapped_cfr' ELSE 'vfr' END AS verdict FROM b LEFT JOIN m USING (stream_id) LEFT JOIN t USING (stream_id))
+SELECT stream_id, n, first_pts::BIGINT AS first_pts, span::BIGINT AS span, (CASE WHEN verdict = 'gapped_cfr' THEN CASE WHEN bm THEN modal ELSE d_min END WHEN verdict = 'exact_cfr' THEN d_min END)::BIGINT AS "interval", verdict FROM v""")
+def timing_verdict(spark, d):
+    s = _s(spark, d)
+    k = s.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    pts = F.when(F.col("k") == 0, F.col("pts")).when(F.col("k") == 1, F.col("pos") * 40000).when(F.col("k") == 2, F.col("pos") * 40000 + (F.col("pos") % 3 == 1).cast("int")).otherwise((F.col("pos") + F.floor(F.col("pos") / 7)) * 40000)
+    f = k.select((F.col("stream_id") * 4 + F.col("k")).alias("stream_id"), "pos", pts.cast("long").alias("pts"))
+    return M.verdict(f)
+
+
+@_query("""WITH {S}, g AS (SELECT *, event_type = 'purchase' AS is_sync, sum((event_type = 'purchase')::INT) OVER (PARTITION BY stream_id ORDER BY pos) AS gop FROM s)
+SELECT stream_id, pos, is_sync, CASE WHEN any_sync THEN o END AS gop_ordinal, CASE WHEN any_sync THEN l END AS gop_length FROM
+(SELECT stream_id, pos, is_sync, bool_or(is_sync) OVER (PARTITION BY stream_id) AS any_sync, row_number() OVER (PARTITION BY stream_id, gop ORDER BY pos) - 1 AS o, count(*) OVER (PARTITION BY stream_id, gop) AS l FROM g)""")
+def gop_positions(spark, d):
+    return S.gop_positions(_s(spark, d), _sync()).select("stream_id", "pos", "is_sync", "gop_ordinal", "gop_length")
+
+
+AT = 1_705_000_000_000_000
+
+
+@_query(f"WITH {{S}} SELECT stream_id, arg_min(pos, abs(pts - {AT})::HUGEINT * 1000000 + pos) AS snapped FROM s WHERE event_type = 'purchase' GROUP BY 1")
+def snap_start(spark, d):
+    return S.snap_start(_s(spark, d), _sync(), F.lit(AT))
+
+
+@_query(f"""WITH {{S}}, f AS (SELECT *, coalesce(max(CASE WHEN pts <= {AT} THEN pos END) OVER (PARTITION BY stream_id), 0) AS first FROM s)
+SELECT stream_id, pos, pts, value FROM f WHERE pos >= first AND pts < {AT + 100 * HOUR}""")
+def trim_window(spark, d):
+    return S.trim(_s(spark, d), F.lit(AT), F.lit(AT + 100 * HOUR)).select("stream_id", "pos", "pts", "value")
+
+
+@_query(f"""WITH {{S}}, t AS (SELECT *, pts - first_value(pts) OVER w AS t FROM s WINDOW w AS (PARTITION BY stream_id ORDER BY pos)),
+n AS (SELECT *, lead(t) OVER (PARTITION BY stream_id ORDER BY pos) AS nxt FROM t),
+u AS (SELECT *, CASE WHEN nxt IS NOT NULL THEN (t + nxt) // {2 * HOUR} ELSE (2 * t + {HOUR}) // {2 * HOUR} END AS up FROM n),
+l AS (SELECT *, coalesce(max(up) OVER (PARTITION BY stream_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, 0) AS lo FROM u)
+SELECT stream_id, slot::BIGINT AS slot, (pts - t + slot * {HOUR})::BIGINT AS pts, pos, abs(slot * {HOUR} - t)::BIGINT AS shift FROM (SELECT *, unnest(range(lo::BIGINT, up::BIGINT + 1)) AS slot FROM l WHERE lo <= up)""")
+def conform_hourly(spark, d):
+    return M.conform(_s(spark, d), HOUR)
+
+
+@_query(f"""WITH {{S}}, t AS (SELECT *, pts - first_value(pts) OVER (PARTITION BY stream_id ORDER BY pos) AS t FROM s),
+n AS (SELECT *, lead(t) OVER w AS t2, lead(value) OVER w AS v2 FROM t WINDOW w AS (PARTITION BY stream_id ORDER BY pos)),
+g AS (SELECT *, unnest(range(((t + {6 * HOUR - 1}) // {6 * HOUR})::BIGINT, ((t2 + {6 * HOUR - 1}) // {6 * HOUR})::BIGINT)) AS slot FROM n WHERE t2 > t)
+SELECT stream_id, slot, round((slot * {6 * HOUR} - t) / (t2 - t), 6) AS phase, round(value + (v2 - value) * ((slot * {6 * HOUR} - t) / (t2 - t)), 6) AS value FROM g""")
+def interpolate_grid(spark, d):
+    return M.interpolate(_s(spark, d), 6 * HOUR).select("stream_id", "slot", _r("phase").alias("phase"), _r("value").alias("value"))
+
+
+@_query("""WITH {S}, p AS (SELECT * FROM s WHERE event_type = 'purchase'), v AS (SELECT * FROM s WHERE event_type = 'view')
+SELECT p.stream_id, p.pos, p.pts, v.pos AS pos_as_of, v.value AS value_as_of FROM p ASOF LEFT JOIN v ON p.stream_id = v.stream_id AND p.pts >= v.pts""")
+def asof_pair(spark, d):
+    s = _s(spark, d).select("stream_id", "pos", "pts", "value", "event_type")
+    left = s.where("event_type = 'purchase'").select("stream_id", "pos", "pts")
+    return M.as_of(left, s.where("event_type = 'view'"), ["stream_id"], "pts", ["pos", "value"])
+
+
+TSD_SQL = """t AS (SELECT stream_id, pos, abs(floor(value) - floor((lag(floor(value)) OVER w + lead(floor(value)) OVER w) / 2))::BIGINT AS tsd FROM s WINDOW w AS (PARTITION BY stream_id ORDER BY pos))"""
+
+
+@_query("WITH {S}, " + TSD_SQL + """ SELECT stream_id, count(*) AS n, round(avg(tsd), 6) AS mean, round(stddev_pop(tsd), 6) AS std, round(quantile_cont(tsd, 0.95), 6) AS p95, max(tsd) AS worst, arg_max(pos, tsd * 1000000 - pos) AS worst_pos, quantile_cont(tsd, 0.5) AS median FROM t WHERE tsd IS NOT NULL GROUP BY 1""")
+def tsd_shimmer(spark, d):
+    t = T.temporal_difference(_s(spark, d))
+    return t.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("tsd")).alias("mean"), _r(F.stddev_pop("tsd")).alias("std"), _r(F.percentile("tsd", F.lit(0.95))).alias("p95"), F.max("tsd").alias("worst"), F.max_by("pos", F.struct(F.col("tsd"), -F.col("pos"))).alias("worst_pos"), F.percentile("tsd", F.lit(0.5)).alias("median"))
+
+
+@_query("WITH {S}, " + TSD_SQL + " SELECT stream_id, (pos - 1) // 24 AS bucket, count(*) AS n, round(avg(tsd), 6) AS mean FROM t WHERE tsd IS NOT NULL GROUP BY 1, 2")
+def tsd_buckets(spark, d):
+    t = T.temporal_difference(_s(spark, d))
+    return t.groupBy("stream_id", F.floor((F.col("pos") - 1) / 24).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), _r(F.avg("tsd")).alias("mean"))
+
+
+MASK_SQL = """x AS (SELECT stream_id, pos, value AS src, value * 0.9 + (pos % 5) AS cand, count(*) OVER (PARTITION BY stream_id) AS n FROM s),
+m AS (SELECT *, abs(src - lag(src) OVER w) AS ds, abs(cand - lag(cand) OVER w) AS dc FROM x WINDOW w AS (PARTITION BY stream_id ORDER BY pos)),
+k AS (SELECT *, CASE WHEN ds < 20 THEN dc END AS flicker, CASE WHEN ds > 60 THEN abs(cand - src) END AS deviation FROM m WHERE pos >= 3 AND pos < n - 2)"""
+
+
+def _masked(spark, d):
+    s = _s(spark, d).select("stream_id", "pos", F.col("value").alias("source"), (F.col("value") * 0.9 + F.col("pos") % 5).alias("candidate"))
+    return T.masked_change(s, 20, 60, S.by_stream())
+
+
+@_query("WITH {S}, " + MASK_SQL + " SELECT stream_id, round(avg(flicker) * 1000, 4) AS flicker_e3, count(flicker) AS n FROM k GROUP BY 1")
+def flicker_masked(spark, d):
+    return _masked(spark, d).groupBy("stream_id").agg(_r(F.avg("flicker") * 1000, 4).alias("flicker_e3"), F.count("flicker").alias("n"))
+
+
+@_query("WITH {S}, " + MASK_SQL + " SELECT stream_id, round(list_sort(list(deviation))[floor(0.9 * (count(deviation) - 1))::INT + 1] * 1000, 4) AS moving_dev_e3 FROM k WHERE deviation IS NOT NULL GROUP BY 1")
+def moving_dev(spark, d):
+    k = _masked(spark, d).where("deviation IS NOT NULL")
+    return k.groupBy("stream_id").agg(_r(Q.nearest_lower(F.collect_list("deviation"), 0.9) * 1000, 4).alias("moving_dev_e3"))
+
+
+@_query("""WITH q AS (SELECT vec_id, label, list_sort(list_transform(embedding, lambda x: x::DOUBLE)) AS q, row_number() OVER w AS p, count(*) OVER (PARTITION BY label) AS n FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+l AS (SELECT a.vec_id, a.label, a.q, list(b.q) AS w FROM q a JOIN q b ON a.label = b.label AND abs(a.p - b.p) <= least(5, a.p - 1, a.n - a.p) GROUP BY ALL)
+SELECT vec_id, label, len(w)::INT AS n, round(list_sum(list_transform(range(1, len(q) + 1), lambda i: list_sum(list_transform(w, lambda x: x[i])) / len(w) - q[i])) / len(q), 6) + 0.0 AS shift FROM l""")
+def level_scalar(spark, d):
+    e = _t(spark, d, "embeddings").select("vec_id", "label", F.col("label").cast("long").alias("stream_id"), F.array_sort(F.transform("embedding", lambda x: x.cast("double"))).alias("q"))
+    pos, n = F.row_number().over(_embedded()), F.count(F.lit(1)).over(W.partitionBy("label"))
+    size = (2 * F.least(F.lit(5), pos - 1, n - pos) + 1).cast("int")
+    return T.level(e.withColumn("n", size), "q", 5, _embedded()).select("vec_id", "label", "n", (_r("shift") + 0.0).alias("shift"))
+
+
+@_query("""WITH {S}, w AS (SELECT stream_id, pos, value, list(value) OVER (PARTITION BY stream_id ORDER BY pos ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS w, list(value) OVER (PARTITION BY stream_id ORDER BY pos ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS l, list(value) OVER (PARTITION BY stream_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING) AS r FROM s),
+m AS (SELECT *, list_sort(w)[(len(w) - 1) // 2 + 1] AS med, coalesce(list_sum(list_transform(range(1, len(w)), lambda i: abs(w[i + 1] - w[i]))), 0) AS swing, abs(w[len(w)] - w[1]) AS drift FROM w),
+i AS (SELECT *, list_filter(w, lambda x: abs(x - med) < 120) AS inb FROM m)
+SELECT stream_id, pos, round(CASE WHEN len(w) >= 6 AND drift <= 0.6 * swing + 1.5 AND len(inb) >= 0.6 * len(w) AND (coalesce(len(l), 0) = 0 OR len(list_filter(l, lambda x: abs(x - med) < 120)) > 0) AND (coalesce(len(r), 0) = 0 OR len(list_filter(r, lambda x: abs(x - med) < 120)) > 0) AND abs(list_sum(inb) / len(inb) - value) < 80 THEN list_sum(inb) / len(inb) ELSE value END, 6) AS fixed FROM i""")
+def deflicker_1d(spark, d):
+    return T.deflicker(_s(spark, d), 8, 120, 0.6, 80, 1.5).select("stream_id", "pos", _r("fixed").alias("fixed"))
+
+
+@_query("""WITH {S}, w AS (SELECT *, coalesce(list(value) OVER (PARTITION BY stream_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), []) AS p FROM s)
+SELECT stream_id, pos, round((value + coalesce(list_sum(list_transform(p, lambda x: 0.8 * exp(-pow((x - value) / 60.0, 2)) * x)), 0)) / (1 + coalesce(list_sum(list_transform(p, lambda x: 0.8 * exp(-pow((x - value) / 60.0, 2)))), 0)), 6) AS blended FROM w""")
+def fir_blend(spark, d):
+    return T.fir_blend(_s(spark, d), 4, 60.0, 0.8).select("stream_id", "pos", _r("blended").alias("blended"))
+
+
+@_query("""WITH RECURSIVE {S}, e AS (SELECT stream_id, pos, value AS ema FROM s WHERE pos = 0 UNION ALL SELECT s.stream_id, s.pos, 0.3 * s.value + 0.7 * e.ema FROM e JOIN s ON s.stream_id = e.stream_id AND s.pos = e.pos + 1)
+SELECT stream_id, pos, round(ema, 6) AS ema FROM e""")
+def ema_tracker(spark, d):
+    return T.ema(_s(spark, d), 0.3).select("stream_id", "pos", _r("ema").alias("ema"))
+
+
+@_query("""WITH {S}, g AS (SELECT stream_id, pos, abs(value - lag(value) OVER (PARTITION BY stream_id ORDER BY pos)) / 1.4142135623730951 AS sg FROM s),
+h AS (SELECT *, list(sg) FILTER (sg IS NOT NULL) OVER (PARTITION BY stream_id ORDER BY pos ROWS BETWEEN 47 PRECEDING AND CURRENT ROW) AS h FROM g),
+r AS (SELECT *, list_sort(h)[len(h) // 2 + 1] AS ref FROM h)
+SELECT stream_id, pos, round(CASE WHEN sg IS NULL OR len(h) < 8 OR ref < 0.002 THEN 1.0 ELSE greatest(0.6, least(1.8, sg / ref)) END, 6) AS gain FROM r""")
+def pulse_gain(spark, d):
+    spread = F.abs(F.col("value") - F.lag("value").over(S.by_stream())) / 1.4142135623730951
+    return T.pulse_gain(_s(spark, d), spread).select("stream_id", "pos", _r("gain").alias("gain"))
+
+
+@_query()
+def gop_windows(spark, d):
+    return M.gop_windows(S.gop_positions(_s(spark, d), _sync()), 4, 12)
+
+
+@_query()
+def epoch_unwrap(spark, d):
+    # the clock is set back by two days after every 20th row
+    s = _s(spark, d).withColumn("pts", F.col("pts") - F.floor(F.col("pos") / 20) * 48 * HOUR)
+    return M.epoch_unwrap(s)
+
+
+@_query("""WITH t AS (SELECT user_id, count(*) AS total FROM events GROUP BY 1)
+SELECT user_id, k.process_from::BIGINT AS process_from, k.process_to::BIGINT AS process_to, k.emit_from::BIGINT AS emit_from, k.emit_to::BIGINT AS emit_to FROM (
+SELECT user_id, unnest(CASE WHEN total < 10 THEN [{'process_from': 0, 'process_to': total, 'emit_from': 0, 'emit_to': total}] ELSE
+ list_concat(list_transform(range(0, (total - 10) // 6 + 1), lambda k: {'process_from': k * 6, 'process_to': k * 6 + 10, 'emit_from': CASE WHEN k = 0 THEN 0 ELSE k * 6 + 2 END, 'emit_to': k * 6 + 8}),
+ CASE WHEN ((total - 10) // 6) * 6 + 8 < total THEN [{'process_from': greatest(0, least(((total - 10) // 6) * 6 + 6, total - 10)), 'process_to': total, 'emit_from': ((total - 10) // 6) * 6 + 8, 'emit_to': total}] ELSE [] END) END) AS k FROM t)""")
+def sliding_windows(spark, d):
+    t = _t(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
+    return t.select("user_id", F.explode(M.fixed_windows(F.col("total"), 10, 2)).alias("w")).select("user_id", "w.*")
+
+
+@_query("""WITH r AS (SELECT o_orderpriority AS source, o_orderstatus AS mode, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2), b AS (SELECT source, max(v) AS baseline FROM r WHERE mode = 'O' GROUP BY 1)
+SELECT source, mode, round(v, 4) AS v, round(baseline, 4) AS baseline, round(v - baseline, 4) + 0.0 AS delta FROM r LEFT JOIN b USING (source)""")
+def baseline_delta(spark, d):
+    r = _t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("mode")).agg(F.avg("o_totalprice").alias("v"))
+    return E.baseline_delta(r, "source", "mode", "O", "v").select("source", "mode", _r("v", 4).alias("v"), _r("baseline", 4).alias("baseline"), (_r("delta", 4) + 0.0).alias("delta"))
+
+
+@_query("""SELECT o_orderpriority AS grp, count(*) AS n, count(*) FILTER (o_totalprice < 100000) AS low, count(*) FILTER (o_totalprice >= 100000 AND o_totalprice < 300000) AS medium, count(*) FILTER (o_totalprice >= 300000) AS high, round(quantile_cont(o_totalprice, 0.5), 4) AS median FROM orders GROUP BY 1""")
+def group_summary(spark, d):
+    p = F.col("o_totalprice")
+    return _t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.count_if(p < 100000).alias("low"), F.count_if((p >= 100000) & (p < 300000)).alias("medium"), F.count_if(p >= 300000).alias("high"), _r(F.percentile(p, F.lit(0.5)), 4).alias("median"))
+
+
+@_query("""WITH g AS (SELECT l_suppkey, quantile_cont(l_extendedprice, 0.5) FILTER (l_linenumber <= 3) AS b, quantile_cont(l_extendedprice, 0.5) FILTER (l_linenumber > 3) AS c, count(*) FILTER (l_linenumber <= 3) AS n, stddev_samp(l_extendedprice) FILTER (l_linenumber <= 3) AS s FROM lineitem GROUP BY 1),
+m AS (SELECT *, greatest(CASE WHEN n >= 3 THEN 0.01 * 3 * s ELSE 0 END, 0.0 * b) AS x FROM g)
+SELECT l_suppkey, round(b, 4) AS baseline, round(c, 4) AS current, round(greatest(CASE WHEN n >= 3 THEN 3 * s ELSE 0.0 END, 0.03 * b), 4) AS margin, round(c - b, 4) + 0.0 AS delta, (c - b) <= greatest(CASE WHEN n >= 3 THEN 3 * s ELSE 0.0 END, 0.03 * b) AS pass FROM m""")
+def regression_gate(spark, d):
+    g = E.regression_gate(_t(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", F.col("l_linenumber") <= 3, 0.03)
+    return g.select("l_suppkey", _r("baseline", 4).alias("baseline"), _r("current", 4).alias("current"), _r("margin", 4).alias("margin"), (_r("delta", 4) + 0.0).alias("delta"), "pass")
+
+
+@_query("""WITH {S}, g AS (SELECT stream_id, avg(value) AS m, stddev_pop(value) AS sd, max(value) AS mx, count(*) AS n FROM s GROUP BY 1)
+SELECT stream_id, array_to_string(list_filter([CASE WHEN sd > 60 THEN 'spread' END, CASE WHEN mx > 400 THEN 'spikes' END, CASE WHEN sd > 1.1 * m THEN 'bursty' END, CASE WHEN n < 40 THEN 'short' END], lambda x: x IS NOT NULL), ',') AS labels FROM g""")
+def noise_labels(spark, d):
+    g = _s(spark, d).groupBy("stream_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"), F.max("value").alias("mx"), F.count(F.lit(1)).alias("n"))
+    found = E.labels(("spread", F.col("sd") > 60), ("spikes", F.col("mx") > 400), ("bursty", F.col("sd") > 1.1 * F.col("m")), ("short", F.col("n") < 40))
+    return g.select("stream_id", F.array_join(found, ",").alias("labels"))
+
+
+@_query("""WITH h AS (SELECT p_brand, q, count(*) FILTER (abs(p_size - (p_partkey % 7 + 1) * (100 - q) / 20.0) <= greatest(1.0, 0.08 * ((p_partkey % 7 + 1) * (100 - q) / 20.0))) AS hits FROM part, range(5, 99) r(q) GROUP BY 1, 2),
+b AS (SELECT p_brand, max(hits) AS hits, arg_max(q, hits * 1000 - q) AS best FROM h GROUP BY 1)
+SELECT p_brand, (CASE WHEN hits >= 3 THEN best END)::INT AS best, hits FROM b""")
+def qf_vote(spark, d):
+    expected = (F.col("p_partkey") % 7 + 1) * (100 - F.col("q")) / 20.0
+    candidates = spark.range(5, 99).select(F.col("id").cast("int").alias("q"))
+    return E.vote(_t(spark, d, "part"), ["p_brand"], "p_partkey", "p_size", F.broadcast(candidates), "q", expected)
+
+
+@_query("""WITH f AS (SELECT label, unnest(range(0, len(embedding))) AS line, unnest(embedding)::DOUBLE AS v FROM embeddings), l AS (SELECT label, line, bool_and(v < 0.4) AS ok, count(*) AS n FROM f GROUP BY 1, 2)
+SELECT label, coalesce(min(line) FILTER (NOT ok OR n < 3), max(line) + 1)::BIGINT AS width FROM l GROUP BY 1""")
+def bars_unanimous(spark, d):
+    f = _t(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("line", "v")).select("label", "line", (F.col("v").cast("double") < 0.4).alias("ok"))
+    return E.unanimous_prefix(f, ["label"], "line", "ok")
+
+
+SPAN_SQL = "sp AS (SELECT o_custkey, min(epoch_us(o_orderdate)) AS a, max(epoch_us(o_orderdate)) AS b FROM orders GROUP BY 1)"
+
+
+@_query("WITH " + SPAN_SQL + """ SELECT x.o_custkey, y.o_custkey AS other, (least(x.b, y.b) - greatest(x.a, y.a))::BIGINT AS shared FROM sp x JOIN sp y ON y.o_custkey = x.o_custkey + 1 WHERE least(x.b, y.b) - greatest(x.a, y.a) > 0""")
+def window_overlap(spark, d):
+    at = F.expr("unix_micros(cast(convert_timezone('UTC', current_timezone(), o_orderdate) as timestamp))")
+    sp = _t(spark, d, "orders").groupBy("o_custkey").agg(F.min(at).alias("a"), F.max(at).alias("b"))
+    y = sp.select(F.col("o_custkey").alias("other"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+    both = sp.join(y, F.col("other") == F.col("o_custkey") + 1)
+    return both.select("o_custkey", "other", E.overlap(F.col("a"), F.col("b"), F.col("a2"), F.col("b2")).alias("shared")).where("shared IS NOT NULL")
+
+
+@_query("""WITH c AS (SELECT event_type, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2), b AS (SELECT event_type, min(day) AS a, max(day) AS z FROM c GROUP BY 1),
+g AS (SELECT event_type, unnest(generate_series(a, z, INTERVAL 1 DAY))::DATE AS day FROM b) SELECT event_type, day, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (event_type, day)""")
+def gap_fill(spark, d):
+    c = _t(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    grid = c.groupBy("event_type").agg(F.min("day").alias("a"), F.max("day").alias("z")).select("event_type", F.explode(F.expr("sequence(a, z, interval 1 day)")).alias("day"))
+    return grid.join(c, ["event_type", "day"], "left").select("event_type", "day", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@_query("""SELECT event_type AS name, round(avg(value), 6) AS mean, NULL::BIGINT AS rows, NULL::DOUBLE AS worst FROM events GROUP BY 1 UNION ALL SELECT o_orderstatus, NULL, count(*), NULL FROM orders GROUP BY 1 UNION ALL SELECT l_returnflag, NULL, NULL, max(l_tax) FROM lineitem GROUP BY 1""")
+def metric_union(spark, d):
+    a = _t(spark, d, "events").groupBy(F.col("event_type").alias("name")).agg(_r(F.avg("value")).alias("mean"))
+    b = _t(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("name")).agg(F.count(F.lit(1)).alias("rows"))
+    c = _t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("name")).agg(F.max("l_tax").alias("worst"))
+    return E.union_of_metrics(a, b, c)
+
+
+@_query("""WITH {S}, g AS (SELECT stream_id, pos, CASE WHEN pos % 11 = 5 THEN (pos - 1) * 40000 WHEN pos % 13 = 7 THEN pos * 40000 + 17 ELSE pos * 40000 END AS pts FROM s),
+v AS (SELECT *, lag(pts) OVER (PARTITION BY stream_id ORDER BY pos) AS before FROM g)
+SELECT stream_id, pos, 'not_increasing' AS rule FROM v WHERE pts <= before UNION ALL SELECT stream_id, pos, 'off_grid' FROM v WHERE least(pts % 40000, 40000 - pts % 40000) > 1""")
+def timeline_violations(spark, d):
+    pts = F.when(F.col("pos") % 11 == 5, (F.col("pos") - 1) * 40000).when(F.col("pos") % 13 == 7, F.col("pos") * 40000 + 17).otherwise(F.col("pos") * 40000)
+    return S.violations(_s(spark, d).withColumn("pts", pts), 40000)
+
+
+@_query()
+def face_tracks(spark, d):
+    v = F.col("value")
+    o = _s(spark, d).select("stream_id", F.floor(F.col("pos") / 2).alias("frame"), (v / 500).alias("score"), (v % 40).alias("x0"), (v % 30).alias("y0"), (v % 40 + 50).alias("x1"), (v % 30 + 50).alias("y1"))
+    return E.tracks(o)
+
+
+@_query("""WITH {S}, g AS (SELECT stream_id, list_sort(list(value)) AS v, count(*) AS n, quantile_cont(value, 0.5) AS averaging, quantile_cont(value, 0.95) AS p95 FROM s GROUP BY 1)
+SELECT stream_id, v[n // 2 + 1] AS upper, v[(n - 1) // 2 + 1] AS lower, round(averaging, 6) AS averaging, v[floor(0.3 * (n - 1))::INT + 1] AS p30, round(p95, 6) AS p95,
+ round(sqrt(list_sum(list_transform(list_reverse_sort(v)[:greatest(1, round_even(n * 0.05, 0)::INT)], lambda x: x * x)) / greatest(1, round_even(n * 0.05, 0)::INT)) / 2.3616, 6) AS tail FROM g""")
+def quantile_conventions(spark, d):
+    g = _s(spark, d).groupBy("stream_id").agg(F.collect_list("value").alias("v"))
+    v = F.col("v")
+    return g.select("stream_id", Q.upper_median(v).alias("upper"), Q.lower_median(v).alias("lower"), _r(Q.averaging_median(v)).alias("averaging"), Q.nearest_lower(v, 0.3).alias("p30"), _r(Q.linear(v, 0.95)).alias("p95"), _r(Q.tail_rms(v)).alias("tail"))
+
+
+# --- Spark's own relational operators over the driver tables (no counterpart to match) ---
+
+
+@_query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
+def rel_pricing(spark, d):
+    li = _t(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(_r(F.sum("l_quantity"), 2).alias("sum_qty"), _r(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), _r(F.avg("l_discount")).alias("avg_disc"), F.count(F.lit(1)).alias("n"))
+
+
+@_query("""SELECT r_name, n_name, count(DISTINCT c_custkey) AS customers, round(sum(o_totalprice), 2) AS total FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY ROLLUP (r_name, n_name)""")
+def rel_rollup(spark, d):
+    t = lambda n: _t(spark, d, n)
+    j = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.rollup("r_name", "n_name").agg(F.count_distinct("c_custkey").alias("customers"), _r(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@_query("""SELECT c_custkey, c_mktsegment FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)""")
+def rel_semi_anti(spark, d):
+    c, o = _t(spark, d, "customer"), _t(spark, d, "orders")
+    on = F.col("o_custkey") == F.col("c_custkey")
+    return c.join(o.where("o_orderstatus = 'F'"), on, "left_semi").join(o.where("o_totalprice > 400000"), on, "left_anti").select("c_custkey", "c_mktsegment")
+
+
+@_query("""WITH g AS (SELECT user_id, epoch_us(ts) AS t, value, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, event_id FROM events), k AS (SELECT *, sum(CASE WHEN b IS NULL OR t - b >= 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM g)
+SELECT user_id, min(t)::BIGINT AS start_us, count(*) AS n, round(sum(value), 4) AS total FROM k GROUP BY user_id, k""")
+def rel_sessions(spark, d):
+    e = _t(spark, d, "events").withColumn("t", F.expr("cast(convert_timezone('UTC', current_timezone(), ts) as timestamp)"))
+    return e.groupBy("user_id", F.session_window("t", "6 hours")).agg(F.min(F.unix_micros("t")).alias("start_us"), F.count(F.lit(1)).alias("n"), _r(F.sum("value"), 4).alias("total")).drop("session_window")
+
+
+@_query("""SELECT * FROM (SELECT p_brand, p_partkey, round(sum(l_extendedprice), 2) AS revenue, row_number() OVER (PARTITION BY p_brand ORDER BY sum(l_extendedprice) DESC, p_partkey) AS place FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2) WHERE place <= 3""")
+def rel_top_parts(spark, d):
+    g = _t(spark, d, "lineitem").join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "p_partkey").agg(F.sum("l_extendedprice").alias("r"))
+    w = W.partitionBy("p_brand").orderBy(F.desc("r"), "p_partkey")
+    return g.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3").select("p_brand", "p_partkey", _r("r", 2).alias("revenue"), "place")
+
+
+@_query("""(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0""")
+def rel_set_operations(spark, d):
+    c, s = _t(spark, d, "customer").select(F.col("c_nationkey").alias("k")), _t(spark, d, "supplier").select("s_nationkey")
+    return c.intersect(s).subtract(_t(spark, d, "nation").where("n_regionkey = 0").select("n_nationkey"))
