@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtick.operators.ordered import ordered
+
 
 def baseline_delta(rows: DataFrame, source: str, mode: str, baseline: str, value: str) -> DataFrame:
     """Each row with the baseline row of its source and its distance from it (null without one)."""
@@ -83,29 +86,26 @@ def tracks(observations: DataFrame, gap: int = 8, least: float = 0.1) -> DataFra
 
     Within a frame the highest score chooses first; it takes the open track (seen at
     most ``gap`` frames ago) that it overlaps most, if by at least ``least``, and
-    otherwise starts a new one.  Order matters, so a stream is one group.
+    otherwise starts a new one.  Order matters, so a stream is
+    read in order; only its open tracks are kept.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["frame", "score", "x0", "y0"], ascending=[True, False, True, True]).reset_index(drop=True)
-        last: list[tuple[int, list[float]]] = []
-        out, used, now = [], set(), None
-        for frame, *box in group[["frame", "x0", "y0", "x1", "y1"]].itertuples(index=False):
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        seen: dict[int, tuple[int, list[float]]] = {}  # open tracks: last frame and box
+        taken: set[int] = set()
+        now, count = None, 0
+        for row in rows:
+            frame, box = row[1], list(row[3:7])
             if frame != now:
-                now, used = frame, set()
-            best, found = least, None
-            for k, (seen, at) in enumerate(last):
-                if k not in used and frame - seen <= gap and (v := iou(box, at)) >= best and (found is None or v > best):
-                    best, found = v, k
-            if found is None:
-                found = len(last)
-                last.append((frame, box))
-            last[found] = (frame, box)
-            used.add(found)
-            out.append(found)
-        return group.assign(track=pd.Series(out, dtype="int64"))
-
-    schema = "stream_id long, frame long, score double, x0 double, y0 double, x1 double, y1 double, track long"
-    names = [f.split()[0] for f in schema.split(", ")[:-1]]
-    typed = observations.select(*(F.col(n).cast(schema.split(", ")[i].split()[1]) for i, n in enumerate(names)))
-    return typed.groupBy("stream_id").applyInPandas(run, schema)
+                now, taken = frame, set()
+                seen = {k: v for k, v in seen.items() if frame - v[0] <= gap}
+            fits = {k: v for k, (_, at) in seen.items() if k not in taken and (v := iou(box, at)) >= least}
+            found = max(fits, key=lambda k: (fits[k], -k), default=count)
+            count += found == count
+            seen[found] = (frame, box)
+            taken.add(found)
+            yield (*row, found)
+
+    names = ["stream_id long", "frame long", "score double", "x0 double", "y0 double", "x1 double", "y1 double"]
+    typed = observations.select(*(F.col(n).cast(t) for n, t in map(str.split, names)))
+    return ordered(typed, ["frame", F.desc("score"), "x0", "y0"], run, ", ".join([*names, "track long"]))

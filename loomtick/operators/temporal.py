@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from loomtick.functions.quantiles import lower_median, upper_median
+from loomtick.operators.ordered import ordered
 from loomtick.operators.streams import by_stream
 
 
@@ -71,13 +73,16 @@ def pulse_gain(stream: DataFrame, sigma: Column, history: int = 48, least: int =
 
 
 def ema(stream: DataFrame, alpha: float) -> DataFrame:
-    """(stream_id, pos, ema): alpha * value + (1 - alpha) * ema of the row before; the first row starts it."""
+    """(stream_id, pos, ema): alpha * value + (1 - alpha) * ema of the row before; the first row starts it, a null changes nothing."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        return pd.DataFrame({"stream_id": group["stream_id"], "pos": group["pos"], "ema": group["value"].ewm(alpha=alpha, adjust=False).mean()})
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        now = None
+        for stream_id, pos, value in rows:
+            if value is not None:
+                now = value if now is None else alpha * value + (1 - alpha) * now
+            yield stream_id, pos, now
 
-    return stream.select("stream_id", "pos", "value").groupBy("stream_id").applyInPandas(run, "stream_id long, pos long, ema double")
+    return ordered(stream.select("stream_id", "pos", "value"), ["pos"], run, "stream_id long, pos long, ema double")
 
 
 def level(stream: DataFrame, quantiles: str, reach: int, order: WindowSpec | None = None) -> DataFrame:

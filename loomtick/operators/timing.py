@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+from itertools import chain, tee
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtick.functions.rational import floor_div
+from loomtick.operators.ordered import ordered
 from loomtick.operators.streams import by_stream
 
 #: A row that would fan out to more slots than this is refused.
@@ -96,14 +99,13 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, right_c
     return both.select(*left.columns, *[F.col(f"_m.{c}").alias(f"{c}_as_of") for c in right_columns])
 
 
-def unwrap_clock(times: list[int], reset: int = 10_000_000, default_stitch: int = 40_000) -> list[int]:
-    """Remove clock resets from stamps in stream order.
+def unwrapped(times: Iterable[int], reset: int = 10_000_000, default_stitch: int = 40_000) -> Iterator[int]:
+    """Stamps in stream order without clock resets; keeps 15 steps and no stamps.
 
     A jump back of more than ``reset`` is held; it counts only if the next row stays
     behind (else it was an outlier).  A reset is stitched with the lower median of the
     last 15 forward steps, from which wide gaps are left out.
     """
-    out: list[int] = []
     steps: list[int] = []
     offset, before, top, held = 0, None, None, None
     stitch = lambda: sorted(steps)[(len(steps) - 1) // 2] if steps else default_stitch
@@ -115,67 +117,71 @@ def unwrap_clock(times: list[int], reset: int = 10_000_000, default_stitch: int
         if before is not None and before - t > reset:
             candidate = top + stitch() - t
             held = (t, candidate)
-            out.append(t + candidate)
+            now = t + candidate
         else:
             if before is not None and 0 < t - before <= max(1_000_000, 4 * stitch()):
                 steps = [*steps[-14:], t - before]
             before = t
-            out.append(t + offset)
-        top = out[-1] if top is None else max(top, out[-1])
-    return out
+            now = t + offset
+        top = now if top is None else max(top, now)
+        yield now
+
+
+def unwrap_clock(times: Iterable[int], reset: int = 10_000_000, default_stitch: int = 40_000) -> list[int]:
+    """``unwrapped`` as a list."""
+    return list(unwrapped(times, reset, default_stitch))
 
 
 def epoch_unwrap(stream: DataFrame, reset: int = 10_000_000) -> DataFrame:
-    """Add ``adjusted``: the clock of each stream without its resets, by ``unwrap_clock``."""
+    """Add ``adjusted``: the clock of each stream without its resets, by ``unwrapped``."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        return group.assign(adjusted=unwrap_clock(group["pts"].tolist(), reset))
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        rows, stamps = tee(rows)  # both advance together
+        for row, now in zip(rows, unwrapped((r[2] for r in stamps), reset), strict=True):
+            yield (*row, now)
 
-    rows = stream.select("stream_id", "pos", "pts")
-    return rows.groupBy("stream_id").applyInPandas(run, "stream_id long, pos long, pts long, adjusted long")
+    return ordered(stream.select("stream_id", "pos", "pts"), ["pos"], run, "stream_id long, pos long, pts long, adjusted long")
 
 
-def sync_windows(sync: list[bool], least: int, most: int, overlap: int = 2) -> list[tuple[int, int, int, int]]:
+def windows_at_sync(sync: Iterable[bool], least: int, most: int, overlap: int = 2) -> Iterator[tuple[int, int, int, int]]:
     """(process from, to, emit from, to) of windows that close at sync rows.
 
     A window closes at a sync row at least ``least`` rows after its anchor, whose row
     it still processes; without one it is split after ``most`` rows, with
     ``overlap`` rows on either side of the split.  Every row is emitted once.
     """
-    out: list[tuple[int, int, int, int]] = []
-    emit = anchor = 0
-    total = len(sync)
+    emit = anchor = total = 0
     first = lambda: emit if emit == anchor else max(anchor, emit - overlap)
-    for pos in range(total):
-        if not sync[pos] or pos - anchor < least or pos == emit:
+    for pos, closes in enumerate(sync):
+        total = pos + 1
+        if not closes or pos - anchor < least or pos == emit:
             continue
         while pos - emit > most:
-            end = emit + most
-            out.append((first(), min(pos, end + overlap), emit, end))
-            emit = end
-        out.append((first(), pos + 1, emit, pos))
+            yield first(), min(pos, emit + most + overlap), emit, emit + most
+            emit += most
+        yield first(), pos + 1, emit, pos
         emit = anchor = pos
     while total - emit > most:
-        end = emit + most
-        out.append((first(), min(total, end + overlap), emit, end))
-        emit = end
+        yield first(), min(total, emit + most + overlap), emit, emit + most
+        emit += most
     if emit < total:
-        out.append((first(), total, emit, total))
-    return out
+        yield first(), total, emit, total
+
+
+def sync_windows(sync: Iterable[bool], least: int, most: int, overlap: int = 2) -> list[tuple[int, int, int, int]]:
+    """``windows_at_sync`` as a list."""
+    return list(windows_at_sync(sync, least, most, overlap))
 
 
 def gop_windows(stream: DataFrame, least: int, most: int) -> DataFrame:
-    """Windows of each stream with a ``is_sync`` column, by ``sync_windows``."""
+    """Windows of each stream with a ``is_sync`` column, by ``windows_at_sync``."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        rows = sync_windows(group["is_sync"].tolist(), least, most)
-        out = pd.DataFrame(rows, columns=["process_from", "process_to", "emit_from", "emit_to"], dtype="int64")
-        out.insert(0, "stream_id", group["stream_id"].iloc[0])
-        return out
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        head = next(rows)
+        for window in windows_at_sync((r[2] for r in chain([head], rows)), least, most):
+            yield (head[0], *window)
 
-    return stream.select("stream_id", "pos", "is_sync").groupBy("stream_id").applyInPandas(run, "stream_id long, process_from long, process_to long, emit_from long, emit_to long")
+    return ordered(stream.select("stream_id", "pos", "is_sync"), ["pos"], run, "stream_id long, process_from long, process_to long, emit_from long, emit_to long")
 
 
 def fixed_windows(total: Column, window: int, trim: int) -> Column:

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtick.functions.quantiles import upper_median
-
 FORMATS = ("parquet", "orc", "json", "csv", "text", "binaryFile")
 
 
@@ -34,9 +32,10 @@ def with_durations(stream: DataFrame, default: int = 40_000) -> DataFrame:
     ``tail``), else the upper median of the stream's steps, else the default."""
     w = W.partitionBy("stream_id").orderBy("pos")
     df = stream.withColumn("_d", F.lead("pts").over(w) - F.col("pts"))
-    steps = F.collect_list(F.when(F.col("_d") > 0, F.col("_d"))).over(W.partitionBy("stream_id"))
+    # the lower median of falling steps is the upper median
+    usual = df.where("_d > 0").groupBy("stream_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _d DESC)").cast("long").alias("_usual"))
     own = [F.col("tail")] if "tail" in stream.columns else []
-    return df.withColumn("duration", F.coalesce("_d", *own, upper_median(steps), F.lit(default))).drop("_d")
+    return df.join(usual, "stream_id", "left").withColumn("duration", F.coalesce("_d", *own, "_usual", F.lit(default))).drop("_d", "_usual")
 
 
 def manifest_check(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
