@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomtick.functions.rational import half_even
 from loomtick.operators.ordered import ordered
+from loomtick.operators.streams import by_stream
 
 
 def baseline_delta(rows: DataFrame, source: str, mode: str, baseline: str, value: str) -> DataFrame:
@@ -109,3 +112,69 @@ def tracks(observations: DataFrame, gap: int = 8, least: float = 0.1) -> DataFra
     names = ["stream_id long", "frame long", "score double", "x0 double", "y0 double", "x1 double", "y1 double"]
     typed = observations.select(*(F.col(n).cast(t) for n, t in map(str.split, names)))
     return ordered(typed, ["frame", F.desc("score"), "x0", "y0"], run, ", ".join([*names, "track long"]))
+
+
+def zipped(left: DataFrame, right: DataFrame, value: str, strict: bool = False) -> DataFrame:
+    """(stream_id, pos, value, other) of two streams row by row, up to the end of the shorter.
+
+    With ``strict``, a row without a partner stops the query instead.
+    """
+    other = right.select("stream_id", "pos", F.col(value).alias("other"), F.lit(True).alias("_r"))
+    both = left.select("stream_id", "pos", value, F.lit(True).alias("_l")).join(other, ["stream_id", "pos"], "full" if strict else "inner")
+    if strict:
+        both = both.where(F.when(F.col("_l") & F.col("_r"), True).otherwise(F.raise_error(F.concat(F.lit("streams drift apart at row "), F.col("pos")))))
+    return both.drop("_l", "_r")
+
+
+def clean_comparison(pairs: DataFrame, keys: list[str], reference: str, candidate: str) -> DataFrame:
+    """Mean, worst and root-mean distance from a clean reference, the last as PSNR (99 if there is none)."""
+    d = F.abs(F.col(reference) - F.col(candidate))
+    out = pairs.groupBy(*keys).agg(F.count(d).alias("n"), F.avg(d).alias("mean_abs"), F.percentile(d, F.lit(0.95)).alias("p95"), F.max(d).alias("worst"), F.avg(d * d).alias("_mse"))
+    return out.withColumn("psnr", F.when(F.col("_mse") <= 0, 99.0).otherwise(-10 * F.log10("_mse"))).drop("_mse")
+
+
+def label_counts(rows: DataFrame, keys: list[str], labels: str) -> DataFrame:
+    """(*keys, label, n, place): how often each label was given, the most frequent first, equals by name."""
+    counts = rows.select(*keys, F.explode(labels).alias("label")).groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("n"), "label")))
+
+
+def worst_of(scale: list[str], column: str) -> Column:
+    """Aggregate: the highest step of an ordered scale; its first one where nothing is known."""
+    steps = F.array(*map(F.lit, scale))
+    return F.element_at(steps, F.greatest(F.lit(1), F.coalesce(F.max(F.array_position(steps, F.col(column))), F.lit(1))).cast("int"))
+
+
+def nearby_pairs(stream: DataFrame, reach: int, value: str = "value") -> DataFrame:
+    """(stream_id, pos, later, value, later_value): each pair of rows at most ``reach`` apart, once.
+
+    A bounded window hands each row the next ones, so nothing is joined.
+    """
+    ahead = F.collect_list(F.struct(F.col("pos").alias("later"), F.col(value).alias("later_value"))).over(by_stream().rowsBetween(1, reach))
+    pairs = stream.select("stream_id", "pos", value, ahead.alias("_a")).select("stream_id", "pos", value, F.explode("_a").alias("_p"))
+    return pairs.where(F.col("_p.later") - F.col("pos") <= reach).select("stream_id", "pos", "_p.later", value, "_p.later_value")
+
+
+def filled_tiles(tiles: DataFrame, keys: list[str], value: str, whole: DataFrame, fallback: float) -> DataFrame:
+    """Tiles with their own value, else that of the whole (*keys, overall), else a fallback; and the share that had one."""
+    coverage = F.avg(F.col(value).isNotNull().cast("double")).over(W.partitionBy(*keys))
+    out = tiles.withColumn("coverage", coverage).join(whole, keys, "left")
+    return out.withColumn("filled", F.coalesce(value, "overall", F.lit(fallback))).drop("overall")
+
+
+def spread_runs(total: Column, most: int, length: int = 3) -> Column:
+    """Starts of runs of neighbouring rows spread evenly over ``total`` rows, ``most`` rows in all.
+
+    A total within ``most`` is one run from 0.
+    """
+    runs = max(2, most // length)
+    even = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda i: half_even(i.cast("long") * (total - length), F.lit(runs - 1)))
+    return F.when(total <= most, F.array(F.lit(0).cast("long"))).otherwise(F.array_sort(F.array_distinct(even)))
+
+
+def persistence(stream: DataFrame, value: str = "value") -> DataFrame:
+    """(stream_id, lag2_over_lag1): energy of the change over two rows over that of one; flicker stays near 1."""
+    v = F.col(value)
+    d = stream.select("stream_id", (v - F.lag(v, 1).over(by_stream())).alias("d1"), (v - F.lag(v, 2).over(by_stream())).alias("d2"))
+    rms = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))
+    return d.groupBy("stream_id").agg((rms("d2") / (rms("d1") + 1e-9)).alias("lag2_over_lag1"))

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
 from itertools import chain, tee
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from loomtick.functions.rational import floor_div
+from loomtick.functions.rational import floor_div, half_even
 from loomtick.operators.ordered import ordered
 from loomtick.operators.streams import by_stream
 
@@ -48,6 +52,112 @@ def verdict(stream: DataFrame, tick: int = 1) -> DataFrame:
     return base.join(gapped, "stream_id", "left").select("stream_id", "n", "first_pts", total.alias("span"), interval.alias("interval"), kind.alias("verdict"))
 
 
+def _meets(x: int, interval: Fraction) -> bool:
+    """Whether x ticks can stand for an interval on a clock of whole ticks."""
+    return abs(x - interval) <= (interval.denominator > 1)
+
+
+def uniform_interval(n: int, span: int, low: int | None, high: int | None, durations: tuple[int | None, int | None, int | None] = (None, None, None), ticks: int = 1_000_000, nominal: Fraction | None = None) -> Fraction | None:
+    """The one interval in ticks that n rows keep, or None, from their span and extreme steps.
+
+    Tried in this order: the nominal rate, an exact step, the rate over 1001 next to the
+    mean (four ticks a row at least), the mean.  Durations (least and largest before
+    the last row, the last) have to agree; a last one may be cut short.
+    """
+    least, most, tail = durations
+    named = ticks / nominal if nominal else None
+    if n == 1:
+        found = named or (Fraction(tail) if tail and tail > 0 else None)
+    elif low <= 0 or max(abs(low * (n - 1) - span), abs(high * (n - 1) - span)) > n - 1:
+        return None
+    else:
+        mean = Fraction(span, n - 1)
+        fits = lambda i: i and _meets(span, (n - 1) * i) and _meets(low, i) and _meets(high, i)
+        if fits(named):
+            found = named
+        elif low == high:
+            found = mean
+        else:
+            near = over_1001(mean, ticks)
+            found = None if mean < 4 else near if fits(near) else mean
+    if found is None or not all(d is None or _meets(d, found) for d in (least, most)):
+        return None
+    return found if tail is None or _meets(tail, found) or tail < found else None
+
+
+def over_1001(interval: Fraction, ticks: int) -> Fraction | None:
+    """The interval of the nearest rate of whole 1001ths a second, None if that is 0."""
+    rate = round(1001 * ticks / interval)
+    return Fraction(1001 * ticks, rate) if rate else None
+
+
+def cadence(stream: DataFrame, ticks: int = 1_000_000, nominal: Fraction | None = None) -> DataFrame:
+    """One row a stream: n, first_pts, span, verdict and the interval in ticks as ``num`` / ``den``.
+
+    uniform: one interval within what a clock of whole ticks may round (see
+    ``uniform_interval``; a ``duration`` column has its say).  gapped: all steps are
+    whole multiples of one interval and some are more than one; tried are the nominal,
+    the modal and the smallest step, the last two also over 1001.  variable: all else,
+    steps that do not grow among it.  An interval of whole ticks is held to exactly,
+    any other to one tick.
+
+    Only the summary of a stream is judged in Python; its steps are counted and tested
+    in the JVM, distinct ones once.
+    """
+    big = lambda c: F.col(c).cast("decimal(38,0)")
+    steps = stream.withColumn("d", F.lead("pts").over(by_stream()) - F.col("pts"))
+    own = F.col("duration") if "duration" in stream.columns else F.lit(None).cast("long")
+    inner = F.when(F.col("d").isNotNull(), own)
+    base = steps.groupBy("stream_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("pts").alias("first_pts"), (F.max("pts") - F.min("pts")).alias("span"), F.min("d").alias("low"), F.max("d").alias("high"),
+        F.min(inner).alias("least"), F.max(inner).alias("most"), F.max(F.when(F.col("d").isNull(), own)).alias("tail"),
+    )
+    counts = steps.where("d IS NOT NULL").groupBy("stream_id", "d").agg(F.count(F.lit(1)).alias("c"))
+    modal = counts.groupBy("stream_id").agg(F.min_by("d", F.struct(-F.col("c"), F.col("d"))).alias("modal"))
+    names = ["stream_id", "n", "first_pts", "span", "low", "high", "least", "most", "tail", "modal"]
+    interval = "struct<num:bigint,den:bigint>"
+    schema = f"stream_id long, n long, first_pts long, span long, uniform {interval}, tries array<{interval}>"
+    made = to_arrow_schema(StructType.fromDDL(schema))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = lambda i: i and {"num": i.numerator, "den": i.denominator}
+        for batch in batches:
+            out = []
+            for stream_id, n, first, span, low, high, least, most, tail, usual in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                one = uniform_interval(n, span, low, high, (least, most, tail), ticks, nominal)
+                tries = [ticks / nominal] if nominal else []
+                if low is not None and low > 0:
+                    tries += [i for d in (usual, low) for i in (Fraction(d), over_1001(Fraction(d), ticks)) if i]
+                out.append({"stream_id": stream_id, "n": n, "first_pts": first, "span": span, "uniform": pair(one), "tries": [pair(i) for i in tries] if one is None and low and low > 0 else []})
+            yield pa.RecordBatch.from_pylist(out, schema=made)
+
+    judged = base.join(modal, "stream_id", "left").select(*names).mapInArrow(judge, schema)
+    tested = counts.join(judged.select("stream_id", F.posexplode("tries").alias("place", "p")), "stream_id").select("stream_id", "place", "p", big("d").alias("d"), big("p.num").alias("a"), big("p.den").alias("b"))
+    tested = tested.withColumn("m", half_even(F.col("d") * F.col("b"), F.col("a")).cast("decimal(38,0)")).withColumn("whole", F.col("m") * F.col("a"))
+    slack = F.when(F.col("whole") % F.col("b") == 0, F.lit(0).cast("decimal(38,0)")).otherwise(F.col("b"))
+    fits = (F.col("m") >= 1) & (F.abs(F.col("d") * F.col("b") - F.col("whole")) <= slack)
+    grids = tested.groupBy("stream_id", "place", "p").agg(F.bool_and(fits).alias("all"), F.max("m").alias("most")).where("all AND most > 1")
+    gapped = grids.groupBy("stream_id").agg(F.min_by("p", "place").alias("gapped"))
+    kind = F.when(F.col("uniform").isNotNull(), "uniform").when(F.col("gapped").isNotNull(), "gapped").otherwise("variable")
+    found = judged.drop("tries").join(gapped, "stream_id", "left").withColumn("p", F.coalesce("uniform", "gapped"))
+    return found.select("stream_id", "n", "first_pts", "span", kind.alias("verdict"), F.col("p.num").alias("num"), F.col("p.den").alias("den"))
+
+
+def outgoing(stream: DataFrame, end: int | None = None, most: int | None = None) -> DataFrame:
+    """What a sink takes of a stream with ``duration``: no row before 0, ``most`` rows at the most.
+
+    The last row is cut at ``end`` but keeps one tick.
+    """
+    kept = stream.where("pts >= 0")
+    if most is not None:
+        kept = kept.withColumn("_n", F.row_number().over(by_stream())).where(F.col("_n") <= most).drop("_n")
+    if end is None:
+        return kept
+    last = F.lead("pts").over(by_stream()).isNull()
+    cut = F.greatest(F.lit(1), F.least(F.lit(end), F.col("pts") + F.col("duration")) - F.col("pts"))
+    return kept.withColumn("_last", last).withColumn("duration", F.when(F.col("_last"), cut).otherwise(F.col("duration"))).drop("_last")
+
+
 def conform(stream: DataFrame, interval: int, origin: Column | None = None) -> DataFrame:
     """Resample to a slot every ``interval`` ticks: each slot takes the row nearest in time.
 

@@ -8,13 +8,18 @@ Spark's own, over the same tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomtick.functions import clock as C
 from loomtick.functions import quantiles as Q
+from loomtick.functions.rational import floor_div
 from loomtick.operators import evaluation as E
+from loomtick.operators import guards as G
+from loomtick.operators import samples as A
 from loomtick.operators import streams as S
 from loomtick.operators import temporal as T
 from loomtick.operators import timing as M
@@ -357,6 +362,180 @@ def quantile_conventions(spark, d):
     return g.select("stream_id", Q.upper_median(v).alias("upper"), Q.lower_median(v).alias("lower"), _r(Q.averaging_median(v)).alias("averaging"), Q.nearest_lower(v, 0.3).alias("p30"), _r(Q.linear(v, 0.95)).alias("p95"), _r(Q.tail_rms(v)).alias("tail"))
 
 
+def _he(n: str, d: str) -> str:
+    """SQL: n / d rounded half to even, for numbers from 0 on."""
+    n, d = f"({n})", f"({d})"
+    return f"({n} // {d} + CASE WHEN 2 * ({n} % {d}) > {d} OR (2 * ({n} % {d}) = {d} AND ({n} // {d}) % 2 = 1) THEN 1 ELSE 0 END)"
+
+
+def _within(x: str, n: str, d: str) -> str:
+    """SQL: x lies at n / d, exactly if that is whole and within 1 otherwise."""
+    return f"abs(({x}) * ({d}) - ({n})) <= CASE WHEN ({n}) % ({d}) = 0 THEN 0 ELSE ({d}) END"
+
+
+K1001 = "1001000000::HUGEINT"
+
+
+@_query(f"""WITH {{S}}, f AS (SELECT stream_id * 5 + k AS stream_id, pos, CASE k WHEN 0 THEN pts WHEN 1 THEN pos * 40000 WHEN 2 THEN (pos * 200200 + 3) // 6 WHEN 3 THEN ((pos + pos // 7) * 200200 + 3) // 6 ELSE (pos + pos // 9) * 40000 END AS pts FROM s, range(0, 5) r(k)),
+d AS (SELECT *, lead(pts) OVER (PARTITION BY stream_id ORDER BY pos) - pts AS d FROM f), c AS (SELECT stream_id, d::HUGEINT AS d, count(*) AS c FROM d WHERE d IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT stream_id, arg_min(d, (-c)::HUGEINT * 1000000000000000 + d) AS modal FROM c GROUP BY 1),
+b AS (SELECT stream_id, count(*) AS n, min(pts) AS first_pts, (max(pts) - min(pts))::HUGEINT AS span, min(d)::HUGEINT AS lo, max(d)::HUGEINT AS hi, (count(*) - 1)::HUGEINT AS g FROM d GROUP BY 1),
+u AS (SELECT *, lo > 0 AND abs(hi * g - span) <= g AND abs(lo * g - span) <= g AS even, CASE WHEN span > 0 THEN {_he(K1001 + ' * g', 'span')} END AS k FROM b),
+v AS (SELECT *, CASE WHEN n = 1 OR NOT even THEN 0 WHEN lo = hi THEN 1 WHEN span < 4 * g THEN 0 WHEN k > 0 AND {_within('span', 'g * ' + K1001, 'nullif(k, 0)')} AND {_within('lo', K1001, 'nullif(k, 0)')} AND {_within('hi', K1001, 'nullif(k, 0)')} THEN 2 ELSE 1 END AS kind FROM u),
+x AS (SELECT stream_id, lo, modal FROM v JOIN m USING (stream_id) WHERE kind = 0 AND lo > 0),
+cand AS (SELECT stream_id, 1 AS o, modal AS a, 1::HUGEINT AS b FROM x UNION ALL SELECT stream_id, 2, {K1001}, {_he(K1001, 'modal')} FROM x UNION ALL SELECT stream_id, 3, lo, 1 FROM x UNION ALL SELECT stream_id, 4, {K1001}, {_he(K1001, 'lo')} FROM x),
+t AS (SELECT stream_id, o, a, b, d, {_he('d * b', 'a')} AS mul FROM cand JOIN c USING (stream_id) WHERE b > 0),
+g AS (SELECT stream_id, arg_min(a, o) AS a, arg_min(b, o) AS b FROM (SELECT stream_id, o, a, b FROM t GROUP BY ALL HAVING bool_and(mul >= 1 AND abs(d * b - mul * a) <= CASE WHEN (mul * a) % b = 0 THEN 0 ELSE b END) AND max(mul) > 1) GROUP BY 1),
+r AS (SELECT stream_id, n, first_pts, span, CASE WHEN kind > 0 THEN 'uniform' WHEN a IS NOT NULL THEN 'gapped' ELSE 'variable' END AS verdict,
+ (CASE kind WHEN 1 THEN span WHEN 2 THEN {K1001} ELSE a END)::BIGINT AS num, (CASE kind WHEN 1 THEN v.g WHEN 2 THEN k ELSE b END)::BIGINT AS den FROM v LEFT JOIN g USING (stream_id))
+SELECT stream_id, n, first_pts::BIGINT AS first_pts, span::BIGINT AS span, verdict, num // gcd(num, den) AS num, den // gcd(num, den) AS den FROM r""")
+def cadence_verdict(spark, d):
+    pos, k = F.col("pos"), F.col("k")
+    ntsc = lambda p: floor_div(p * 200200 + 3, F.lit(6))
+    pts = F.when(k == 0, F.col("pts")).when(k == 1, pos * 40000).when(k == 2, ntsc(pos)).when(k == 3, ntsc(pos + F.floor(pos / 7))).otherwise((pos + F.floor(pos / 9)) * 40000)
+    s = _s(spark, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    return M.cadence(s.select((F.col("stream_id") * 5 + k).alias("stream_id"), "pos", pts.cast("long").alias("pts")))
+
+
+@_query(f"""WITH o AS (SELECT o_orderkey, 1000 + o_custkey % 997 * 50 AS total, o_orderkey * 7919 % 40000000 AS a, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey * 104729 % 90000000 END AS z, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey * 1299 % 5000000 END AS cap FROM orders),
+i AS (SELECT *, least({_he('a * 1000', '1000000')}, total) AS first, least(coalesce({_he('z * 1000', '1000000')}, total), total) AS z1, {_he('cap * 1000', '1000000')} AS c1 FROM o)
+SELECT o_orderkey, first::BIGINT AS first, greatest(first, least(z1, coalesce(first + c1, z1)))::BIGINT AS stop FROM i""")
+def sample_window(spark, d):
+    k = F.col("o_orderkey")
+    o = _t(spark, d, "orders").select(k, (1000 + F.col("o_custkey") % 997 * 50).alias("total"), (k * 7919 % 40000000).alias("a"), F.when(k % 5 > 0, k * 104729 % 90000000).alias("z"), F.when(k % 3 == 0, k * 1299 % 5000000).alias("cap"))
+    first, stop = A.sample_window(F.col("total"), 1000, F.col("a"), F.col("z"), F.col("cap"))
+    return o.select(k, first.alias("first"), stop.alias("stop"))
+
+
+SEGMENTS_SQL = """p AS (SELECT stream_id, pos, pos * 100 + (CASE WHEN pos % 6 = 5 THEN 40 ELSE 0 END) AS start, pos * 100 + 100 AS stop FROM s)"""
+
+
+def _segments(spark, d):
+    pos = F.col("pos")
+    return _s(spark, d).select("stream_id", "pos", (pos * 100 + F.when(pos % 6 == 5, 40).otherwise(0)).alias("start"), (pos * 100 + 100).alias("stop"))
+
+
+@_query("WITH {S}, " + SEGMENTS_SQL + """, l AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY stream_id ORDER BY pos), 150) AS before FROM p),
+u AS (SELECT stream_id, greatest(before, 150) AS start, least(start, 2075) AS stop, NULL::BIGINT AS pos FROM l UNION ALL SELECT stream_id, greatest(start, 150), least(stop, 2075), pos FROM l)
+SELECT stream_id, start::BIGINT AS start, stop::BIGINT AS stop, pos FROM u WHERE start < stop""")
+def silence_runs(spark, d):
+    return A.fill_gaps(_segments(spark, d), F.lit(150), F.lit(2075))
+
+
+@_query("WITH {S}, " + SEGMENTS_SQL + """ SELECT stream_id, pos, pos * 100 + (CASE WHEN pos % 6 = 5 THEN 40 ELSE 0 END) AS start, pos * 100 + 100 AS stop FROM p""")
+def snapped_segments(spark, d):
+    # starts are reported up to two samples off; a true gap is 40 samples wide
+    off = F.when(F.col("pos") % 6 == 5, 0).otherwise(F.col("pos") % 5 - 2)
+    s = _segments(spark, d).withColumn("length", F.col("stop") - F.col("start")).withColumn("start", F.when(F.col("pos") == 0, F.col("start")).otherwise(F.col("start") + off))
+    return A.snap_segments(s, Fraction(2))
+
+
+@_query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey % 500 AS t0, l_partkey % 500 + l_quantity::BIGINT * 5 AS t1, CASE WHEN l_linenumber % 2 = 0 THEN 60 END AS cap FROM lineitem),
+y AS (SELECT *, greatest(0, 200 - t0) AS skip, greatest(0, t0 - 200) AS "offset", least(least(300, t1) - greatest(200, t0), CASE WHEN cap IS NULL THEN 1000000 ELSE greatest(0, cap - greatest(0, t0 - 200)) END) AS length FROM x)
+SELECT l_orderkey, l_linenumber, skip::BIGINT AS skip, "offset"::BIGINT AS "offset", length::BIGINT AS length FROM y WHERE length > 0""")
+def track_placement(spark, d):
+    t0 = F.col("l_partkey") % 500
+    met = A.place(t0, t0 + F.col("l_quantity").cast("long") * 5, F.lit(200), F.lit(300), F.when(F.col("l_linenumber") % 2 == 0, 60))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", met.alias("p")).where("p IS NOT NULL").select("l_orderkey", "l_linenumber", "p.*")
+
+
+def _changes(spark, d):
+    s = S.with_segments(_s(spark, d), S.jump(300))
+    return s.withColumn("area", F.col("value") / 16000).withColumn("mean", F.col("value") / 4800).withColumn("is_sync", _sync())
+
+
+@_query()
+def guard_states(spark, d):
+    return G.output_guard(_changes(spark, d), G.Guard(lockout=6)).select("stream_id", "pos", "state", _r("weight").alias("weight"), "damped")
+
+
+@_query()
+def sync_refresh(spark, d):
+    return G.refresh_at_sync(_changes(spark, d))
+
+
+@_query("""WITH RECURSIVE {S}, q AS (SELECT *, coalesce(abs(value - lag(value) OVER (PARTITION BY stream_id ORDER BY pos)) > 300, false) AS cut FROM s),
+e AS (SELECT stream_id, pos, value AS blended FROM q WHERE pos = 0 UNION ALL SELECT q.stream_id, q.pos, CASE WHEN cut THEN value ELSE (value + 0.7 * exp(-pow((value - blended) / 80.0, 2)) * blended) / (1 + 0.7 * exp(-pow((value - blended) / 80.0, 2))) END FROM e JOIN q ON q.stream_id = e.stream_id AND q.pos = e.pos + 1)
+SELECT stream_id, pos, round(blended, 5) AS blended FROM e""")
+def recursive_blend(spark, d):
+    return G.recursive_blend(_changes(spark, d), 0.7, 80.0).select("stream_id", "pos", _r("blended", 5).alias("blended"))
+
+
+@_query("""WITH {S}, l AS (SELECT stream_id, pos, value / 500 AS v, lag(value) OVER w / 500 AS p, (lag(value) OVER w + value * 3) / 2000 AS a FROM s WINDOW w AS (PARTITION BY stream_id ORDER BY pos))
+SELECT stream_id, pos, round(greatest(0, least(1, (abs(v - p) - abs(v - a)) / 0.004)) * exp(-pow(abs(v - a) / 0.035, 2)), 6) AS gate FROM l WHERE p IS NOT NULL""")
+def history_gate(spark, d):
+    before = F.lag("value").over(S.by_stream())
+    l = _s(spark, d).select("stream_id", "pos", (F.col("value") / 500).alias("v"), (before / 500).alias("p"), ((before + F.col("value") * 3) / 2000).alias("a")).where("p IS NOT NULL")
+    return l.select("stream_id", "pos", _r(G.admission(F.col("v"), F.col("p"), F.col("a"))).alias("gate"))
+
+
+@_query("""WITH t AS (SELECT p_partkey, p_partkey % 6 AS k FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN p_partkey WHEN 1 THEN p_partkey WHEN 2 THEN round_even(p_partkey * 23.976, 0)::BIGINT WHEN 3 THEN round_even((p_partkey + 0.25) * 23.976, 0)::BIGINT
+ WHEN 4 THEN round_even((p_partkey * 60 + 7.5) * 23.976, 0)::BIGINT END AS frames FROM t""")
+def time_grammar(spark, d):
+    n = F.col("p_partkey").cast("string")
+    k = F.col("p_partkey") % 6
+    text = F.when(k == 0, n).when(k == 1, F.concat(n, F.lit("F"))).when(k == 2, F.concat(n, F.lit("s "))).when(k == 3, F.concat(n, F.lit(".25"))).when(k == 4, F.concat(n, F.lit(":07.5"))).otherwise(F.concat(n, F.lit(" minutes")))
+    return _t(spark, d, "part").select("p_partkey", C.frames_column(text, 23.976).alias("frames"))
+
+
+@_query("""WITH l AS (SELECT o_orderpriority AS grp, unnest(list_filter([CASE WHEN o_totalprice > 200000 THEN 'large' END, CASE WHEN o_orderstatus = 'F' THEN 'done' END, CASE WHEN o_custkey % 2 = 0 THEN 'even' END], lambda x: x IS NOT NULL)) AS label FROM orders)
+SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, label)::INT AS place FROM (SELECT grp, label, count(*) AS n FROM l GROUP BY 1, 2)""")
+def label_ranking(spark, d):
+    found = E.labels(("large", F.col("o_totalprice") > 200000), ("done", F.col("o_orderstatus") == "F"), ("even", F.col("o_custkey") % 2 == 0))
+    return E.label_counts(_t(spark, d, "orders").select(F.col("o_orderpriority").alias("grp"), found.alias("labels")), ["grp"], "labels")
+
+
+@_query("""SELECT user_id, CASE max(CASE WHEN value > 450 THEN 3 WHEN value > 300 THEN 2 ELSE 1 END) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS risk FROM events WHERE event_type <> 'view' GROUP BY 1""")
+def risk_summary(spark, d):
+    v = F.col("value")
+    e = _t(spark, d, "events").where("event_type <> 'view'").withColumn("risk", F.when(v > 450, "high").when(v > 300, "medium").otherwise("low"))
+    return e.groupBy("user_id").agg(E.worst_of(["low", "medium", "high"], "risk").alias("risk"))
+
+
+@_query("""WITH {S}, x AS (SELECT a.stream_id, abs(a.value - b.value) / 500 AS d FROM s a JOIN s b ON b.stream_id = a.stream_id + 1 AND b.pos = a.pos)
+SELECT stream_id, count(*) AS n, round(avg(d), 6) AS mean_abs, round(quantile_cont(d, 0.95), 6) AS p95, round(max(d), 6) AS worst, round(CASE WHEN avg(d * d) <= 0 THEN 99 ELSE -10 * log10(avg(d * d)) END, 6) AS psnr FROM x GROUP BY 1""")
+def clean_comparison(spark, d):
+    s = _s(spark, d).withColumn("value", F.col("value") / 500)
+    both = E.zipped(s, s.withColumn("stream_id", F.col("stream_id") - 1), "value")
+    out = E.clean_comparison(both, ["stream_id"], "value", "other")
+    return out.select("stream_id", "n", *(_r(c).alias(c) for c in ("mean_abs", "p95", "worst", "psnr")))
+
+
+@_query("""WITH {S} SELECT a.stream_id, a.pos, b.pos AS later, round(abs(a.value - b.value), 6) AS distance FROM s a JOIN s b ON a.stream_id = b.stream_id AND b.pos > a.pos AND b.pos <= a.pos + 3""")
+def nearby_pairs(spark, d):
+    return E.nearby_pairs(_s(spark, d), 3).select("stream_id", "pos", "later", _r(F.abs(F.col("value") - F.col("later_value"))).alias("distance"))
+
+
+@_query("""WITH t AS (SELECT l_suppkey, l_linenumber, CASE WHEN count(*) >= 20 THEN round(avg(l_tax), 6) END AS v FROM lineitem GROUP BY 1, 2), w AS (SELECT l_suppkey, CASE WHEN count(*) >= 100 THEN round(avg(l_tax), 6) END AS overall FROM lineitem GROUP BY 1)
+SELECT l_suppkey, l_linenumber, v, round(count(v) OVER (PARTITION BY l_suppkey) / count(*) OVER (PARTITION BY l_suppkey), 6) AS coverage, coalesce(v, overall, 0.5) AS filled FROM t LEFT JOIN w USING (l_suppkey)""")
+def tile_fill(spark, d):
+    li = _t(spark, d, "lineitem")
+    mean = lambda n: F.when(F.count(F.lit(1)) >= n, _r(F.avg("l_tax")))
+    tiles, whole = li.groupBy("l_suppkey", "l_linenumber").agg(mean(20).alias("v")), li.groupBy("l_suppkey").agg(mean(100).alias("overall"))
+    return E.filled_tiles(tiles, ["l_suppkey"], "v", whole, 0.5).withColumn("coverage", _r("coverage"))
+
+
+@_query(f"""WITH t AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT user_id, unnest(CASE WHEN n <= 24 THEN [0::BIGINT] ELSE list_distinct(list_transform(range(0, 8), lambda i: {_he('i * (n - 3)', '7')}::BIGINT)) END) AS start FROM t""")
+def spread_runs(spark, d):
+    t = _t(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return t.select("user_id", F.explode(E.spread_runs(F.col("n"), 24)).alias("start"))
+
+
+@_query("""WITH {S}, l AS (SELECT stream_id, value - lag(value, 1) OVER w AS a, value - lag(value, 2) OVER w AS b FROM s WINDOW w AS (PARTITION BY stream_id ORDER BY pos))
+SELECT stream_id, round(sqrt(avg(b * b)) / (sqrt(avg(a * a)) + 1e-9), 6) AS lag2_over_lag1 FROM l GROUP BY 1""")
+def flicker_persistence(spark, d):
+    return E.persistence(_s(spark, d)).withColumn("lag2_over_lag1", _r("lag2_over_lag1"))
+
+
+@_query(f"""WITH {{S}}, t AS (SELECT stream_id, pos, pts - {AT} AS pts, coalesce(lead(pts) OVER (PARTITION BY stream_id ORDER BY pos) - pts, {HOUR}) AS duration FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY pos) AS n, lead(pts) OVER (PARTITION BY stream_id ORDER BY pos) AS nxt FROM t WHERE pts >= 0)
+SELECT stream_id, pos, pts, (CASE WHEN nxt IS NULL OR n = 20 THEN greatest(1, least({100 * HOUR}, pts + duration) - pts) ELSE duration END)::BIGINT AS duration FROM k WHERE n <= 20""")
+def outgoing_rows(spark, d):
+    s = _s(spark, d).withColumn("duration", F.coalesce(F.lead("pts").over(S.by_stream()) - F.col("pts"), F.lit(HOUR)))
+    return M.outgoing(s.withColumn("pts", F.col("pts") - AT), 100 * HOUR, 20).select("stream_id", "pos", "pts", "duration")
+
+
 # --- Spark's own relational operators over the driver tables (no counterpart to match) ---
 
 
