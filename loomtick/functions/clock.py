@@ -1,38 +1,16 @@
-"""Positions and lengths written as frames, seconds or clock times."""
+"""Positions written as frames, seconds or clock times, in a column (``plans.config`` reads single ones)."""
 
 from __future__ import annotations
 
-import re
-from fractions import Fraction
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_FRAMES = re.compile(r"(\d+)f?")
-_SECONDS = re.compile(r"(\d+(?:\.\d*)?|\.\d+)s?")
-_CLOCK = re.compile(r"(?:(\d+):)?(\d+):(\d+(?:\.\d*)?)")
-
-
-def frames_or_seconds(text: str) -> tuple[int | None, Fraction | None]:
-    """``120`` and ``120f`` are frames; ``5s``, ``1.5``, ``mm:ss`` and ``hh:mm:ss`` are seconds."""
-    s = str(text).strip().lower()
-    if m := _FRAMES.fullmatch(s):
-        return int(m[1]), None
-    if m := _SECONDS.fullmatch(s):
-        return None, Fraction(m[1].rstrip("."))
-    if m := _CLOCK.fullmatch(s):
-        return None, int(m[1] or 0) * 3600 + int(m[2]) * 60 + Fraction(m[3].rstrip("."))
-    raise ValueError(f"cannot read {text!r}: write frames (120, 120f), seconds (5s, 1.5) or a clock time (mm:ss, hh:mm:ss)")
-
-
-def frames(text: str, fps: Fraction | int | str) -> int:
-    """The same in frames at a rate, rounded half to even."""
-    count, seconds = frames_or_seconds(text)
-    return count if seconds is None else round(seconds * Fraction(fps))
-
 
 def frames_column(text: Column, fps: float) -> Column:
-    """``frames`` of a text column; null where the text cannot be read."""
+    """Frames at a rate, rounded half to even; null where the text cannot be read.
+
+    ``120`` and ``120f`` are frames; ``5s``, ``1.5``, ``mm:ss`` and ``hh:mm:ss`` are seconds.
+    """
     s = F.lower(F.trim(text))
     number = lambda t: F.when(t != "", t).cast("double")
     part = lambda pattern, k: number(F.regexp_extract(s, pattern, k))
@@ -41,14 +19,3 @@ def frames_column(text: Column, fps: float) -> Column:
     plain = r"^(\d+\.?\d*|\.\d+)s?$"
     seconds = F.when(s.rlike(clock), F.coalesce(part(clock, 1), F.lit(0.0)) * 3600 + part(clock, 2) * 60 + part(clock, 3)).otherwise(part(plain, 1))
     return F.when(s.rlike(whole), F.regexp_extract(s, whole, 1).cast("long")).otherwise(F.rint(seconds * fps).cast("long"))
-
-
-def trim_bounds(start: str | None, end: str | None, fps: Fraction | int | str, total: int) -> tuple[int, int | None]:
-    """Half-open [first, stop) of a clip of ``total`` frames (0: unknown); an empty window is refused."""
-    first = frames(start, fps) if start else 0
-    stop = frames(end, fps) if end else None
-    if stop is not None and stop <= first:
-        raise ValueError(f"the window ends at {stop} and begins at {first}")
-    if total and first >= total:
-        raise ValueError(f"the window begins at {first} of {total} frames")
-    return first, min(stop, total) if total and stop is not None else stop
