@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtick.operators import streams, temporal, timing
+from loomtick.operators import guards, streams, temporal, timing
 from loomtick.plans import config as C
 from loomtick.plans.spec import Mode, StreamSpec, violations
 
@@ -137,6 +137,15 @@ def _replace(made: DataFrame, column: str) -> DataFrame:
     return made.withColumn("value", F.col(column)).drop(column)
 
 
+def _motion_blend(df: DataFrame, keys: Mapping[str, Any]) -> DataFrame:
+    """A window of 0 blends with the blend before, any other with that many rows before."""
+    if keys["window"]:
+        return _replace(temporal.fir_blend(df, keys["window"], keys["sigma"], keys["strength"]), "blended")
+    rows = df if "segment_id" in df.columns else df.withColumn("segment_id", F.lit(0).cast("long"))
+    made = guards.recursive_blend(rows, keys["strength"], keys["sigma"])
+    return _replace(df.join(made, ["stream_id", "pos"]), "blended")
+
+
 def _constant(spec: StreamSpec, keys: Mapping[str, Any]) -> StreamSpec:
     return spec.with_timeline(cadence=Fraction(str(keys["fps"])), cardinality_kept=False)
 
@@ -146,7 +155,7 @@ for _stage in (
     Stage("conform", {"fps": 25}, _conform, mode=Mode.CENTERED, radius=lambda k: 1, produces=_constant),
     Stage("interpolate", {"fps": 25}, _interpolate, capability="interpolate", produces=_constant),
     Stage("deflicker", {"window": 8, "band": 0.1, "frac": 0.6, "max_fix": 0.1, "step": 1.5 / 255}, lambda df, k: _replace(temporal.deflicker(df, k["window"], k["band"], k["frac"], k["max_fix"], k["step"]), "fixed"), mode=Mode.CENTERED, radius=lambda k: k["window"]),
-    Stage("mc", {"window": 4, "sigma": 0.05, "strength": 0.8}, lambda df, k: _replace(temporal.fir_blend(df, k["window"], k["sigma"], k["strength"]), "blended"), capability="denoise", mode=Mode.CAUSAL, radius=lambda k: k["window"], profiles={"strong": {"strength": 1.0, "sigma": 0.1}}),
+    Stage("mc", {"window": 4, "sigma": 0.05, "strength": 0.8}, _motion_blend, capability="denoise", mode=Mode.CAUSAL, radius=lambda k: max(1, k["window"]), profiles={"strong": {"strength": 1.0, "sigma": 0.1}}),
     Stage("trim", {"start": 0, "end": 1 << 62}, lambda df, k: streams.trim(df, F.lit(k["start"]), F.lit(k["end"])), produces=lambda s, k: s.with_timeline(cardinality_kept=False)),
 ):
     register(_stage.name, _stage)

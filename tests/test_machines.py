@@ -11,7 +11,8 @@ from loomtick.__main__ import main
 from loomtick.functions import clock
 from loomtick.operators import evaluation, guards, samples, temporal, timing
 from loomtick.operators.ordered import ordered
-from loomtick.plans import config
+from loomtick.plans import compiler, config
+from loomtick.plans.spec import StreamSpec
 from loomtick.sources.tables import with_durations
 
 
@@ -144,6 +145,13 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["config", files[1]]) == 2 and capsys.readouterr().err.startswith("loomtick: ")
 
 
+def test_recursive_stage(spark):
+    df = stream(spark, [0, 1, 2, 3], [0]).withColumn("value", F.when(F.col("pos") == 3, 9.0).otherwise(F.col("pos").cast("double")))
+    chain = {"pipeline": ["cut", "mc"], "cut": {"processor": "cut_detect", "threshold": 5}, "mc": {"processor": "mc", "window": 0, "sigma": 1e9, "strength": 1.0}}
+    out = compiler.run(chain, compiler.TypedStream(df, StreamSpec())).df.orderBy("stream_id", "pos").collect()
+    assert [r.value for r in out] == pytest.approx([0, 0.5, 1.25, 9, 0])  # the cut starts it anew
+
+
 def test_zip_refuses_drift(spark):
     a = stream(spark, [1, 2, 3]).withColumnRenamed("pts", "value")
     assert evaluation.zipped(a, a.where("pos < 2"), "value").count() == 2
