@@ -1,13 +1,13 @@
 """Information-theoretic sanitisation of personal data.
 
 The plain patterns (email, ip, card, phone) find the protected entities.  The
-corpus says how much a term near an entity gives it away: with n(t), n(c) and
-n(t, c) documents that hold the term, the entity, and both close together,
+corpus says how much a term gives an entity away: with n(t), n(c) and n(t, c)
+documents that hold the term, the entity, and both anywhere in them,
 
     pmi(t, c) = log2(N * n(t, c) / (n(t) * n(c)))      ic(c) = log2(N / n(c))
 
-A term with pmi(t, c) >= disclosure * ic(c), seen with the entity in at least
-``min_documents`` documents, discloses it: its occurrences near the entity become
+A term with pmi(t, c) >= disclosure * ic(c) > 0 discloses the entity, however few
+documents hold it: all its occurrences in documents that hold the entity become
 spans of kind ``term``.  Where the term never occurs without the entity it is
 removed, otherwise generalised.
 """
@@ -35,9 +35,6 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 
-#: Terms to either side of an entity that count as close to it.
-NEAR = 8
-
 
 def _luhn(digits: list[int]) -> bool:
     total = 0
@@ -82,9 +79,14 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in order)
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]], near: int = NEAR) -> list[tuple[str, int, int, bytes]]:
-    """(term, start, end, entity) for the terms next to each span; entities as 16-byte hashes."""
-    out: dict[tuple[str, int, int, bytes], None] = {}
+def entity_of(kind: str, value: str) -> bytes:
+    """16 bytes that stand for an entity."""
+    return hashlib.blake2b(f"{kind}:{value.lower()}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def free_terms(text: str, spans: list[tuple[str, int, int]]) -> dict[str, list[int]]:
+    """Starts and ends, in turn, of all occurrences of each term outside the spans."""
+    out: dict[str, list[int]] = {}
     ends: list[int] = []  # of the spans, united
     begins: list[int] = []
     for a, b in sorted((a, b) for _, a, b in spans):
@@ -93,33 +95,31 @@ def near_terms(text: str, spans: list[tuple[str, int, int]], near: int = NEAR) -
         else:
             begins.append(a)
             ends.append(b)
-    free = lambda a, b: (i := bisect.bisect_right(ends, a)) == len(ends) or begins[i] >= b
-    terms = [(m.start(), m.end(), m[0].lower()) for m in _TERM.finditer(text) if free(*m.span())]
-    starts = [t[0] for t in terms]
-    for kind, a, b in spans:
-        entity = hashlib.blake2b(f"{kind}:{text[a:b].lower()}".encode(), digest_size=16).digest()
-        i, j = bisect.bisect_left(starts, a), bisect.bisect_left(starts, b)
-        for x, y, term in terms[max(0, i - near) : i] + terms[j : j + near]:
-            out[(term, x, y, entity)] = None
-    return list(out)
+    for m in _TERM.finditer(text):
+        a, b = m.span()
+        i = bisect.bisect_right(ends, a)
+        if i == len(ends) or begins[i] >= b:
+            out.setdefault(m[0].lower(), []).extend((a, b))
+    return out
 
 
-def protected(docs: DataFrame, near: int = NEAR) -> DataFrame:
-    """(doc_id, key, base, near): the plain spans of every row and the terms close to them."""
+def protected(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, base, entities, terms): the plain spans of every row, and the terms beside them where it has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near_type = pa.list_(pa.struct([("term", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("entity", pa.binary())]))
+        terms_type = pa.list_(pa.struct([("term", pa.string()), ("at", pa.list_(pa.int64()))]))
         for batch in text_slices(batches, 2):
-            base, close = [], []
+            base, entities, terms = [], [], []
             for value in batch.column(2):
                 text = value.as_py() or ""
                 spans = base_spans(text)
                 base.append(joined(spans))
-                close.append([dict(zip(("term", "a", "b", "entity"), t, strict=True)) for t in near_terms(text, spans, near)] if spans else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.string()), pa.array(close, near_type)], ["doc_id", "key", "base", "near"])
+                entities.append(sorted({entity_of(k, text[a:b]) for k, a, b in spans}))
+                terms.append([{"term": t, "at": at} for t, at in free_terms(text, spans).items()] if spans else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.string()), pa.array(entities, pa.list_(pa.binary())), pa.array(terms, terms_type)], ["doc_id", "key", "base", "entities", "terms"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.transform(in_arrow, run, "doc_id long, key binary, base string, near array<struct<term:string,a:long,b:long,entity:binary>>")
+    return rows.transform(in_arrow, run, "doc_id long, key binary, base string, entities array<binary>, terms array<struct<term:string,at:array<long>>>")
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
         packed = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
         for batch in batches:
             for value in batch.column(0):
-                counts.update(set(_TERM.findall((value.as_py() or "").lower())))
+                counts.update({t.lower() for t in _TERM.findall(value.as_py() or "")})
                 if len(counts) > 500_000:
                     yield packed()
                     counts.clear()
@@ -139,19 +139,38 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).transform(in_arrow, run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def disclosing(rows: DataFrame, docs: DataFrame, disclosure: float = 0.8, min_documents: int = 3) -> DataFrame:
-    """(term, entity, removed): terms that give an entity away, by the counts of the whole corpus."""
-    total = F.lit(rows.count()).cast("double")
-    each = rows.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["term"].alias("term"), x["entity"].alias("entity"))))).alias("p"))
-    pairs = each.groupBy("p.term", "p.entity").agg(F.count(F.lit(1)).alias("n_both"))
-    of = rows.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
-    entities = of.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    pairs = pairs.where(F.col("n_both") >= min_documents).join(entities, "entity").join(document_frequencies(docs), "term")
-    pmi = F.log2(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    return pairs.where(pmi >= disclosure * F.log2(total / F.col("n_entity"))).where(pmi > 0).select("term", "entity", (F.col("n_both") >= F.col("n_term")).alias("removed"))
-
+def disclosing(rows: DataFrame, docs: DataFrame, disclosure: float = 0.8) -> DataFrame:
+    """(key, at, removed): occurrences of terms that give an entity of a text away, by the counts of the whole corpus.
 
-def find_personal_data(docs: DataFrame, disclosure: float = 0.8, min_documents: int = 3, near: int = NEAR) -> DataFrame:
+    n(t, c) is at most n(t) and n(c), so a term of too many documents can be left
+    out before it meets the entities.  The entities that no other text holds stand
+    in the same documents, so one of them stands for all.
+    """
+    total = rows.count()
+    texts = rows.where(F.size("entities") > 0).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    texts = written(texts, "pii-texts")
+    held = texts.select("key", "n", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("n_texts"))
+    held = held.select("key", "entity").join(entities, "entity").groupBy("key", F.when(F.col("n_texts") > 1, F.col("entity")).alias("shared"))
+    held = written(held.agg(F.min("entity").alias("entity"), F.min("n_entity").alias("n_entity")).select("key", "entity", "n_entity"), "pii-entities")
+    share = F.col("n_entity") / F.lit(float(total))
+    most = F.greatest(F.col("n_entity").cast("double"), total * F.pow(share, F.lit(float(disclosure))))  # of n(t)
+    limits = held.groupBy("key").agg(F.max(most * (1 + 1e-9)).alias("most"))
+    each = texts.join(limits, "key").select("key", "n", "most", F.explode("terms").alias("t")).select("key", "n", "most", "t.term", "t.at")
+    each = each.join(document_frequencies(docs), "term").where(F.col("n_term") <= F.col("most"))
+    each = written(each.select("key", "n", "term", "n_term", "at"), "pii-candidates")
+    met = each.select("key", "n", "term", "n_term").join(held, "key").where(F.col("n_term") <= most * (1 + 1e-9))
+    met = written(met, "pii-pairs")
+    pairs = met.groupBy("term", "entity").agg(F.sum("n").alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
+    pmi = F.log2(total * F.col("n_both").cast("double") / (F.col("n_term") * F.col("n_entity")))
+    # equal counts are compared exactly: logarithms of both sides may differ in the last bits
+    enough = (F.col("n_both") >= F.col("n_term")) & F.lit(disclosure <= 1) | (pmi >= disclosure * F.log2(1 / share))
+    found = pairs.where(enough & (pmi > 0)).select("term", "entity", (F.col("n_both") >= F.col("n_term")).alias("removed"))
+    found = met.select("key", "term", "entity").join(found, ["term", "entity"]).groupBy("key", "term").agg(F.max("removed").alias("removed"))
+    return each.select("key", "term", "at").join(found, ["key", "term"]).select("key", "at", "removed")
+
+
+def find_personal_data(docs: DataFrame, disclosure: float = 0.8) -> DataFrame:
     """Personal data and the terms that disclose it: one row for each row of ``docs``.
 
     doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (all, as code points,
@@ -160,10 +179,11 @@ def find_personal_data(docs: DataFrame, disclosure: float = 0.8, min_documents:
     have equal results, so decisions are taken once for each text and joined back
     to its rows; copies of one text are spread by the adaptive skew join.
     """
-    rows = written(protected(docs, near), "pii")
-    flagged = written(disclosing(rows, docs, disclosure, min_documents), "pii-terms")
-    each = rows.where(F.size("near") > 0).select("key", F.explode("near").alias("t")).select("key", "t.term", "t.entity", "t.a", "t.b").distinct()
-    spans = each.join(flagged, ["term", "entity"]).groupBy("key").agg(F.collect_set(F.struct("a", "b", "removed")).alias("found"))
+    rows = written(protected(docs), "pii")
+    flagged = disclosing(rows, docs, disclosure)
+    place = lambda i: F.struct(F.col("at")[2 * i].alias("a"), F.col("at")[2 * i + 1].alias("b"), F.col("removed").alias("removed"))
+    places = F.transform(F.sequence(F.lit(0), (F.size("at") / 2).cast("int") - 1), place)
+    spans = flagged.groupBy("key").agg(F.flatten(F.collect_list(places)).alias("found"))
     spans = spans.select(
         "key",
         F.array_sort(F.array_distinct(F.transform("found", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))))).alias("terms"),

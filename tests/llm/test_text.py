@@ -64,6 +64,43 @@ def test_disclosing_terms(spark):
     assert pii.find_personal_data(frame(spark, rows).where("doc_id < 0")).count() == 0
 
 
+def test_terms_disclose_entities_of_one_document(spark):
+    filler = [(i, f"plain words of number w{chr(97 + i % 26)}{chr(97 + i // 26)}x") for i in range(200)]
+    far = " ".join(["plain words of number"] * 20)
+    rows = [*filler, (300, f"Zaphod {far} zap@example.org and ford@example.org {far} zaphod"), (301, f"Trillian {far} tri@example.org"), (302, f"{far} tri@example.org {far} trillian")]
+    out = {r.doc_id: r for r in pii.find_personal_data(frame(spark, rows)).collect()}
+    named = lambda i: [dict(rows)[i][int(a) : int(b)] for k, a, b in (s.split(":") for s in out[i].spans.split(",")) if k == "term"]
+    assert named(300) == ["Zaphod", "and", "zaphod"] and out[300].n_term == 3
+    assert named(301) == ["Trillian"] and named(302) == ["trillian"]
+    assert len(out[300].removed.split(",")) == 3 and all(out[i].n_term == 0 for i, _ in filler)
+
+
+def test_disclosing_terms_match_brute_force(spark):
+    rng = random.Random(12)
+    words = [f"t{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
+    people = [f"p{i}@example.org" for i in range(8)]
+    rows = [(i, " ".join([words[int(rng.paretovariate(0.6)) % 144] for _ in range(12)] + rng.sample(people, rng.choice((0, 0, 1, 2))))) for i in range(80)]
+    rows += [(100 + i, t) for i, (_, t) in enumerate(rows[:9])]
+    spans = [pii.base_spans(t) for _, t in rows]
+    held = [{t[a:b] for _, a, b in s} for (_, t), s in zip(rows, spans, strict=True)]
+    terms = [{x.lower() for x in re.findall(r"[^\W\d_]{3,}", t)} for _, t in rows]
+    got = {r.doc_id: (r.spans, r.removed) for r in pii.find_personal_data(frame(spark, rows)).collect()}
+    some = 0
+    for (d, text), own, mine, base in zip(rows, held, terms, spans, strict=True):
+        want, cut = set(), set()
+        for c in own:
+            n_c = sum(c in h for h in held)
+            for t in mine:
+                n_t, both = sum(t in x for x in terms), sum(t in x and c in h for x, h in zip(terms, held, strict=True))
+                if both and (pmi := np.log2(len(rows) * both / (n_t * n_c))) > 0 and pmi >= 0.8 * np.log2(len(rows) / n_c) - 1e-12:
+                    at = {m.span() for m in re.finditer(rf"\b{t}\b", text) if not any(a < m.end() and m.start() < b for _, a, b in base)}
+                    want |= at
+                    cut |= at if both >= n_t else set()
+        some += bool(want)
+        assert got[d] == (pii.joined(base + [("term", *s) for s in want]), ",".join(f"{a}:{b}" for a, b in sorted(cut))), d
+    assert some > 10
+
+
 # --- secrets ---
 
 
