@@ -232,6 +232,17 @@ def verified_links(docs: DataFrame, clusters: DataFrame, texts: DataFrame, thres
     return dealt.transform(in_arrow, run, "a binary, b binary, n long")
 
 
+def text_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block_texts: int = BLOCK_TEXTS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of every row, and (key, first, n_copies, n_links, label) of every text; a class is a label."""
+    rows = written(signatures(docs, *bands_for(threshold, recall, MAX_HASHES)), "signatures")
+    texts = written(rows.groupBy("key").agg(F.first("bands").alias("bands"), F.max("n_chars").alias("n_chars"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_copies")), "texts")
+    links = written(verified_links(docs, candidate_clusters(texts), texts, threshold, block_texts), "links")
+    counts = links.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
+    classes = components(links.where("b IS NOT NULL")).withColumnRenamed("node", "key")
+    each = texts.select("key", "first", "n_copies").join(counts, "key", "left").join(classes, "key", "left")
+    return rows, written(each.withColumn("label", F.coalesce("label", "key")), "classes")
+
+
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block_texts: int = BLOCK_TEXTS) -> DataFrame:
     """(doc_id, class_id, n_copies, n_links, key) for each row of ``docs``.
 
@@ -243,13 +254,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     words links to nothing but its copies.  A null text counts as empty; a null
     doc_id is larger than any other, and alone it gives a null class.
     """
-    rows = written(signatures(docs, *bands_for(threshold, recall, MAX_HASHES)), "signatures")
-    texts = written(rows.groupBy("key").agg(F.first("bands").alias("bands"), F.max("n_chars").alias("n_chars"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_copies")), "texts")
-    links = written(verified_links(docs, candidate_clusters(texts), texts, threshold, block_texts), "links")
-    counts = links.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
-    classes = components(links.where("b IS NOT NULL")).withColumnRenamed("node", "key")
-    each = texts.select("key", "first", "n_copies").join(counts, "key", "left").join(classes, "key", "left")
-    each = written(each.withColumn("label", F.coalesce("label", "key")), "classes")
+    rows, each = text_classes(docs, threshold, recall, block_texts)
     firsts = written(each.groupBy("label").agg(F.min("first").alias("class_id")), "class-ids")
     each = written(each.join(firsts, "label").select("key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "text-classes")
     return rows.select("doc_id", "key").join(each, "key").select("doc_id", "class_id", "n_copies", "n_links", "key")
@@ -258,13 +263,14 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row of each class of ``jaccard_join``, with its columns: that of the smallest doc_id.
 
-    Copies are summed up on the map side first (the smallest id of a text, nulls
-    last), so no text gathers its copies in one task.
+    A class is what links join, whatever its ids: unrelated texts under null ids or
+    under one repeated id are classes of their own.  Of a class, null ids come last,
+    and of texts with equal ids the smallest key is taken.  Copies are summed up on
+    the map side first, so no text gathers its copies in one task.
     """
-    found = jaccard_join(docs, threshold, recall)
-    # the text that holds the smallest id of its class; of several (an id used twice), the smallest key
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("key").alias("head"))
-    heads = written(heads.select("head"), "heads")
+    _, each = text_classes(docs, threshold, recall)
+    heads = each.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key")).alias("head"))
+    heads = written(heads.select(F.col("head.key").alias("head")), "heads")
     name, row = fresh(docs, "lt_key"), fresh(docs, "lt_row")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
     kept = docs.groupBy(text_key(F.col("text").cast("string")).alias(name)).agg(F.min_by(F.struct(*docs.columns), order).alias(row))

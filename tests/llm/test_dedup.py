@@ -63,6 +63,14 @@ def test_jaccard_join_matches_brute_force(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(x[1]) for x in brute.classes(rows, 0.8)})
 
 
+def test_one_of_each_keeps_unrelated_texts_of_equal_ids(spark):
+    rng = random.Random(17)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (5, c), (5, d), (5, d), (7, d), (None, e), (9, e + " more"), (None, "one"), (None, "")]
+    kept = sorted((str(r.doc_id), r.text) for r in neardup.one_of_each(frame(spark, rows)).collect())
+    assert kept == sorted([("None", a), ("None", b), ("5", c), ("5", d), ("9", e + " more"), ("None", "one"), ("None", "")])
+
+
 def test_jaccard_join_of_empty_table(spark):
     empty = frame(spark, [(1, "x")]).where("doc_id < 0")
     assert neardup.jaccard_join(empty).count() == 0 and neardup.one_of_each(empty).count() == 0
