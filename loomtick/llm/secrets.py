@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import bisect
+import contextlib
 import hashlib
+import itertools
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +22,11 @@ _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-#: A layer is unpacked up to this many bytes; a larger one counts in ``n_unread``.
+#: Bytes of an unpacked layer that are scanned at once; a larger one is scanned in windows that overlap.
 MAX_LAYER = 1 << 26
+OVERLAP = 1 << 16
+#: Bytes that a decompressor takes and gives at a time.
+PIECE = 1 << 20
 
 Span = tuple[int, int]
 
@@ -43,7 +47,10 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_WORD = re.compile(r"\S+")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_STREAM = re.compile(rb"\x1f\x8b\x08|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
+_GZIP, _ZSTD = b"\x1f\x8b\x08", b"\x28\xb5\x2f\xfd"
+_BOM = re.compile(rb"\xff\xfe|\xfe\xff")
 
 
 def _piecewise(text: str, pattern: re.Pattern, value: Callable[[str], str | None]) -> tuple[str, list[int], list[int]] | None:
@@ -89,34 +96,105 @@ def _escape_text(one: str) -> str | None:
     return chr(number) if 0 < number < 0xD800 or 0xDFFF < number <= 0x10FFFF else None
 
 
-def _inflated(data: bytes) -> tuple[bytes | None, bool]:
-    """Contents of a gzip, zlib or zstd stream, and whether it was too large."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, MAX_LAYER)
-            return (None, True) if d.unconsumed_tail else (out, False)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                out = r.read(MAX_LAYER + 1)
-            return (None, True) if len(out) > MAX_LAYER else (out, False)
-    except Exception:  # a damaged stream holds no layer
-        return None, False
-    return None, False
-
-
-def _printable(data: bytes) -> str | None:
+class _Stream:
+    """Contents of a gzip (of any number of members), zlib or zstd stream, piece by piece.
+
+    Once read, ``used`` is its length and ``whole`` tells whether its end was met.
+    """
+
+    def __init__(self, data: bytes, start: int):
+        self.data, self.start, self.used, self.whole = memoryview(data), start, 0, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        with contextlib.suppress(Exception):  # a damaged stream gives what stands before the damage
+            if self.data[self.start : self.start + 4] == _ZSTD:
+                yield from self._zstd()
+            else:
+                yield from self._members()
+
+    def _zstd(self) -> Iterator[bytes]:
+        import zstandard
+
+        with zstandard.ZstdDecompressor().stream_reader(self.data[self.start :], read_across_frames=True) as r:
+            while out := r.read(PIECE):
+                yield out
+        self.used, self.whole = len(self.data) - self.start, True
+
+    def _members(self) -> Iterator[bytes]:
+        at = self.start
+        while True:
+            d, feed = zlib.decompressobj(47), b""
+            while not d.eof:
+                if not feed:
+                    feed = self.data[at : at + PIECE]
+                    at += len(feed)
+                ended = not feed
+                out = d.decompress(feed, PIECE)
+                feed = d.unconsumed_tail
+                if out:
+                    yield out
+                elif ended and not d.eof:
+                    self.whole = False  # cut short
+                    return
+            at -= len(d.unused_data)
+            self.used, self.whole = at - self.start, True
+            if self.data[at : at + 3] != _GZIP:
+                return
+            self.whole = False
+
+
+def _windows(parts: Iterable[bytes]) -> Iterator[bytes]:
+    """Parts joined up to MAX_LAYER bytes; a window begins with the end of the one before."""
+    held, size, fresh = [], 0, False
+    for part in parts:
+        held.append(part)
+        size, fresh = size + len(part), True
+        if size >= MAX_LAYER:
+            window = b"".join(held)
+            yield window
+            held, fresh = [window[-OVERLAP:]], False
+            size = len(held[0])
+    if fresh:
+        yield b"".join(held)
+
+
+Layer = tuple[str, str | bytes | None, Callable[[int, int], Span]]
+
+
+def _from_bytes(data: bytes) -> Iterator[Layer]:
+    """Texts and streams in ``data``.
+
+    What is not UTF-8 is read byte by byte (all patterns are ASCII), so no byte
+    hides a secret beside it; and as UTF-16 from each byte order mark on.
+    """
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\n\r\t" for c in text) else None
-
-
-def _unwrapped(text: str) -> Iterator[tuple[str, str | None, Callable[[int, int], Span]]]:
-    """Layers right below ``text``; None for the text of one that is too large."""
+        text = data.decode("latin-1")
+    if len(text) == len(data):
+        yield "", text, lambda a, b: (a, b)
+    else:
+        ends = [0, *itertools.accumulate(len(c.encode()) for c in text)]
+        yield "", text, lambda a, b: (ends[a], ends[b])
+    marks = [*_BOM.finditer(data)]
+    for m, stop in zip(marks, [*(x.start() for x in marks[1:]), len(data)], strict=False):
+        if stop - m.end() >= 12:
+            wide = data[m.end() : stop].decode("utf-16-le" if m[0] == b"\xff\xfe" else "utf-16-be", "replace")
+            places = [*itertools.accumulate((2 + 2 * (c > "\uffff") for c in wide), initial=m.end())]
+            yield "", wide, lambda a, b, places=places, stop=stop: (places[a], min(stop, places[b]))
+    at = 0
+    while m := _STREAM.search(data, at):
+        stream = _Stream(data, m.start())
+        for window in _windows(stream):
+            end = m.start() + stream.used if stream.whole else len(data)
+            yield "compressed", window, lambda a, b, m=m, end=end: (m.start(), end)
+        if not stream.whole and m[0] in (_GZIP, _ZSTD):
+            yield "compressed", None, lambda a, b, m=m: (m.start(), len(data))
+        at = m.start() + (max(1, stream.used) if stream.whole else 1)
+
+
+def _unwrapped(text: str) -> Iterator[Layer]:
+    """Layers right below ``text``."""
     if "%" in text and _PERCENT.search(text):
         if got := _piecewise(text, _PERCENT_RUN, _percent_text):
             layer, new, old = got
@@ -126,61 +204,55 @@ def _unwrapped(text: str) -> Iterator[tuple[str, str | None, Callable[[int, int]
             layer, new, old = got
             yield "unicode", layer, lambda a, b, new=new, old=old: _mapped(new, old, a, b)
     for m in _BASE64.finditer(text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        names = ["base64"]
-        whole = False
-        big = False
-        while True:
-            inner, big = _inflated(data)
-            if inner is None:
-                break
-            data, whole = inner, True
-            names.append("compressed")
-        if big:
-            yield "+".join(names), None, lambda a, b, m=m: m.span()
-        elif (layer := _printable(data)) is not None:
-            if whole:
-                yield "+".join(names), layer, lambda a, b, m=m: m.span()
-            else:
-                bounds = [0]
-                for c in layer:
-                    bounds.append(bounds[-1] + len(c.encode()))
-                yield "base64", layer, lambda a, b, m=m, n=bounds: (m.start() + n[a] // 3 * 4, min(m.end(), m.start() - (-n[b] // 3) * 4))
+        lines = [x.span() for x in _LINE.finditer(text, *m.span())]
+        firsts = [0, *itertools.accumulate(b - a for a, b in lines)]
+        run = "".join(text[a:b] for a, b in lines).replace("-", "+").replace("_", "/")
+
+        def place(a: int, b: int, start: int, m=m, lines=lines, firsts=firsts) -> Span:
+            at = lambda k: lines[i := bisect.bisect_right(firsts, k, 0, len(lines)) - 1][0] + k - firsts[i]
+            last = start - (-b // 3) * 4
+            return at(start + a // 3 * 4), m.end() if last >= firsts[-1] else at(last - 1) + 1
+
+        for start in range(1):
+            part = run[start:]
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            data = base64.b64decode(part + "=" * (-len(part) % 4))
+            yield "base64", data, lambda a, b, start=start, place=place: place(a, b, start)
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, str]], int]:
-    """Base spans, (start, end, kind, layers) found below, and the number of unread layers.
+    """Base spans, (start, end, kind, layers) found below, and the number of streams that end in damage.
 
-    A worklist unwraps layer after layer until no new one appears.  A layer whose
-    text was seen before in the same place is not unwrapped again, so an encoding
-    that decodes to itself ends.
+    Layer after layer is unwrapped, depth first, until no new one appears.  A layer
+    whose content was seen before in the same place is not unwrapped again, so an
+    encoding that decodes to itself ends.
     """
     base = base_spans(text)
     found: dict[tuple[int, int, str], str] = {}
     unread = 0
-    seen = {(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), 0, len(text))}
-    work: list[tuple[str, str, Callable[[int, int], Span]]] = [(text, "", lambda a, b: (a, b))]
+    seen = {(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), str, 0, len(text))}
+    work: list[tuple[Iterator[Layer], str, Callable[[int, int], Span]]] = [(_unwrapped(text), "", lambda a, b: (a, b))]
     while work:
-        layer, names, up = work.pop()
-        for name, inner, place in _unwrapped(layer):
-            if inner is None:
-                unread += 1
-                continue
-            back = lambda a, b, place=place, up=up: up(*place(a, b))
-            mark = (hashlib.sha256(inner.encode("utf-8", "surrogatepass")).digest(), *back(0, max(1, len(inner))))
-            if not inner or mark in seen:
-                continue
-            seen.add(mark)
-            chain = f"{names}+{name}" if names else name
+        layers, names, up = work[-1]
+        if (layer := next(layers, None)) is None:
+            work.pop()
+            continue
+        name, inner, place = layer
+        if inner is None:
+            unread += 1
+        if not inner:
+            continue
+        back = lambda a, b, place=place, up=up: up(*place(a, b))
+        data = inner.encode("utf-8", "surrogatepass") if isinstance(inner, str) else inner
+        mark = (hashlib.sha256(data).digest(), type(inner), *back(0, len(inner)))
+        if mark in seen:
+            continue
+        seen.add(mark)
+        chain = "+".join(filter(None, (names, name)))
+        if isinstance(inner, str):
             for a, b, kind in base_spans(inner):
                 found.setdefault((*back(a, b), kind), chain)
-            work.append((inner, chain, back))
+        work.append((_unwrapped(inner) if isinstance(inner, str) else _from_bytes(inner), chain, back))
     for span in base:
         found.pop(span, None)
     return base, [(*k, v) for k, v in found.items()], unread
@@ -197,7 +269,8 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
     doc_id, n_assign, n_access, n_hex (plain patterns), base_sha256, spans (plain
     and unwrapped, as code points of the original text), n_unwrapped, layers (how
-    each unwrapped one was encoded) and n_unread.  A null text counts as empty.
+    each unwrapped one was encoded) and n_unread (gzip and zstd streams that end in
+    damage; what stands before it is scanned).  A null text counts as empty.
     Works row by row, so copies, ties and skew make no difference.
     """
 
