@@ -46,7 +46,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 _STREAM = re.compile(rb"\x1f\x8b\x08|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
 _GZIP, _ZSTD = b"\x1f\x8b\x08", b"\x28\xb5\x2f\xfd"
@@ -213,7 +213,7 @@ def _unwrapped(text: str) -> Iterator[Layer]:
             last = start - (-b // 3) * 4
             return at(start + a // 3 * 4), m.end() if last >= firsts[-1] else at(last - 1) + 1
 
-        for start in range(1):
+        for start in range(4):  # what begins anywhere in the run is whole in one of the alignments
             part = run[start:]
             part = part[: len(part) - (len(part) % 4 == 1)]
             data = base64.b64decode(part + "=" * (-len(part) % 4))
