@@ -163,7 +163,8 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: What the library takes out of a text before the pattern; such a text is encoded in one piece.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
@@ -203,7 +204,7 @@ class Tokens:
             while stop < len(texts) and (stop == start or size + len(texts[stop]) <= _SLICE_CHARS):
                 size += len(texts[stop])
                 stop += 1
-            units = [None if _odd(t) else _UNIT.findall(t) for t in texts[start:stop]]
+            units = [None if _odd(t) or any(a in t for a in self.added) else _UNIT.findall(t) for t in texts[start:stop]]
             self._learn(set().union(*(u for u in units if u is not None)))
             get = self.known.__getitem__
             for text, own in zip(texts[start:stop], units, strict=True):

@@ -200,6 +200,15 @@ def test_token_units_match_the_library():
     assert [list(x) for x in tok.ids(texts)] == [tok.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens_match_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    tok, fresh = tokenfiles.Tokens(P.path(TOKENIZER)), Tokenizer.from_file(P.path(TOKENIZER))
+    texts = ["see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|><|endoftext|>b.", "<|endoftext| >", "plain words"]
+    got = [x.tolist() for x in tok.ids(texts)]
+    assert got == [fresh.encode(t, add_special_tokens=False).ids for t in texts] and got[0] == [3826, 220, 50256, 994]
+
+
 def test_direct_access():
     rng = np.random.default_rng(4)
     lists = [rng.integers(0, top, n).astype(np.uint32) for top, n in ((50_000, 700), (200, 900), (1 << 32, 40), (1, 0))]
