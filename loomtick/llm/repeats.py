@@ -2,26 +2,31 @@
 
 A rolling hash over the bytes triggers phrase ends that depend on nothing but the
 bytes around them, so equal strings are parsed alike wherever they stand.  Every
-place where a repeated string could start belongs to the first trigger after it;
-places that share a trigger form a band: the end of a dictionary phrase together
-with what the parse goes on with.  The order of the corpus by its suffixes, as far
-as ``length`` bytes, falls into classes of equal strings; a place is repeated if its
-class has a second member, which is when a neighbour in the suffix array shares
-``length`` bytes with it.  Classes of the phrase ends and of the parse behind them
-are combined as in the suffix array of a parse, but by fingerprints: they are names
-for the classes, and no rank among all of them is needed.  The classes are refined
-from whole bands to single places, and only bands whose common core occurs again go
-on:
-
-* band repeats with all bytes that its places reach: all its places are repeated;
-* its core (the bytes that all its places share) occurs nowhere else: none is;
-* otherwise it is cut into narrower bands, down to single places.
-
-So a step shuffles a row for a phrase, not for a byte.
+place where a repeated string could start belongs to the first trigger after it.  The
+places of one trigger make a phrase of the dictionary (the bytes up to the trigger)
+with what the parse goes on with (the bytes from the trigger on, as far as the
+phrase's strings reach).
+
+1. Phrases whose core (the bytes that all their strings share) occurs once in the
+   corpus hold no repeat.  A hash decides this: it can only keep too many.
+2. A phrase that occurs again together with its whole continuation is repeated at
+   all its places.
+3. For the others, the two suffix arrays are made.  The dictionary's suffixes that
+   end at a trigger are ordered by their reversed bytes, and the parse's suffixes by
+   theirs, each as far as a string reaches, by a distributed sort.  The longest common
+   prefixes of neighbours, taken on the bytes, give for each depth the interval of the
+   order that shares it.  Two strings are equal exactly if they stand in the same
+   interval of the dictionary's order and in the same one of the parse's; a string
+   whose neighbours share too little is in neither.
+
+So a step shuffles a row for a phrase, and a row for a byte only near the ends of
+repeats.  Sorted strings are distinct, so one that very many texts share is sorted
+once, and different ones that share a long prefix are split by the sort's ranges.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 from collections.abc import Iterator
@@ -31,44 +36,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtick.llm.common import discard, in_arrow, text_key, written
+from loomtick.llm.common import discard, in_arrow, text_key, text_slices, written
 
 LENGTH = 400
+#: Shorter repeats that are reported beside those of LENGTH, and not removed: passages of about fifty words.
+PASSAGE = 256
 #: Bytes of the rolling hash, and how far before a trigger a place may lie.
 ROLL = 16
 REACH = 192
 #: A trigger is a hash with so many leading zero bits: phrases of 128 bytes, then finer ones where none is in reach.
 TRIGGERS = (7, 5, 2)
+#: Bytes taken at a time.
+PIECE = 1 << 20
 
 
-def steps(length: int) -> tuple[int, ...]:
-    """Widths of the bands from step to step; the first is how far before its trigger a place may lie.
-
-    A trigger in reach has to lie within the string with all the bytes it depends on.
-    """
+def reach_of(length: int) -> int:
+    """How far before its trigger a place may lie: the trigger has to lie within the string with all the bytes it depends on."""
     if length < 4 * ROLL:
         raise ValueError(f"strings have at least {4 * ROLL} bytes")
-    reach = min(REACH, (length - ROLL) // 2)
-    return reach, max(2, reach // 8), 1
-
-
-#: Bytes taken at a time.
-PIECE = 1 << 20
+    return min(REACH, (length - ROLL) // 2)
 
 
 @functools.lru_cache(maxsize=2)
-def _tables(n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For two polynomial hashes: byte values, powers of the base, and powers of its inverse."""
-    out = []
-    for seed in (101, 202):
-        rng = np.random.default_rng(seed)
-        values = rng.integers(1 << 62, size=256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        base = int(rng.integers(1 << 62)) * 8 + 5 & (1 << 64) - 1
-        inverse = pow(base, -1, 1 << 64)
-        one = np.ones(1, np.uint64)
-        grow = lambda b: np.concatenate([one, np.cumprod(np.full(n, b, np.uint64))])
-        out.append((values, grow(base), grow(inverse)))
-    return out
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a polynomial hash: byte values, powers of the base, and powers of its inverse."""
+    rng = np.random.default_rng(101)
+    values = rng.integers(1 << 62, size=256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    base = int(rng.integers(1 << 62)) * 8 + 5 & (1 << 64) - 1
+    one = np.ones(1, np.uint64)
+    grow = lambda b: np.concatenate([one, np.cumprod(np.full(n, b, np.uint64))])
+    return values, grow(base), grow(pow(base, -1, 1 << 64))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -82,20 +79,15 @@ class Piece:
 
     def __init__(self, data: np.ndarray):
         self.n = len(data)
-        self.tables = _tables(max(self.n, PIECE + 4096))
-        self.sums = []
-        for values, powers, _ in self.tables:
-            s = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(values[data] * powers[: self.n], out=s[1:])
-            self.sums.append(s)
+        values, powers, self.inverse = _tables(max(self.n, PIECE + 4096))
+        self.sums = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(values[data] * powers[: self.n], out=self.sums[1:])
 
-    def hash(self, which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        s = self.sums[which]
-        return (s[end] - s[start]) * self.tables[which][2][start]
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) * self.inverse[start]
 
     def rolling(self) -> np.ndarray:
-        s = self.sums[0]
-        return (s[ROLL:] - s[:-ROLL]) * self.tables[0][2][: max(0, self.n - ROLL + 1)]
+        return (self.sums[ROLL:] - self.sums[:-ROLL]) * self.inverse[: max(0, self.n - ROLL + 1)]
 
 
 def _next(flags: np.ndarray, n: int) -> np.ndarray:
@@ -106,8 +98,8 @@ def _next(flags: np.ndarray, n: int) -> np.ndarray:
     return np.minimum.accumulate(out[::-1])[::-1]
 
 
-def first_bands(piece: Piece, places: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(trigger, first place, last place) of each band of the places, which ascend."""
+def phrases(piece: Piece, places: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(trigger, first place, last place) of each phrase of the places, which ascend."""
     h = piece.rolling()
     trigger = places.copy()
     open_ = np.ones(len(places), bool)
@@ -116,81 +108,23 @@ def first_bands(piece: Piece, places: np.ndarray, reach: int) -> tuple[np.ndarra
         use = open_ & (at - places < reach)
         trigger[use] = at[use]
         open_ &= ~use
-    return _runs(places, trigger, reach)
-
-
-def _runs(places: np.ndarray, trigger: np.ndarray, grid: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(places):
         return places, places, places
-    band = (trigger - places) // grid
-    new = np.flatnonzero((trigger[1:] != trigger[:-1]) | (band[1:] != band[:-1]) | (places[1:] != places[:-1] + 1)) + 1
+    new = np.flatnonzero((trigger[1:] != trigger[:-1]) | (places[1:] != places[:-1] + 1)) + 1
     first, last = np.append(0, new), np.append(new, len(places)) - 1
     return trigger[first], places[first], places[last]
 
 
-def narrower(trigger: np.ndarray, low: np.ndarray, high: np.ndarray, grid: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The bands of a finer grid in each band, and which band each came from."""
-    count = high - low + 1
-    of = np.repeat(np.arange(len(low)), count)
-    places = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + low[of]
-    t = trigger[of]
-    band = (t - places) // grid
-    new = np.flatnonzero((of[1:] != of[:-1]) | (band[1:] != band[:-1])) + 1
-    first, last = np.append(0, new), np.append(new, len(places)) - 1
-    return t[first], places[first], places[last], of[first]
-
-
-def fingerprints(piece: Piece, trigger: np.ndarray, low: np.ndarray, high: np.ndarray, grid: int, begin: int, end: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(core, reach) of bands: names of the bytes that all places share, and of all that they reach.
-
-    ``begin`` and ``end`` are the text's own ends.  How far the places lie from the
-    trigger goes into the second name, so a band that was cut elsewhere differs.
-    """
-    least = (trigger - low) // grid * grid  # distances of the whole band from its trigger
-    most = least + grid - 1
-    core = _mixed(piece.hash(0, trigger - least, trigger - most + length))
-    start, stop = np.maximum(trigger - most, begin), np.minimum(trigger - least + length, end)
-    shape = ((trigger - start) << 42) + ((stop - trigger + length) << 28) + ((trigger - low) << 14) + (trigger - high)
-    reach = _mixed(piece.hash(1, start, stop) + _mixed(shape.astype(np.uint64)))
-    return core.view(np.int64), reach.view(np.int64)
-
-
-def _pieces(n: int, length: int, reach: int) -> Iterator[tuple[int, int, int, int]]:
-    """(from, to, first place, places' end) of the parts of a text of n bytes."""
+def text_phrases(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(core, trigger, low, high) of the phrases of a whole text, part by part; a core is a hash of what all strings of a phrase share."""
+    array, reach, n = np.frombuffer(data, np.uint8), reach_of(length), len(data)
     stop = n - length + 1
     for first in range(0, max(0, stop), PIECE):
         last = min(first + PIECE, stop)
-        yield max(0, first - reach), min(n, last + length + reach + ROLL), first, last
-
-
-def text_bands(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(core, reach, trigger, low, high) of the bands of a whole text, part by part."""
-    array, widest = np.frombuffer(data, np.uint8), steps(length)[0]
-    for a, b, first, last in _pieces(len(data), length, widest):
-        piece = Piece(array[a:b])
-        t, lo, hi = first_bands(piece, np.arange(first - a, last - a), widest)
-        core, reach = fingerprints(piece, t, lo, hi, widest, -a, len(data) - a, length)
-        yield core, reach, t + a, lo + a, hi + a
-
-
-def list_bands(data: bytes, bands: np.ndarray, length: int, grid: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """The same of a finer grid for chosen bands, given as rows of trigger, low and high; also their number."""
-    array, widest = np.frombuffer(data, np.uint8), steps(length)[0]
-    order = np.argsort(bands[:, 1], kind="stable")
-    for a, b, first, last in _pieces(len(data), length, widest):
-        lo, hi = np.searchsorted(bands[order, 1], (first, last))
-        pick = order[lo:hi]
-        if not len(pick):
-            continue
-        b = min(len(data), b + widest)  # a band may go on behind the part
+        a, b = max(0, first - reach), min(n, last + length + reach + ROLL)
         piece = Piece(array[a:b])
-        t, x, y, of = narrower(bands[pick, 0] - a, bands[pick, 1] - a, bands[pick, 2] - a, grid)
-        core, reach = fingerprints(piece, t, x, y, grid, -a, len(data) - a, length)
-        yield core, reach, t + a, x + a, y + a, pick[of]
-
-
-_BANDS = "k1 long, k2 long, core long, reach long, t long, lo long, hi long"
-_NAMES = ["k1", "k2", "core", "reach", "t", "lo", "hi"]
+        t, lo, hi = phrases(piece, np.arange(first - a, last - a), reach)
+        yield _mixed(piece.hash(t, t + length - reach + 1)).view(np.int64), t + a, lo + a, hi + a
 
 
 def _halves(key: Column) -> list[Column]:
@@ -200,90 +134,202 @@ def _halves(key: Column) -> list[Column]:
 
 
 def _parsed(rows: DataFrame, length: int) -> DataFrame:
-    """The bands of (k1, k2, text): a row each."""
+    """The phrases of (k1, k2, text): a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["k1", "k2", "core", "t", "lo", "hi"]
+        packed = lambda parts: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
         for batch in batches:
             parts: list[list[np.ndarray]] = []
             size = 0
             for k1, k2, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for found in text_bands(value.as_buffer().to_pybytes() if value.is_valid else b"", length):
+                for found in text_phrases(value.as_buffer().to_pybytes(), length):
                     n = len(found[0])
                     parts.append([np.full(n, k1), np.full(n, k2), *found])
                     size += n
                     if size > 200_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], _NAMES)
+                        yield packed(parts)
                         parts, size = [], 0
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], _NAMES)
+                yield packed(parts)
+
+    return rows.transform(in_arrow, run, "k1 long, k2 long, core long, t long, lo long, hi long")
 
-    return rows.transform(in_arrow, run, _BANDS)
 
+def _contexts(rows: DataFrame, length: int) -> DataFrame:
+    """What stands on both sides of the trigger of each kept phrase of (k1, k2, text, copied, phrases).
 
-def _cut_finer(rows: DataFrame, length: int, grid: int) -> DataFrame:
-    """Finer bands of (k1, k2, text, bands); bands are structs (t, lo, hi, live)."""
+    left is the phrase from the trigger backwards, right the text from the trigger on as
+    far as the phrase's strings reach.  lh and rh, 128 bits of BLAKE2, stand for them.
+    """
+    short = lambda b: hashlib.blake2b(b, digest_size=16).digest()
+    names = ["k1", "k2", "copied", "t", "lo", "hi", "core", "lh", "rh", "left", "right"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4, *[pa.binary()] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
         for batch in batches:
-            for k1, k2, text, value in zip(*(batch.column(i) for i in range(4)), strict=True):
-                flat = value.values
-                bands = np.stack([flat.field(i).to_numpy() for i in range(3)], axis=1)
-                live = flat.field(3).to_numpy(zero_copy_only=False)
-                for *found, of in list_bands(text.as_buffer().to_pybytes(), bands, length, grid):
-                    n = len(of)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k1.as_py())), pa.array(np.full(n, k2.as_py())), *map(pa.array, found), pa.array(live[of])], [*_NAMES, "live"])
+            for k1, k2, copied, text, found in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4), strict=True):
+                data = text.as_buffer().to_pybytes()
+                end = len(data) - length
+                for t, lo, hi, core in zip(*(found.values.field(i).to_pylist() for i in range(4)), strict=True):
+                    if lo <= end:
+                        left, right = data[lo:t][::-1], data[t : min(hi, end) + length]
+                        out.append((k1, k2, copied, t, lo, min(hi, end), core, short(left), short(right), left, right))
+                        if len(out) >= 4000:
+                            yield packed()
+                            out.clear()
+        if out:
+            yield packed()
 
-    return rows.transform(in_arrow, run, _BANDS + ", live boolean")
+    return rows.transform(in_arrow, run, "k1 long, k2 long, copied boolean, t long, lo long, hi long, core long, lh binary, rh binary, left binary, right binary")
 
 
-def _classes(bands: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(bands that are repeated as a whole, bands to cut finer by text) of the bands of one step.
+# --- suffix orders --------------------------------------------------------------
 
-    Of each class only one band goes on; ``live`` says whether it is still open.
-    Counts are summed before each shuffle, and joins are between written tables, so
-    a string that very many texts share is spread.  ``bands`` is discarded.
-    """
-    cores = written(bands.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), name + "-cores")
-    kept = written(bands.join(cores, "core", "left_semi"), name + "-kept")
-    discard(bands, cores)
-    one = F.min(F.struct("k1", "k2", "t", "lo", "hi")).alias("one")
-    classes = written(kept.groupBy("core", "reach").agg(F.count(F.lit(1)).alias("n"), F.max("live").alias("live"), one), name + "-classes")
-    repeated = kept.where("live").join(classes.where("n > 1").select("core", "reach"), ["core", "reach"], "left_semi").select("k1", "k2", "lo", "hi")
-    repeated = written(repeated.distinct(), "repeated")
-    discard(kept)
-    is_open = (F.col("n") == 1) & F.col("live")
-    open_cores = written(classes.where(is_open).select("core").distinct(), name + "-open")
-    finer = classes.join(open_cores, "core", "left_semi").select("one.*", is_open.alias("live"))
-    lists = written(finer.groupBy("k1", "k2").agg(F.collect_list(F.struct("t", "lo", "hi", "live")).alias("bands")), "lists")
-    discard(classes, open_cores)
-    return repeated, lists
 
+def common(a: bytes, b: bytes) -> int:
+    """Length of the longest common prefix."""
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
+    return n - (differ.bit_length() + 7) // 8
 
-def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(k1, k2, lo, hi): first to last start of repeated strings in each distinct text.
 
-    k1 and k2 are the halves of the text's key.
+def cut(steps: list[tuple[int, int]], depth: int) -> list[tuple[int, int]]:
+    """(depth, interval) steps as far as a depth; each step's interval holds from the depth before it on."""
+    out = []
+    for d, i in steps:
+        if d >= depth:
+            return [*out, (depth, i)] if depth else out
+        out.append((d, i))
+    return out
+
+
+def _ordered(strings: DataFrame, name: str) -> tuple[DataFrame, dict[int, tuple[list[int], list[int]]]]:
+    """The order of (h, s, n) by s: (h, most, depths, intervals), and the intervals that go on from partition to partition.
+
+    ``most`` is the longest prefix that a neighbour in the order shares; all of s if
+    n > 1.  At depth r the string lies in the interval number i whose depth is the
+    first not below r; an interval is named by its first string.  A partition does not
+    know what stands before it: its first string's own intervals are returned apart,
+    worked out on the driver from two strings for each partition.
     """
-    texts = docs.select(*_halves(text_key(F.col("text"))), F.col("text").cast("string").alias("text"))
-    long_enough = texts.where(F.octet_length("text") >= length)
-    parsed = _parsed(long_enough, length).withColumn("live", F.lit(True))
-    repeated, lists = _classes(written(parsed, "bands"), "bands")
-    found = [repeated]
-    one = long_enough.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    rows = written(one.join(lists, ["k1", "k2"]), "open-texts")
-    for grid in steps(length)[1:]:
-        bands = written(_cut_finer(rows.select("k1", "k2", "text", "bands"), length, grid), "bands")
-        discard(lists)
-        if grid > 1:
-            repeated, lists = _classes(bands, f"bands{grid}")
-            before, rows = rows, written(rows.drop("bands").join(lists, ["k1", "k2"]), "open-texts")
-            discard(before)
-        else:  # single places: equal names are equal strings
-            twice = written(bands.groupBy("core", "reach").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "reach"), "strings")
-            repeated = written(bands.where("live").join(twice, ["core", "reach"], "left_semi").select("k1", "k2", "lo", "hi").distinct(), "repeated")
-            discard(bands, twice, rows)
-        found.append(repeated)
-    return functools.reduce(DataFrame.unionByName, found)
+    spark = strings.sparkSession
+    dealt = strings.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "s").sortWithinPartitions("s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        names = ["h", "most", "depths", "intervals", "part", "edge", "s"]
+        types = [pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
+        part = TaskContext.get().partitionId()
+        number = part << 36
+        steps: list[tuple[int, int]] = []
+        held: list | None = None  # the last string; its next neighbour is not known yet
+        out: list[list] = []
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        for batch in batches:
+            for h, s, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                shared = common(held[6], s) if held else 0
+                steps = [*cut(steps, shared), (len(s), number)] if len(s) > shared else cut(steps, shared)
+                row = [h, len(s) if n > 1 or held is None else shared, [d for d, _ in steps], [i for _, i in steps], part, 0 if held else 1, s]
+                number += 1
+                if held:
+                    held[1] = max(held[1], shared)
+                    out.append(held if held[5] else [*held[:6], None])
+                    if len(out) >= 4000:
+                        yield packed()
+                        out.clear()
+                held = row
+        if held:
+            held[1], held[5] = len(held[6]), held[5] | 2  # the neighbour is in the next partition
+            out.append(held)
+            yield packed()
+
+    done = written(dealt.select("h", "s", "n").transform(in_arrow, run, "h binary, most long, depths array<int>, intervals array<long>, part int, edge int, s binary"), name)
+    edges = {(r.part, bit): r for r in done.where("edge > 0").collect() for bit in (1, 2) if r.edge & bit}
+    return done, carried(edges)
+
+
+def carried(edges: dict) -> dict[int, tuple[list[int], list[int]]]:
+    """The steps of the first string of each partition, by its number, from the (part, 1) first and (part, 2) last strings."""
+    out: dict[int, tuple[list[int], list[int]]] = {}
+    before: tuple[bytes, list[tuple[int, int]]] | None = None
+    for part in sorted({p for p, _ in edges}):
+        first, last = edges[part, 1], edges[part, 2]
+        own = part << 36
+        steps = [(len(first.s), own)]
+        if before:
+            shared = common(before[0], first.s)
+            steps = cut(before[1], shared) + ([(len(first.s), own)] if len(first.s) > shared else [])
+        out[own] = ([d for d, _ in steps], [i for _, i in steps])
+        ending = list(zip(last.depths, last.intervals, strict=True))
+        if ending and ending[0][1] == own:  # as far as this it lies in the first string's intervals
+            ending = cut(steps, ending[0][0]) + ending[1:]
+        before = (last.s, ending)
+    return out
+
+
+def interval(depths: list[int], intervals: list[int], carry: dict, depth: int) -> int:
+    """The interval of a string at a depth."""
+    if not depth:
+        return -1
+    i = intervals[bisect.bisect_left(depths, depth)]
+    if i in carry:
+        depths, intervals = carry[i]
+        i = intervals[bisect.bisect_left(depths, depth)]
+    return i
+
+
+def _places(rows: DataFrame, length: int, left_carry: dict, right_carry: dict) -> DataFrame:
+    """(a, b, d, k1, k2, p, open): the strings of each phrase that both orders' neighbours may share."""
+    names = ["a", "b", "d", "k1", "k2", "p", "open"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        for batch in batches:
+            for k1, k2, t, lo, hi, open_, l_most, l_depths, l_in, r_most, r_depths, r_in in zip(*(batch.column(i).to_pylist() for i in range(12)), strict=True):
+                for d in range(max(t - hi, length - r_most), min(t - lo, l_most) + 1):
+                    out.append((interval(l_depths, l_in, left_carry, d), interval(r_depths, r_in, right_carry, length - d), d, k1, k2, t - d, open_))
+                if len(out) >= 20_000:
+                    yield packed()
+                    out.clear()
+        if out:
+            yield packed()
+
+    return rows.transform(in_arrow, run, "a long, b long, d int, k1 long, k2 long, p long, open boolean")
+
+
+def _repeats_of(texts: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, lo, hi): first to last start of repeated strings, phrase by phrase, of (k1, k2, copied, text, phrases)."""
+    contexts = written(_contexts(texts, length), "contexts")
+    one = F.min(F.struct("k1", "k2", "t", "lo", "hi")).alias("one")
+    whole = contexts.groupBy("lh", "rh").agg((F.count(F.lit(1)) + F.max(F.col("copied").cast("long"))).alias("n"), F.first("core").alias("core"), F.first("left").alias("left"), F.first("right").alias("right"), one)
+    whole = written(whole, "whole-phrases")
+    twice = whole.where("n > 1").select("lh", "rh")
+    repeated = written(contexts.where("not copied").select("k1", "k2", "lo", "hi", "lh", "rh").join(twice, ["lh", "rh"], "left_semi").select("k1", "k2", "lo", "hi"), "repeated")
+    discard(contexts)
+    # one phrase of each kind goes on, if one that is still open shares its core
+    open_cores = written(whole.where("n = 1").select("core").distinct(), "open-cores")
+    met = whole.join(open_cores, "core", "left_semi").select("one.*", (F.col("n") == 1).alias("open"), "lh", "rh", "left", "right")
+    met = written(met, "met-phrases")
+    discard(whole, open_cores)
+    strings = lambda h, s: met.groupBy(F.col(h).alias("h")).agg(F.first(s).alias("s"), F.count(F.lit(1)).alias("n"))
+    left, left_carry = _ordered(strings("lh", "left"), "dictionary-order")
+    right, right_carry = _ordered(strings("rh", "right"), "parse-order")
+    side = lambda df, x: df.select(F.col("h").alias(x + "h"), F.col("most").alias(x + "_most"), F.col("depths").alias(x + "_depths"), F.col("intervals").alias(x + "_in"))
+    both = met.drop("left", "right").join(side(left, "l"), "lh").join(side(right, "r"), "rh")
+    rows = both.select("k1", "k2", "t", "lo", "hi", "open", "l_most", "l_depths", "l_in", "r_most", "r_depths", "r_in")
+    places = written(_places(rows, length, left_carry, right_carry), "places")
+    discard(met, left, right)
+    again = written(places.groupBy("a", "b", "d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "d"), "intervals")
+    single = places.where("open").join(again, ["a", "b", "d"], "left_semi").select("k1", "k2", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    single = written(single, "repeated")
+    discard(places, again)
+    return repeated.unionByName(single)
 
 
 def removed_spans(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -297,40 +343,59 @@ def removed_spans(starts: list[tuple[int, int]], length: int) -> list[tuple[int,
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, passage: int | None = None, keep_text: bool = False) -> DataFrame:
     """What is left of each text once repeated strings are gone: one row for each row of ``docs``.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere
     else, in its own text or another one; strings are judged on the input, so all
-    copies go.  Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans
-    (``start:end`` in bytes, comma-joined) and, with ``keep_text``, kept (binary, as
-    a cut may fall inside a character).  A null text counts as empty.  Equal texts
-    have equal results: they are worked out once and joined back to the rows.
+    copies go.  Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage,
+    spans (``start:end`` in bytes, comma-joined) and, with ``keep_text``, kept (binary,
+    as a cut may fall inside a character).  n_passage counts the bytes in repeated
+    strings of the shorter length ``passage``, which are reported and stay; without one it
+    is n_removed.  A null text counts as empty.  Equal texts have equal results: they
+    are worked out once and joined back to the rows.
     """
-    places = repeated_places(docs, length)
-    lists = written(places.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "starts")  # places are distinct from step to step
+    least = min(length, passage or length)
     texts = docs.select(*_halves(text_key(F.col("text"))), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    one = texts.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(lists, ["k1", "k2"], "left").select("k1", "k2", "text", "starts")
+    long_enough = texts.where(F.octet_length("text") >= least)
+    parsed = written(_parsed(long_enough, least), "phrases")
+    cores = written(parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "cores")
+    kept = parsed.join(cores, "core", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("t", "lo", "hi", "core")).alias("phrases"))
+    kept = written(kept, "kept-phrases")
+    discard(parsed, cores)
+    one = long_enough.groupBy("k1", "k2").agg(F.first("text").alias("text"), (F.count(F.lit(1)) > 1).alias("copied"))
+    found = written(one.join(kept, ["k1", "k2"]).select("k1", "k2", "copied", "text", "phrases"), "kept-texts")
+    discard(kept)
+    sizes = sorted({length, least})
+    places = [(_repeats_of(found, n), n) for n in sizes]
+    discard(found)
+    lists = functools.reduce(DataFrame.unionByName, [p.withColumn("of", F.lit(n)) for p, n in places])
+    lists = written(lists.groupBy("k1", "k2").agg(F.collect_set(F.struct("of", "lo", "hi")).alias("starts")), "starts")
+    every = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"), (F.count(F.lit(1)) > 1).alias("copied")).join(lists, ["k1", "k2"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for text, starts in zip(batch.column(2), batch.column(3), strict=True):
+        names = ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage", "spans", "kept"]
+        types = [pa.int64()] * 5 + [pa.string(), pa.int64(), pa.string(), pa.binary()]
+        for batch in text_slices(batches, 2):
+            rows = []
+            for k1, k2, text, copied, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 data = text.as_buffer().to_pybytes()
-                ranges = zip(*(starts.values.field(i).to_pylist() for i in range(2)), strict=True) if starts.is_valid else []
-                spans = removed_spans(list(ranges), length)
+                ranges: dict[int, list[tuple[int, int]]] = {n: [(0, len(data) - n)] if copied and len(data) >= n else [] for n in sizes}
+                if starts.is_valid and not copied:
+                    for n, lo, hi in zip(*(starts.values.field(i).to_pylist() for i in range(3)), strict=True):
+                        ranges[n].append((lo, hi))
+                spans = removed_spans(ranges[length], length)
                 parts, at = [], 0
                 for a, b in spans:
                     parts.append(data[at:a])
                     at = b
                 left = b"".join([*parts, data[at:]])
-                row = [len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), ",".join(f"{a}:{b}" for a, b in spans), left if keep_text else None]
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
-            types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+                near = sum(b - a for a, b in removed_spans(ranges[least], least))
+                rows.append((k1, k2, len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), near, ",".join(f"{a}:{b}" for a, b in spans), left if keep_text else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    made = written(one.transform(in_arrow, run, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string, kept binary"), "kept")
+    rows = every.select("k1", "k2", "text", "copied", "starts")
+    made = written(rows.transform(in_arrow, run, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long, spans string, kept binary"), "kept")
+    discard(lists, *[p for p, _ in places if hasattr(p, "written_to")])
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_halves(text_key(F.col("text"))))
-    out = keys.join(made, ["k1", "k2"])
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept"] * keep_text)
+    return keys.join(made, ["k1", "k2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage", "spans", *["kept"] * keep_text)

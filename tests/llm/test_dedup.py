@@ -30,19 +30,48 @@ def test_repeats_match_brute_force(spark):
     passage = prose(rng, 30)
     rows = [(i, prose(rng, 20) + passage[rng.randrange(40) :] + prose(rng, 10)) for i in range(12)]
     rows += [(50, prose(rng, 90)), (51, "ab" * 400), (52, "é" * 300 + prose(rng, 20)), (53, rows[0][1]), (53, rows[0][1]), (54, "x" * 130 + "\0" + "x" * 129), *EDGES]
-    for length in (400, 100):
-        got = sorted(map(tuple, repeats.without_repeats(frame(spark, rows), length).drop("spans").collect()), key=str)
-        want = sorted(((r[0], *b) for r, b in zip(rows, brute.repeats([r[1] for r in rows], length), strict=True)), key=str)
+    thue = "a"
+    while len(thue) < 4096:
+        thue += thue.translate({97: "b", 98: "a"})
+    rows += [(60, thue[:1100]), (61, thue[1024:2200]), (62, thue[700:3000]), (63, "z" + thue[:2500])]
+    for length, passage in ((400, 100), (100, None), (2000, 400)):
+        got = sorted(map(tuple, repeats.without_repeats(frame(spark, rows), length, passage).drop("spans").collect()), key=str)
+        short = brute.repeats([r[1] for r in rows], passage or length)
+        want = sorted(((r[0], *b, s[1]) for r, b, s in zip(rows, brute.repeats([r[1] for r in rows], length), short, strict=True)), key=str)
         assert got == want
 
 
 def test_repeats_parts_agree_with_whole(monkeypatch):
     rng = random.Random(9)
     data = prose(rng, 900).encode() + b"a" * 2000
-    whole = {(int(t), int(p)) for c in repeats.text_bands(data, 400) for t, lo, hi in zip(*c[2:], strict=True) for p in range(lo, hi + 1)}
+    each = lambda: {(int(t), int(p), int(k)) for c in repeats.text_phrases(data, 400) for k, t, lo, hi in zip(*c, strict=True) for p in range(lo, hi + 1)}
+    whole = each()
     monkeypatch.setattr(repeats, "PIECE", 512)
-    parts = {(int(t), int(p)) for c in repeats.text_bands(data, 400) for t, lo, hi in zip(*c[2:], strict=True) for p in range(lo, hi + 1)}
-    assert whole == parts and {p for _, p in whole} == set(range(len(data) - 399))
+    assert whole == each() and {p for _, p, _ in whole} == set(range(len(data) - 399))
+
+
+def test_intervals_of_an_order_over_partitions():
+    rng = random.Random(12)
+    texts = sorted({bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 12))) for _ in range(300)})
+    from types import SimpleNamespace
+
+    edges, steps_of, at = {}, {}, 0
+    for part in range(9):  # as the partitions of a sort would do
+        own = texts[at : at + (size := 40 if part != 3 else 1)]
+        at += size
+        steps, before = [], None
+        for i, s in enumerate(own):
+            shared = repeats.common(before, s) if before else 0
+            steps = repeats.cut(steps, shared) + ([(len(s), (part << 36) + i)] if len(s) > shared else [])
+            steps_of[s], before = steps, s
+            for bit, end in ((1, i == 0), (2, i == len(own) - 1)):
+                if end:
+                    edges[part, bit] = SimpleNamespace(s=s, depths=[d for d, _ in steps], intervals=[x for _, x in steps])
+    carry = repeats.carried(edges)
+    named = {(s, r): repeats.interval([d for d, _ in st], [i for _, i in st], carry, r) for s, st in steps_of.items() for r in range(1, len(s) + 1)}
+    for (s, r), x in named.items():
+        for u, y in ((u, named[u, r]) for u in steps_of if len(u) >= r):
+            assert (s[:r] == u[:r]) == (x == y)
 
 
 def test_jaccard_join_matches_brute_force(spark):
