@@ -71,14 +71,82 @@ def _piecewise(text: str, pattern: re.Pattern, value: Callable[[str], str | None
     return "".join(out), new, old
 
 
-def _mapped(new: list[int], old: list[int], a: int, b: int) -> Span:
-    """A span of the decoded text as a span of the encoded one; a replaced run maps as a whole."""
-    i = bisect.bisect_right(new, a) - 1
-    replaced = i % 2 == 1 and i + 1 < len(new)
-    start = old[i] if replaced else old[i] + a - new[i]
-    j = bisect.bisect_left(new, b) - 1
-    end = old[j + 1] if j % 2 == 1 and j + 1 < len(new) else old[max(j, 0)] + b - new[max(j, 0)]
-    return start, end
+class Place:
+    """Where spans of a layer stand in the original text; a whole run that was decoded maps as one."""
+
+    def __call__(self, a: int, b: int) -> Span:
+        raise NotImplementedError
+
+
+class Same(Place):
+    def __call__(self, a: int, b: int) -> Span:
+        return a, b
+
+
+class Fixed(Place):
+    """All of the layer stands for one span, as what was compressed does."""
+
+    def __init__(self, span: Span):
+        self.span = span
+
+    def __call__(self, a: int, b: int) -> Span:
+        return self.span
+
+
+class Within(Place):
+    """A span by way of the layer above; only base64 and bytes nest so, and each is shorter than the one above."""
+
+    def __init__(self, place: Callable[[int, int], Span], above: Place):
+        self.place, self.above = place, above
+
+    def __call__(self, a: int, b: int) -> Span:
+        return self.above(*self.place(a, b))
+
+
+class Pieces(Place):
+    """Runs that are copied or replaced, in turn: ``new`` and ``old`` are where each begins here and above.
+
+    ``ends`` is where each run ends above.  Over another layer of pieces the two are
+    made one, so thousands of nested ones take one step.
+    """
+
+    def __init__(self, new: list[int], old: list[int], ends: list[int], copied: list[bool], above: Place):
+        self.new, self.old, self.ends, self.copied, self.above = new, old, ends, copied, above
+
+    @classmethod
+    def over(cls, new: list[int], old: list[int], length: int, above: Place) -> Place:
+        """Runs that begin at ``new`` here and ``old`` above, every second one replaced; ``length`` of the text above."""
+        if isinstance(above, Fixed):
+            return above
+        ends = [*old[1:], length]
+        copied = [i % 2 == 0 for i in range(len(new))]
+        if not isinstance(above, Pieces):
+            return cls(new, old, ends, copied, above)
+        out: tuple[list, ...] = ([], [], [], [])
+        for at, x, y, plain in zip(new, old, ends, copied, strict=True):
+            if not plain:
+                for column, value in zip(out, (at, *above._span(x, y), False), strict=True):
+                    column.append(value)
+                continue
+            i = max(0, bisect.bisect_right(above.new, x) - 1)
+            while x < y:
+                stop = min(y, above.new[i + 1]) if i + 1 < len(above.new) else y
+                if stop > x:
+                    shift = above.old[i] + x - above.new[i] if above.copied[i] else above.old[i]
+                    for column, value in zip(out, (at, shift, shift + stop - x if above.copied[i] else above.ends[i], above.copied[i]), strict=True):
+                        column.append(value)
+                at, x, i = at + stop - x, stop, i + 1
+        return cls(*out, above.above) if out[0] else cls([0], [0], [0], [True], above.above)
+
+    def _span(self, a: int, b: int) -> Span:
+        i = max(0, bisect.bisect_right(self.new, a) - 1)
+        j = max(i, bisect.bisect_left(self.new, b) - 1)
+        start = self.old[i] + a - self.new[i] if self.copied[i] else self.old[i]
+        end = self.old[j] + b - self.new[j] if self.copied[j] else self.ends[j]
+        return start, max(start, end)
+
+    def __call__(self, a: int, b: int) -> Span:
+        return self.above(*self._span(a, b))
 
 
 def _percent_text(run: str) -> str | None:
@@ -158,51 +226,49 @@ def _windows(parts: Iterable[bytes]) -> Iterator[bytes]:
         yield b"".join(held)
 
 
-Layer = tuple[str, str | bytes | None, Callable[[int, int], Span]]
+Layer = tuple[str, str | bytes | None, Place]
 
 
-def _from_bytes(data: bytes) -> Iterator[Layer]:
+def _from_bytes(data: bytes, above: Place) -> Iterator[Layer]:
     """Texts and streams in ``data``.
 
     What is not UTF-8 is read byte by byte (all patterns are ASCII), so no byte
     hides a secret beside it; and as UTF-16 from each byte order mark on.
     """
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        text = data.decode("latin-1")
-    if len(text) == len(data):
-        yield "", text, lambda a, b: (a, b)
-    else:
-        ends = [0, *itertools.accumulate(len(c.encode()) for c in text)]
-        yield "", text, lambda a, b: (ends[a], ends[b])
     marks = [*_BOM.finditer(data)]
     for m, stop in zip(marks, [*(x.start() for x in marks[1:]), len(data)], strict=False):
         if stop - m.end() >= 12:
             wide = data[m.end() : stop].decode("utf-16-le" if m[0] == b"\xff\xfe" else "utf-16-be", "replace")
             places = [*itertools.accumulate((2 + 2 * (c > "\uffff") for c in wide), initial=m.end())]
-            yield "", wide, lambda a, b, places=places, stop=stop: (places[a], min(stop, places[b]))
+            yield "", wide, _within(lambda a, b, places=places, stop=stop: (places[a], min(stop, places[b])), above)
     at = 0
     while m := _STREAM.search(data, at):
         stream = _Stream(data, m.start())
         for window in _windows(stream):
             end = m.start() + stream.used if stream.whole else len(data)
-            yield "compressed", window, lambda a, b, m=m, end=end: (m.start(), end)
+            yield "compressed", window, Fixed(above(m.start(), end))
         if not stream.whole and m[0] in (_GZIP, _ZSTD):
-            yield "compressed", None, lambda a, b, m=m: (m.start(), len(data))
+            yield "compressed", None, Fixed(above(m.start(), len(data)))
         at = m.start() + (max(1, stream.used) if stream.whole else 1)
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        text = data.decode("latin-1")
+        yield "", text, above
+        return
+    if len(text) == len(data):
+        yield "", text, above
+    else:
+        ends = [0, *itertools.accumulate(len(c.encode()) for c in text)]
+        yield "", text, _within(lambda a, b: (ends[a], ends[b]), above)
 
 
-def _unwrapped(text: str) -> Iterator[Layer]:
-    """Layers right below ``text``."""
-    if "%" in text and _PERCENT.search(text):
-        if got := _piecewise(text, _PERCENT_RUN, _percent_text):
-            layer, new, old = got
-            yield "url", layer, lambda a, b, new=new, old=old: _mapped(new, old, a, b)
-    if ("\\" in text or "&#" in text) and _ESCAPE.search(text):
-        if got := _piecewise(text, _ESCAPE, _escape_text):
-            layer, new, old = got
-            yield "unicode", layer, lambda a, b, new=new, old=old: _mapped(new, old, a, b)
+def _within(place: Callable[[int, int], Span], above: Place) -> Place:
+    return above if isinstance(above, Fixed) else Within(place, above)
+
+
+def _unwrapped(text: str, above: Place) -> Iterator[Layer]:
+    """Layers right below ``text``; those that are as long as the whole text come last."""
     for m in _BASE64.finditer(text):
         lines = [x.span() for x in _LINE.finditer(text, *m.span())]
         firsts = [0, *itertools.accumulate(b - a for a, b in lines)]
@@ -217,7 +283,13 @@ def _unwrapped(text: str) -> Iterator[Layer]:
             part = run[start:]
             part = part[: len(part) - (len(part) % 4 == 1)]
             data = base64.b64decode(part + "=" * (-len(part) % 4))
-            yield "base64", data, lambda a, b, start=start, place=place: place(a, b, start)
+            yield "base64", data, _within(lambda a, b, start=start, place=place: place(a, b, start), above)
+    if ("\\" in text or "&#" in text) and _ESCAPE.search(text):
+        if got := _piecewise(text, _ESCAPE, _escape_text):
+            yield "unicode", got[0], Pieces.over(got[1], got[2], len(text), above)
+    if "%" in text and _PERCENT.search(text):
+        if got := _piecewise(text, _PERCENT_RUN, _percent_text):
+            yield "url", got[0], Pieces.over(got[1], got[2], len(text), above)
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, str]], int]:
@@ -225,39 +297,55 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
 
     Layer after layer is unwrapped, depth first, until no new one appears.  A layer
     whose content was seen before in the same place is not unwrapped again, so an
-    encoding that decodes to itself ends.
+    encoding that decodes to itself ends.  Layers are kept on a list of work, and one
+    is let go as its last inner layer is taken, so thousands may be nested.  Base64
+    runs have 16 characters at least: the shortest secret, ``token=`` and six characters,
+    has twelve bytes.
     """
     base = base_spans(text)
     found: dict[tuple[int, int, str], str] = {}
     unread = 0
     seen = {(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), str, 0, len(text))}
-    work: list[tuple[Iterator[Layer], str, Callable[[int, int], Span]]] = [(_unwrapped(text), "", lambda a, b: (a, b))]
+    work: list[tuple[Iterator[Layer], Layer | None, str]] = []
+
+    def push(layers: Iterator[Layer], chain: str) -> None:
+        if first := next(layers, None):
+            work.append((layers, first, chain))
+
+    push(_unwrapped(text, Same()), "")
     while work:
-        layers, names, up = work[-1]
-        if (layer := next(layers, None)) is None:
-            work.pop()
-            continue
-        name, inner, place = layer
+        layers, (name, inner, place), names = work.pop()
+        push(layers, names)
         if inner is None:
             unread += 1
         if not inner:
             continue
-        back = lambda a, b, place=place, up=up: up(*place(a, b))
         data = inner.encode("utf-8", "surrogatepass") if isinstance(inner, str) else inner
-        mark = (hashlib.sha256(data).digest(), type(inner), *back(0, len(inner)))
+        mark = (hashlib.sha256(data).digest(), type(inner), *place(0, len(inner)))
         if mark in seen:
             continue
         seen.add(mark)
-        chain = "+".join(filter(None, (names, name)))
+        chain = _longer(names, name)
         if isinstance(inner, str):
             for a, b, kind in base_spans(inner):
-                found.setdefault((*back(a, b), kind), chain)
-        work.append((_unwrapped(inner) if isinstance(inner, str) else _from_bytes(inner), chain, back))
+                found.setdefault((*place(a, b), kind), chain)
+        push(_unwrapped(inner, place) if isinstance(inner, str) else _from_bytes(inner, place), chain)
     for span in base:
         found.pop(span, None)
     return base, [(*k, v) for k, v in found.items()], unread
 
 
+def _longer(names: str, name: str) -> str:
+    """``names`` with one more; a name that repeats is counted (``url*3``)."""
+    if not name:
+        return names
+    before, _, last = names.rpartition("+")
+    kind, _, count = last.partition("*")
+    if kind != name:
+        return f"{names}+{name}" if names else name
+    return f"{before}+{name}*{int(count or 1) + 1}" if before else f"{name}*{int(count or 1) + 1}"
+
+
 def joined(spans: list[tuple[int, int, str]]) -> str:
     """kind:start:end by start, then kind as listed, then end."""
     order = sorted({(s[0], KINDS.index(s[2]), s[1]) for s in spans})
