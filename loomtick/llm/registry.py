@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.without_repeats(_table(spark, sf_dir, "documents"), passage=repeats.PASSAGE).drop("spans")
+    return repeats.without_repeats(_table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

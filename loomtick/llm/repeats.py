@@ -7,10 +7,10 @@ places of one trigger make a phrase of the dictionary (the bytes up to the trigg
 with what the parse goes on with (the bytes from the trigger on, as far as the
 phrase's strings reach).
 
-1. Phrases whose core (the bytes that all their strings share) occurs once in the
-   corpus hold no repeat.  A hash decides this: it can only keep too many.
-2. A phrase that occurs again together with its whole continuation is repeated at
-   all its places.
+1. Phrases whose core (bytes from the trigger on that all their strings share) occurs
+   once in the corpus hold no repeat.  A hash decides this: it can only keep too many.
+2. A phrase that occurs again together with its whole continuation (by 128 bits of
+   BLAKE2) is repeated at all its places.
 3. For the others, the two suffix arrays are made.  The dictionary's suffixes that
    end at a trigger are ordered by their reversed bytes, and the parse's suffixes by
    theirs, each as far as a string reaches, by a distributed sort.  The longest common
@@ -29,6 +29,7 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,11 +40,11 @@ from pyspark.sql import functions as F
 from loomtick.llm.common import discard, in_arrow, text_key, text_slices, written
 
 LENGTH = 400
-#: Shorter repeats that are reported beside those of LENGTH, and not removed: passages of about fifty words.
-PASSAGE = 256
 #: Bytes of the rolling hash, and how far before a trigger a place may lie.
 ROLL = 16
-REACH = 192
+REACH = 160
+#: Bytes of a core at most; such a string that occurs again is reported even if it is too short to go.
+CORE = 160
 #: A trigger is a hash with so many leading zero bits: phrases of 128 bytes, then finer ones where none is in reach.
 TRIGGERS = (7, 5, 2)
 #: Bytes taken at a time.
@@ -57,6 +58,10 @@ def reach_of(length: int) -> int:
     return min(REACH, (length - ROLL) // 2)
 
 
+def core_of(length: int) -> int:
+    return min(CORE, length - reach_of(length) + 1)
+
+
 @functools.lru_cache(maxsize=2)
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For a polynomial hash: byte values, powers of the base, and powers of its inverse."""
@@ -124,7 +129,7 @@ def text_phrases(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
         a, b = max(0, first - reach), min(n, last + length + reach + ROLL)
         piece = Piece(array[a:b])
         t, lo, hi = phrases(piece, np.arange(first - a, last - a), reach)
-        yield _mixed(piece.hash(t, t + length - reach + 1)).view(np.int64), t + a, lo + a, hi + a
+        yield _mixed(piece.hash(t, t + core_of(length))).view(np.int64), t + a, lo + a, hi + a
 
 
 def _halves(key: Column) -> list[Column]:
@@ -156,34 +161,54 @@ def _parsed(rows: DataFrame, length: int) -> DataFrame:
     return rows.transform(in_arrow, run, "k1 long, k2 long, core long, t long, lo long, hi long")
 
 
+def _short(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def _emitted(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], size: int) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+    for row in rows:
+        out.append(row)
+        if len(out) >= size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+            out.clear()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+
+def _whole(rows: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, copied, t, lo, hi, core, w1, w2): w1 and w2 stand for each kept phrase of (k1, k2, copied, text, phrases) with all that its strings reach."""
+    names = ["k1", "k2", "copied", "t", "lo", "hi", "core", "w1", "w2"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 6]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for k1, k2, copied, text, found in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4), strict=True):
+                data = text.as_buffer().to_pybytes()
+                for t, lo, hi, core in zip(*(found.values.field(i).to_pylist() for i in range(4)), strict=True):
+                    yield (k1, k2, copied, t, lo, hi, core, *struct.unpack("<qq", _short(struct.pack("<q", t - lo) + data[lo : hi + length])))
+
+    return rows.transform(in_arrow, lambda batches: _emitted(each(batches), names, types, 10_000), "k1 long, k2 long, copied boolean, t long, lo long, hi long, core long, w1 long, w2 long")
+
+
 def _contexts(rows: DataFrame, length: int) -> DataFrame:
-    """What stands on both sides of the trigger of each kept phrase of (k1, k2, text, copied, phrases).
+    """What stands on both sides of the trigger of chosen phrases of (k1, k2, text, phrases).
 
     left is the phrase from the trigger backwards, right the text from the trigger on as
-    far as the phrase's strings reach.  lh and rh, 128 bits of BLAKE2, stand for them.
+    far as the phrase's strings reach; lh and rh name them.
     """
-    short = lambda b: hashlib.blake2b(b, digest_size=16).digest()
-    names = ["k1", "k2", "copied", "t", "lo", "hi", "core", "lh", "rh", "left", "right"]
-    types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4, *[pa.binary()] * 4]
+    names = ["k1", "k2", "t", "lo", "hi", "open", "lh", "rh", "left", "right"]
+    types = [*[pa.int64()] * 5, pa.bool_(), *[pa.binary()] * 4]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        packed = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for k1, k2, copied, text, found in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4), strict=True):
+            for k1, k2, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 data = text.as_buffer().to_pybytes()
-                end = len(data) - length
-                for t, lo, hi, core in zip(*(found.values.field(i).to_pylist() for i in range(4)), strict=True):
-                    if lo <= end:
-                        left, right = data[lo:t][::-1], data[t : min(hi, end) + length]
-                        out.append((k1, k2, copied, t, lo, min(hi, end), core, short(left), short(right), left, right))
-                        if len(out) >= 4000:
-                            yield packed()
-                            out.clear()
-        if out:
-            yield packed()
+                for t, lo, hi, open_ in zip(*(found.values.field(i).to_pylist() for i in range(4)), strict=True):
+                    left, right = data[lo:t][::-1], data[t : hi + length]
+                    yield k1, k2, t, lo, hi, open_, _short(left), _short(right), left, right
 
-    return rows.transform(in_arrow, run, "k1 long, k2 long, copied boolean, t long, lo long, hi long, core long, lh binary, rh binary, left binary, right binary")
+    return rows.transform(in_arrow, lambda batches: _emitted(each(batches), names, types, 4000), "k1 long, k2 long, t long, lo long, hi long, open boolean, lh binary, rh binary, left binary, right binary")
 
 
 # --- suffix orders --------------------------------------------------------------
@@ -287,36 +312,32 @@ def _places(rows: DataFrame, length: int, left_carry: dict, right_carry: dict) -
     names = ["a", "b", "d", "k1", "k2", "p", "open"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        packed = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for k1, k2, t, lo, hi, open_, l_most, l_depths, l_in, r_most, r_depths, r_in in zip(*(batch.column(i).to_pylist() for i in range(12)), strict=True):
                 for d in range(max(t - hi, length - r_most), min(t - lo, l_most) + 1):
-                    out.append((interval(l_depths, l_in, left_carry, d), interval(r_depths, r_in, right_carry, length - d), d, k1, k2, t - d, open_))
-                if len(out) >= 20_000:
-                    yield packed()
-                    out.clear()
-        if out:
-            yield packed()
+                    yield interval(l_depths, l_in, left_carry, d), interval(r_depths, r_in, right_carry, length - d), d, k1, k2, t - d, open_
 
-    return rows.transform(in_arrow, run, "a long, b long, d int, k1 long, k2 long, p long, open boolean")
+    return rows.transform(in_arrow, lambda batches: _emitted(each(batches), names, types, 20_000), "a long, b long, d int, k1 long, k2 long, p long, open boolean")
 
 
 def _repeats_of(texts: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, lo, hi): first to last start of repeated strings, phrase by phrase, of (k1, k2, copied, text, phrases)."""
-    contexts = written(_contexts(texts, length), "contexts")
+    """(k1, k2, lo, hi): first to last start of repeated strings, phrase by phrase, of (k1, k2, copied, text, phrases); none of copied texts, which go as a whole."""
+    whole = written(_whole(texts, length), "whole-phrases")
     one = F.min(F.struct("k1", "k2", "t", "lo", "hi")).alias("one")
-    whole = contexts.groupBy("lh", "rh").agg((F.count(F.lit(1)) + F.max(F.col("copied").cast("long"))).alias("n"), F.first("core").alias("core"), F.first("left").alias("left"), F.first("right").alias("right"), one)
-    whole = written(whole, "whole-phrases")
-    twice = whole.where("n > 1").select("lh", "rh")
-    repeated = written(contexts.where("not copied").select("k1", "k2", "lo", "hi", "lh", "rh").join(twice, ["lh", "rh"], "left_semi").select("k1", "k2", "lo", "hi"), "repeated")
-    discard(contexts)
+    kinds = whole.groupBy("w1", "w2").agg((F.count(F.lit(1)) + F.max(F.col("copied").cast("long"))).alias("n"), F.first("core").alias("core"), one)
+    kinds = written(kinds, "kinds")
+    twice = kinds.where("n > 1").select("w1", "w2")
+    repeated = written(whole.where("not copied").select("k1", "k2", "lo", "hi", "w1", "w2").join(twice, ["w1", "w2"], "left_semi").select("k1", "k2", "lo", "hi"), "repeated")
+    discard(whole)
     # one phrase of each kind goes on, if one that is still open shares its core
-    open_cores = written(whole.where("n = 1").select("core").distinct(), "open-cores")
-    met = whole.join(open_cores, "core", "left_semi").select("one.*", (F.col("n") == 1).alias("open"), "lh", "rh", "left", "right")
-    met = written(met, "met-phrases")
-    discard(whole, open_cores)
+    open_cores = written(kinds.where("n = 1").groupBy("core").agg(F.lit(1)).select("core"), "open-cores")
+    met = kinds.join(open_cores, "core", "left_semi").select("one.*", (F.col("n") == 1).alias("open"))
+    met = written(met.groupBy("k1", "k2").agg(F.collect_list(F.struct("t", "lo", "hi", "open")).alias("met")), "met-lists")
+    discard(kinds, open_cores)
+    met_texts = texts.select("k1", "k2", "text").join(met, ["k1", "k2"]).select("k1", "k2", "text", "met")
+    before, met = met, written(_contexts(met_texts, length), "met-phrases")
+    discard(before)
     strings = lambda h, s: met.groupBy(F.col(h).alias("h")).agg(F.first(s).alias("s"), F.count(F.lit(1)).alias("n"))
     left, left_carry = _ordered(strings("lh", "left"), "dictionary-order")
     right, right_carry = _ordered(strings("rh", "right"), "parse-order")
@@ -343,59 +364,56 @@ def removed_spans(starts: list[tuple[int, int]], length: int) -> list[tuple[int,
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, passage: int | None = None, keep_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
     """What is left of each text once repeated strings are gone: one row for each row of ``docs``.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere
     else, in its own text or another one; strings are judged on the input, so all
     copies go.  Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage,
     spans (``start:end`` in bytes, comma-joined) and, with ``keep_text``, kept (binary,
-    as a cut may fall inside a character).  n_passage counts the bytes in repeated
-    strings of the shorter length ``passage``, which are reported and stay; without one it
-    is n_removed.  A null text counts as empty.  Equal texts have equal results: they
-    are worked out once and joined back to the rows.
+    as a cut may fall inside a character).  n_passage counts the bytes of cores that
+    occur again, by their hash: it also tells of passages too short to go.  A null text
+    counts as empty.  Equal texts have equal results: they are worked out once and
+    joined back to the rows.
     """
-    least = min(length, passage or length)
     texts = docs.select(*_halves(text_key(F.col("text"))), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    long_enough = texts.where(F.octet_length("text") >= least)
-    parsed = written(_parsed(long_enough, least), "phrases")
+    long_enough = texts.where(F.octet_length("text") >= length)
+    parsed = written(_parsed(long_enough, length), "phrases")
     cores = written(parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "cores")
     kept = parsed.join(cores, "core", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("t", "lo", "hi", "core")).alias("phrases"))
     kept = written(kept, "kept-phrases")
     discard(parsed, cores)
     one = long_enough.groupBy("k1", "k2").agg(F.first("text").alias("text"), (F.count(F.lit(1)) > 1).alias("copied"))
     found = written(one.join(kept, ["k1", "k2"]).select("k1", "k2", "copied", "text", "phrases"), "kept-texts")
-    discard(kept)
-    sizes = sorted({length, least})
-    places = [(_repeats_of(found, n), n) for n in sizes]
+    places = _repeats_of(found, length)
     discard(found)
-    lists = functools.reduce(DataFrame.unionByName, [p.withColumn("of", F.lit(n)) for p, n in places])
-    lists = written(lists.groupBy("k1", "k2").agg(F.collect_set(F.struct("of", "lo", "hi")).alias("starts")), "starts")
+    starts = places.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("starts"))
+    passages = kept.select("k1", "k2", F.transform("phrases", lambda p: p["t"]).alias("cores"))
+    lists = written(passages.join(starts, ["k1", "k2"], "left"), "starts")
+    discard(kept)
     every = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"), (F.count(F.lit(1)) > 1).alias("copied")).join(lists, ["k1", "k2"], "left")
+    core = core_of(length)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage", "spans", "kept"]
-        types = [pa.int64()] * 5 + [pa.string(), pa.int64(), pa.string(), pa.binary()]
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in text_slices(batches, 2):
-            rows = []
-            for k1, k2, text, copied, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
+            for k1, k2, text, copied, cores, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
                 data = text.as_buffer().to_pybytes()
-                ranges: dict[int, list[tuple[int, int]]] = {n: [(0, len(data) - n)] if copied and len(data) >= n else [] for n in sizes}
-                if starts.is_valid and not copied:
-                    for n, lo, hi in zip(*(starts.values.field(i).to_pylist() for i in range(3)), strict=True):
-                        ranges[n].append((lo, hi))
-                spans = removed_spans(ranges[length], length)
+                ranges: list[tuple[int, int]] = [(0, len(data) - length)] if copied and len(data) >= length else []
+                if starts.is_valid and not ranges:
+                    ranges = [*zip(*(starts.values.field(i).to_pylist() for i in range(2)), strict=True)]
+                spans = removed_spans(ranges, length)
                 parts, at = [], 0
                 for a, b in spans:
                     parts.append(data[at:a])
                     at = b
                 left = b"".join([*parts, data[at:]])
-                near = sum(b - a for a, b in removed_spans(ranges[least], least))
-                rows.append((k1, k2, len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), near, ",".join(f"{a}:{b}" for a, b in spans), left if keep_text else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    rows = every.select("k1", "k2", "text", "copied", "starts")
-    made = written(rows.transform(in_arrow, run, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long, spans string, kept binary"), "kept")
-    discard(lists, *[p for p, _ in places if hasattr(p, "written_to")])
+                passage = sum(b - a for a, b in removed_spans([(t, t) for t in cores.values.to_pylist()], core)) if cores.is_valid else 0
+                yield k1, k2, len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), passage, ",".join(f"{a}:{b}" for a, b in spans), left if keep_text else None
+
+    names = ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage", "spans", "kept"]
+    types = [pa.int64()] * 5 + [pa.string(), pa.int64(), pa.string(), pa.binary()]
+    rows = every.select("k1", "k2", "text", "copied", "cores", "starts")
+    made = written(rows.transform(in_arrow, lambda batches: _emitted(each(batches), names, types, 200), "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long, spans string, kept binary"), "kept")
+    discard(lists)
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_halves(text_key(F.col("text"))))
     return keys.join(made, ["k1", "k2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage", "spans", *["kept"] * keep_text)
