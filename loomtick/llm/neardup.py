@@ -5,9 +5,11 @@
 2. Band hashes are shuffled; texts that share one form candidate clusters (every
    band bucket points to its smallest member, so a bucket of any size gives as many
    edges as it has members).
-3. Within a cluster all pairs are verified on the full shingle sets.  A large
-   cluster is cut into blocks, and each pair of blocks is a task of bounded size;
-   only counts and a spanning forest of the verified links leave it.
+3. Pairs are verified on the full shingle sets, in groups: a cluster, or where that
+   moves fewer texts (a cluster that a few chance bands chain together), each band
+   bucket of it, a pair then counting in its first common band alone.  A large group
+   is cut into blocks, and each pair of blocks is a task of bounded size; only counts
+   and a spanning forest of the verified links leave it.
 """
 
 from __future__ import annotations
@@ -119,13 +121,35 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return picked.transform(in_arrow, run, "doc_id long, key binary, n_chars long, bands array<long>")
 
 
-def candidate_clusters(texts: DataFrame) -> DataFrame:
-    """(key, cluster): texts joined by common bands; a cluster holds every pair that shares one."""
+def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, band, m): texts in buckets of m > 1 texts; (key, cluster): those that common bands join."""
     rows = texts.select("key", F.explode("bands").alias("band"))
-    hubs = rows.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub <> last")
-    hubs = written(hubs.select("band", "hub"), "buckets")
-    edges = rows.join(hubs, "band").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
-    return components(edges).select(F.col("node").alias("key"), F.col("label").alias("cluster"))
+    buckets = rows.groupBy("band").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = written(rows.join(written(buckets, "buckets"), "band"), "shared-bands")
+    edges = shared.where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
+    return shared.select("key", "band", "m"), components(edges).select(F.col("node").alias("key"), F.col("label").alias("cluster"))
+
+
+def groups_of(shared: DataFrame, clusters: DataFrame, texts: DataFrame, block_texts: int) -> DataFrame:
+    """(key, grp, band, n_blocks): the groups in which a text meets others; band is null in a group that is a cluster.
+
+    A text goes to as many tasks as its group has blocks.  Each cluster is taken whole or
+    by its buckets, whichever comes to fewer.  Clusters or buckets only meet here as
+    counts; that of one text follows from what is summed up for each.
+    """
+    blocks = lambda n, chars: F.greatest(F.ceil(n / block_texts), F.ceil(chars / BLOCK_CHARS)).cast("int")
+    members = written(clusters.join(texts.select("key", "n_chars"), "key"), "members")
+    whole = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    whole = whole.select("cluster", blocks(F.col("n"), F.col("chars")).alias("n_blocks"), "n")
+    rows = written(shared.join(members, "key"), "bucket-members")
+    buckets = rows.groupBy("cluster", "band").agg(F.first("m").alias("m"), F.sum("n_chars").alias("chars"))
+    buckets = written(buckets.select("cluster", "band", "m", blocks(F.col("m"), F.col("chars")).alias("n_blocks")), "bucket-sizes")
+    moved = buckets.groupBy("cluster").agg(F.sum(F.col("m") * F.col("n_blocks")).alias("by_band"))
+    chosen = written(whole.join(moved, "cluster").select("cluster", "n_blocks", (F.col("by_band") < F.col("n") * F.col("n_blocks")).alias("split")), "clusters")
+    one = members.join(chosen.where("not split"), "cluster").select("key", F.col("cluster").alias("grp"), F.lit(None).cast("long").alias("band"), "n_blocks")
+    split = buckets.join(chosen.where("split").select("cluster"), "cluster", "left_semi")
+    many = rows.select("key", "cluster", "band").join(split.select("cluster", "band", "n_blocks"), ["cluster", "band"])
+    return written(one.unionByName(many.select("key", F.col("cluster").alias("grp"), "band", "n_blocks")), "groups")
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -152,8 +176,11 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return np.rint(out).astype(np.int64)
 
 
-def block_links(keys: list[bytes], sides: list[int], sets: list[np.ndarray], same: bool, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Number of verified links of each text of a pair of blocks, and a spanning forest of them."""
+def block_links(keys: list[bytes], sides: list[int], sets: list[np.ndarray], same: bool, threshold: float, band: int | None = None, bands: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Number of verified links of each text of a pair of blocks, and a spanning forest of them.
+
+    With a band, only pairs whose first common one it is.
+    """
     left = [i for i, s in enumerate(sides) if s == 0 or same]
     right = [i for i, s in enumerate(sides) if s == 1 or same]
     counts = np.zeros(len(keys), np.int64)
@@ -163,6 +190,11 @@ def block_links(keys: list[bytes], sides: list[int], sets: list[np.ndarray], sam
     size = np.array([len(s) for s in sets])
     union = size[left][:, None] + size[right][None, :] - shared
     hit = (shared >= threshold * union) & (union > 0)
+    if band is not None:
+        own, other = np.stack([bands[i] for i in left]), np.stack([bands[i] for i in right])
+        at = int(np.flatnonzero(own[0] == band)[0])
+        for i in range(at):
+            hit &= own[:, i, None] != other[None, :, i]
     if same:
         np.fill_diagonal(hit, False)
         counts[left] = hit.sum(1)
@@ -186,41 +218,41 @@ def block_links(keys: list[bytes], sides: list[int], sets: list[np.ndarray], sam
     return counts, forest
 
 
-def verified_links(docs: DataFrame, clusters: DataFrame, texts: DataFrame, threshold: float, block_texts: int = BLOCK_TEXTS) -> DataFrame:
+def verified_links(docs: DataFrame, groups: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b, n): spanning links (n null) and link counts of a text (b null), from whole sets."""
-    members = clusters.join(texts.select("key", "n_chars"), "key")
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
-    blocks = F.greatest(F.ceil(F.col("n") / block_texts), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
-    sizes = written(sizes.select("cluster", blocks.alias("n_blocks")), "clusters")
-    members = written(members.join(sizes, "cluster"), "members")
     whole = docs.select(text_key(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
-    whole = whole.groupBy("key").agg(F.first("text").alias("text")).join(members.select("key", "cluster", "n_blocks"), "key")
+    whole = whole.join(groups.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    split = groups.where("band IS NOT NULL").select("key").distinct()
+    bands = texts.select("key", "bands").join(split, "key", "left_semi").withColumnRenamed("key", "of")
+    rows = groups.join(bands, (F.col("key") == F.col("of")) & F.col("band").isNotNull(), "left").drop("of")
     block = F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int")
-    dealt = whole.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "key", "text")
-    group = ["cluster", "i", "j"]
+    dealt = whole.join(rows, "key").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    side = (F.col("own") > F.col("other")).cast("int").alias("side")
+    dealt = dealt.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", side, "key", "bands", "text")
+    group = ["grp", "band", "i", "j"]
     dealt = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group).sortWithinPartitions(*group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        at, keys, sides, sets = None, [], [], []
+        at, keys, sides, sets, bands = None, [], [], [], []
         out: list[tuple[bytes, bytes | None, int | None]] = []
 
         def close() -> None:
-            counts, forest = block_links(keys, sides, sets, at[1] == at[2], threshold)
+            counts, forest = block_links(keys, sides, sets, at[1] == at[2], threshold, at[3], bands)
             out.extend((k, None, int(n)) for k, n in zip(keys, counts, strict=True) if n)
             out.extend((keys[a], keys[b], None) for a, b in forest)
 
         packed = lambda: pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], ["a", "b", "n"])
-        for batch in text_slices(batches, 5):
-            head = list(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True))
-            for (cluster, i, j, side, key), value in zip(head, batch.column(5), strict=True):
-                if at != (cluster, i, j):
+        for batch in text_slices(batches, 7):
+            head = list(zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True))
+            for (grp, i, j, band, side, key, own), value in zip(head, batch.column(7), strict=True):
+                if at != (grp, i, j, band):
                     if at is not None:
                         close()
-                    at, keys, sides, sets = (cluster, i, j), [], [], []
+                    at, keys, sides, sets, bands = (grp, i, j, band), [], [], [], []
                 keys.append(key)
                 sides.append(side)
+                bands.append(None if own is None else np.array(own, np.int64))
                 sets.append(shingler(value.as_py() or ""))
             if len(out) > 10_000:
                 yield packed()
@@ -236,7 +268,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     """(doc_id, key) of every row, and (key, first, n_copies, n_links, label) of every text; a class is a label."""
     rows = written(signatures(docs, *bands_for(threshold, recall, MAX_HASHES)), "signatures")
     texts = written(rows.groupBy("key").agg(F.first("bands").alias("bands"), F.max("n_chars").alias("n_chars"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_copies")), "texts")
-    links = written(verified_links(docs, candidate_clusters(texts), texts, threshold, block_texts), "links")
+    links = written(verified_links(docs, groups_of(*candidates(texts), texts, block_texts), texts, threshold), "links")
     counts = links.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
     classes = components(links.where("b IS NOT NULL")).withColumnRenamed("node", "key")
     each = texts.select("key", "first", "n_copies").join(counts, "key", "left").join(classes, "key", "left")
@@ -257,7 +289,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     rows, each = text_classes(docs, threshold, recall, block_texts)
     firsts = written(each.groupBy("label").agg(F.min("first").alias("class_id")), "class-ids")
     each = written(each.join(firsts, "label").select("key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "text-classes")
-    return rows.select("doc_id", "key").join(each, "key").select("doc_id", "class_id", "n_copies", "n_links", "key")
+    # at most 1000 texts have a thousandth of all rows each: their rows meet them without being dealt by key
+    often = each.where(F.col("n_copies") * 1000 >= rows.count())
+    rows = rows.select("doc_id", "key")
+    out = rows.join(F.broadcast(often), "key").unionByName(rows.join(F.broadcast(often.select("key")), "key", "left_anti").join(each, "key"))
+    return out.select("doc_id", "class_id", "n_copies", "n_links", "key")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

@@ -34,13 +34,20 @@ def test_repeats_match_brute_force(spark):
     while len(thue) < 4096:
         thue += thue.translate({97: "b", 98: "a"})
     rows += [(60, thue[:1100]), (61, thue[1024:2200]), (62, thue[700:3000]), (63, "z" + thue[:2500])]
-    for length, passage in ((400, 100), (100, None), (2000, 400)):
-        got = sorted(map(tuple, repeats.without_repeats(frame(spark, rows), length, passage).drop("spans").collect()), key=str)
-        short = brute.repeats([r[1] for r in rows], passage or length)
-        want = sorted(((r[0], *b, s[1]) for r, b, s in zip(rows, brute.repeats([r[1] for r in rows], length), short, strict=True)), key=str)
+    for length in (400, 100, 2000):
+        got = sorted(map(tuple, repeats.without_repeats(frame(spark, rows), length).drop("spans", "n_passage").collect()), key=str)
+        want = sorted(((r[0], *b) for r, b in zip(rows, brute.repeats([r[1] for r in rows], length), strict=True)), key=str)
         assert got == want
 
 
+def test_passages_too_short_to_go_are_reported(spark):
+    rng = random.Random(14)
+    passage = prose(rng, 60)[:330]
+    rows = [(i, prose(rng, 80) + " " + passage + " " + prose(rng, 80)) for i in range(3)] + [(9, prose(rng, 200))]
+    got = {r.doc_id: (r.n_removed, r.n_passage > 0) for r in repeats.without_repeats(frame(spark, rows)).collect()}
+    assert got == {0: (0, True), 1: (0, True), 2: (0, True), 9: (0, False)}
+
+
 def test_repeats_parts_agree_with_whole(monkeypatch):
     rng = random.Random(9)
     data = prose(rng, 900).encode() + b"a" * 2000
@@ -92,6 +99,24 @@ def test_jaccard_join_matches_brute_force(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(x[1]) for x in brute.classes(rows, 0.8)})
 
 
+def test_buckets_and_clusters_give_the_same_links(spark):
+    rng = random.Random(41)
+    rows, n = [], 0
+    own = prose(rng, 60).split()  # a chain: neighbours are near copies, the ends are not
+    for _ in range(200):
+        rows.append((n := n + 1, " ".join(own)))
+        own[rng.randrange(len(own))] = f"step{n}"
+    rows += [(900 + i, prose(rng, 60)) for i in range(10)]
+    docs = frame(spark, rows)
+    want = brute.classes(rows, 0.8)
+    texts = neardup.signatures(docs, 23, 6).select("key", "bands", "n_chars")
+    shared, clusters = neardup.candidates(texts)
+    kinds = [{r.band is None for r in neardup.groups_of(shared, clusters, texts, block).select("band").collect()} for block in (2, 128)]
+    assert False in kinds[0] and kinds[1] == {True}
+    got = neardup.jaccard_join(docs, block_texts=2).select("doc_id", "class_id", "n_copies", "n_links").collect()
+    assert sorted(map(tuple, got), key=str) == want
+
+
 def test_one_of_each_keeps_unrelated_texts_of_equal_ids(spark):
     rng = random.Random(17)
     a, b, c, d, e = (prose(rng, 60) for _ in range(5))
