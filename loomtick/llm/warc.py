@@ -1,14 +1,17 @@
 """WARC archives with a two-level capture index.
 
-Each record is a gzip member of its own; the empty member after it is the record
-end of the Spark writer that commits the file, so archives are ordinary
-``.warc.gz`` content on any file system that Spark writes, and a lost executor
-leaves nothing half written.
+Each record is a gzip member of its own; an archive is one row of the Spark writer that
+commits the file, of a bounded number of bytes (a longer record is one alone), and the
+empty member at its end is the writer's.  So archives are ordinary ``.warc.gz`` content
+on any file system that Spark writes, and a lost executor leaves nothing half written.
 
 The index has two levels.  Capture lines ``key timestamp {json}``, keyed by the URL
 with its host reversed, are sorted and cut into gzip-compressed blocks; a sparse
 directory holds the first line of each block and its place.  A lookup searches the
 directory, reads one block, searches in it, and reads one byte range of an archive.
+``CaptureIndex`` does this for one URL, ``looked_up`` for a table of them: keys are dealt to
+index files by the files' first lines, and places to archives, as Python on an executor
+sees files by Spark's readers alone; both kinds of file are small.
 """
 
 from __future__ import annotations
@@ -28,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtick.llm.common import in_arrow, new_path, text_slices, written
+from loomtick.llm.common import discard, in_arrow, new_path, text_slices, written
 
-#: An empty gzip member: what the writer puts after every record.
+#: An empty gzip member: what the writer puts at the end.
 RECORD_END = bytes([31, 139, 8, 0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
-#: Records in an archive at most; archives are read back whole, one at a time.
-ARCHIVE_RECORDS = 4000
-#: Capture lines in an index block.
+#: Bytes of an archive (a longer record is one alone), and capture lines in an index block and blocks in an index file.
+ARCHIVE_BYTES = 4 << 20
 BLOCK_LINES = 2000
+FILE_BLOCKS = 64
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -52,6 +55,11 @@ def url_key(url: str | None) -> str:
     return f"{','.join(reversed(host.split('.')))}{port}){path}".replace(" ", "%20").replace("\n", "%0A")
 
 
+def header_url(url: str | None) -> str:
+    """A URL as a header line can hold it."""
+    return "" if url is None else re.sub(r"[\r\n]", " ", url).encode("utf-8", "replace").decode()
+
+
 def digest_of(payload: bytes) -> str:
     """Upper-case base32 SHA-1."""
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -64,7 +72,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {'' if url is None else re.sub(r'[\r\n]', ' ', url)}",
+        f"WARC-Target-URI: {header_url(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
     ]
@@ -116,44 +124,81 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return rows.join(first, "hex", "left").select("page_id", "url", "payload", "hex", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_records: int = ARCHIVE_RECORDS) -> str:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """Write one record for each row of ``pages`` (page_id, url, html); a null html is an empty payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, 2, 8 << 20):
-            out = []
+        held: list[bytes] = []
+        size = 0
+        archive = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
+        for batch in text_slices(batches, 2):
             for i in range(batch.num_rows):
                 page_id, url, payload, hexed, refers_to, revisit = (batch.column(c)[i].as_py() for c in range(6))
-                out.append(record(page_id, url, payload, base64.b32encode(bytes.fromhex(hexed)).decode(), refers_to, revisit))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-
-    made = with_revisits(pages, min_bytes).transform(in_arrow, run, "record binary")
-    writer = made.select(F.col("record").cast("string")).write.option("maxRecordsPerFile", archive_records)
+                made = record(page_id, url, payload, base64.b32encode(bytes.fromhex(hexed)).decode(), refers_to, revisit)
+                if held and size + len(made) > archive_bytes:
+                    yield archive()
+                    held, size = [], 0
+                held.append(made)
+                size += len(made)
+        if held:
+            yield archive()
+
+    made = with_revisits(pages, min_bytes).transform(in_arrow, run, "archive binary")
+    writer = made.select(F.col("archive").cast("string")).write.option("maxRecordsPerFile", 1)
     writer.option("lineSep", RECORD_END.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     return path
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, content) of what was written under a path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
+    return files.select(F.col("path").alias("file"), "content")
+
+
+_CAPTURE = "page_id long, url string, url_key string, record_type string, refers_to long, payload_bytes long, payload_digest string, block_bytes long, block_digest string, file string, offset long, length long"
+_CAPTURE_NAMES = [x.split()[0] for x in _CAPTURE.split(", ")]
+_CAPTURE_TYPES = [pa.string() if x.endswith("string") else pa.int64() for x in _CAPTURE.split(", ")]
+
+
+def _capture(raw: bytes, file: str, offset: int, length: int) -> tuple:
+    """What a record says, and the size and digest of its block."""
+    h, block = parse(raw)
+    number = lambda x: None if x in (None, "<urn:page:null>") else int(x[len("<urn:page:") : -1])
+    url = h["WARC-Target-URI"]
+    return number(h["WARC-Record-ID"]), url, url_key(url), h["WARC-Type"], number(h.get("WARC-Refers-To")), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"][5:], len(block), digest_of(block), file, offset, length
+
+
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives: place, headers, and the size and digest of its block."""
+    """Every record of the archives, read from end to end: place, headers, and the size and digest of its block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "url", "url_key", "record_type", "refers_to", "payload_bytes", "payload_digest", "block_bytes", "block_digest", "file", "offset", "length"]
-        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                cols: list[list] = [[] for _ in names]
-                for offset, length, raw in records(data.as_py()):
-                    h, block = parse(raw)
-                    number = lambda x: None if x in (None, "<urn:page:null>") else int(x[len("<urn:page:") : -1])
-                    url = h["WARC-Target-URI"]
-                    row = [number(h["WARC-Record-ID"]), url, url_key(url), h["WARC-Type"], number(h.get("WARC-Refers-To")), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"][5:], len(block), digest_of(block), file, offset, length]
-                    for c, v in zip(cols, row, strict=True):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+                yield _batch([_capture(raw, file, at, n) for at, n, raw in records(data.as_py())], _CAPTURE_NAMES, _CAPTURE_TYPES)
+
+    return _files(spark, path).transform(in_arrow, run, _CAPTURE)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
-    schema = "page_id long, url string, url_key string, record_type string, refers_to long, payload_bytes long, payload_digest string, block_bytes long, block_digest string, file string, offset long, length long"
-    return files.select("path", "content").transform(in_arrow, run, schema)
+
+def places_in(spark: SparkSession, path: str) -> DataFrame:
+    """(url_key, page_id, url, record_type, payload_digest, file, offset, length) of every record, by its headers."""
+    names = ["url_key", "page_id", "url", "record_type", "payload_digest", "file", "offset", "length"]
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = []
+                for at, n, raw in records(data.as_py()):
+                    h, _ = parse(raw)
+                    who = h["WARC-Record-ID"][len("<urn:page:") : -1]
+                    rows.append((url_key(h["WARC-Target-URI"]), None if who == "null" else int(who), h["WARC-Target-URI"], h["WARC-Type"], h["WARC-Payload-Digest"][5:], file, at, n))
+                yield _batch(rows, names, types)
+
+    return _files(spark, path).transform(in_arrow, run, "url_key string, page_id long, url string, record_type string, payload_digest string, file string, offset long, length long")
 
 
 def checked(captures: DataFrame) -> DataFrame:
@@ -162,7 +207,7 @@ def checked(captures: DataFrame) -> DataFrame:
     return captures.withColumn("payload_digest", F.when(wrong, F.raise_error(F.concat(F.lit("damaged record: "), "file", F.lit(":"), F.col("offset").cast("string")))).otherwise(F.col("payload_digest")))
 
 
-def write_index(captures: DataFrame, path: str, partitions: int | None = None, block_lines: int = BLOCK_LINES) -> DataFrame:
+def write_index(captures: DataFrame, path: str, partitions: int | None = None, block_lines: int = BLOCK_LINES, file_blocks: int = FILE_BLOCKS) -> DataFrame:
     """Write the sorted capture lines as compressed blocks; returns the sparse directory.
 
     The directory has a row for each block: first (its first line), file, offset,
@@ -186,16 +231,82 @@ def write_index(captures: DataFrame, path: str, partitions: int | None = None, b
             yield block(kept)
 
     blocks = lines.transform(in_arrow, run, "block binary").select(F.col("block").cast("string"))
-    blocks.write.option("lineSep", RECORD_END.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    writer = blocks.write.option("maxRecordsPerFile", file_blocks)
+    writer.option("lineSep", RECORD_END.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = [(raw.split(b"\n", 1)[0].decode(), file, at, n, raw.count(b"\n")) for at, n, raw in records(data.as_py())]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["first", "file", "offset", "length", "n"])
+                yield _batch(rows, ["first", "file", "offset", "length", "n"], [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
-    return files.select("path", "content").transform(in_arrow, places, "first string, file string, offset long, length long, n long")
+    return _files(spark, path).transform(in_arrow, places, "first string, file string, offset long, length long, n long")
+
+
+def looked_up(urls: DataFrame, directory: DataFrame, index_path: str, archive_path: str) -> DataFrame:
+    """The captures of (url), as ``read_archives`` gives them, by directory, block and byte range.
+
+    Each capture comes once, however often its URL stands in ``urls``.  Only the first
+    line of each index file reaches the driver.
+    """
+    spark = urls.sparkSession
+    heads = directory.groupBy("file").agg(F.min(F.struct(F.col("first").cast("binary").alias("line"), "file")).alias("head"))
+    order = sorted((bytes(r.head.line), r.head.file) for r in heads.collect())
+    firsts, files = [x for x, _ in order], [x for _, x in order]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = set()
+            for url in batch.column(0).to_pylist():
+                key = url_key(header_url(url))
+                probe = (key + " ").encode()
+                i = max(0, bisect.bisect_left(firsts, probe) - 1)
+                while i < len(files) and (firsts[i] <= probe or firsts[i].startswith(probe)):
+                    out.add((key, files[i]))
+                    i += 1
+            if out:
+                yield _batch(sorted(out), ["key", "of"], [pa.string(), pa.string()])
+
+    keys = urls.select(F.col("url").cast("string")).transform(in_arrow, dealt, "key string, of string")
+    keys = keys.groupBy("of").agg(F.collect_set("key").alias("keys"))
+    blocks = directory.groupBy(F.col("file").alias("f")).agg(F.sort_array(F.collect_list(F.struct(F.col("first").cast("binary").alias("first"), "offset", "length"))).alias("blocks"))
+    search = keys.join(blocks, F.col("of") == F.col("f")).select("of", "keys", "blocks")
+    content = _files(spark, index_path)
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for wanted, places, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                view = memoryview(data.as_buffer())
+                starts = [p["first"] for p in places]
+                rows: list[tuple] = []
+                at, lines = -1, []
+                for key in sorted((k + " ").encode() for k in wanted):
+                    i = max(0, bisect.bisect_left(starts, key) - 1)
+                    while i < len(places) and (starts[i] <= key or starts[i].startswith(key)):
+                        if i != at:
+                            at, lines = i, gzip.decompress(view[places[i]["offset"] : places[i]["offset"] + places[i]["length"]]).split(b"\n")[:-1]
+                        k = bisect.bisect_left(lines, key)
+                        while k < len(lines) and lines[k].startswith(key):
+                            found = json.loads(lines[k].split(b" ", 2)[2])
+                            rows.append((found["file"], found["offset"], found["length"]))
+                            k += 1
+                        i += 1
+                if rows:
+                    yield _batch(rows, ["archive", "offset", "length"], [pa.string(), pa.int64(), pa.int64()])
+
+    found = search.join(content, F.col("of") == F.col("file")).select("keys", "blocks", "content")
+    places = found.transform(in_arrow, searched, "archive string, offset long, length long")
+    ranges = places.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, wanted, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                view = memoryview(data.as_buffer())
+                rows = [_capture(gzip.decompress(view[r["offset"] : r["offset"] + r["length"]]), file, r["offset"], r["length"]) for r in wanted]
+                yield _batch(rows, _CAPTURE_NAMES, _CAPTURE_TYPES)
+
+    archives = _files(spark, archive_path).join(ranges, F.col("file") == F.col("archive")).select("file", "ranges", "content")
+    return archives.transform(in_arrow, read, _CAPTURE)
 
 
 class CaptureIndex:
@@ -241,12 +352,16 @@ class CaptureIndex:
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write the archives, read them back, and write the capture index over them.
+    """Write the archives, index them, and read every capture back through the index.
 
     Returns page_id, payload_bytes, payload_digest, record_type, refers_to, and
-    url_key, file, offset and length as read from the archives, for each row.
+    url_key, file, offset and length, for each row: URLs are looked up in the directory
+    and its blocks, and records read from the byte ranges found there.  A record whose
+    block is not what its header says stops the query.  The archives stay.
     """
     spark = pages.sparkSession
-    captures = written(checked(read_archives(spark, write_archives(pages, new_path(spark, "warc"), min_bytes))), "captures")
-    write_index(captures, new_path(spark, "capture-index"))
+    archives, index = write_archives(pages, new_path(spark, "warc"), min_bytes), new_path(spark, "capture-index")
+    directory = written(write_index(places_in(spark, archives), index), "directory")
+    captures = written(checked(looked_up(pages.select("url"), directory, index, archives)), "captures")
+    discard(directory)
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "file", "offset", "length")

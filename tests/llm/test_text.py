@@ -336,7 +336,7 @@ def test_warc_round_trip(spark):
 def test_capture_index(spark):
     rows = [(i, f"http://h{i % 7}.example.org/p{i % 40}", f"body {i}" if i % 5 else "same") for i in range(300)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    captures = warc.read_archives(spark, warc.write_archives(pages, common.new_path(spark, "w"), archive_records=50)).cache()
+    captures = warc.read_archives(spark, warc.write_archives(pages, common.new_path(spark, "w"), archive_bytes=8000)).cache()
     index = warc.CaptureIndex(spark, warc.write_index(captures, common.new_path(spark, "i"), 3, 16))
     for url in {r[1] for r in rows}:
         found = index.captures(url)
@@ -346,5 +346,19 @@ def test_capture_index(spark):
             assert headers["WARC-Target-URI"] == url
             assert c["record_type"] == "revisit" or body.decode() == rows[c["page_id"]][2]
     assert index.captures("http://nowhere.example.org/") == []
+    assert captures.select("file").distinct().count() > 3
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(captures.select("file").first()[0]).select("content").first()[0]
     assert gzip.decompress(raw).count(b"WARC/1.1\r\n") >= 1  # an ordinary gzip file of many members
+
+
+def test_lookups_of_a_table_find_every_capture(spark):
+    rows = [(i, f"http://h{i % 7}.example.org/p{i % 40}" + "\n x" * (i % 9 == 0), f"body {i}") for i in range(300)]
+    rows += [(1000 + i, "http://many.example.org/", f"copy {i}") for i in range(120)] + [(2000, None, "x"), (2001, "", "y"), (2002, "http://[bad", "z"), (2003, " http://pad.org/ ", "w"), (2003, " http://pad.org/ ", "w")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archives, index = warc.write_archives(pages, common.new_path(spark, "w"), archive_bytes=8000), common.new_path(spark, "i")
+    directory = warc.write_index(warc.places_in(spark, archives), index, 3, 16, 2)
+    assert directory.select("file").distinct().count() > 6
+    want = sorted(map(str, warc.read_archives(spark, archives).collect()))
+    assert sorted(map(str, warc.looked_up(pages.select("url"), directory, index, archives).collect())) == want and len(want) == len(rows)
+    some = pages.where("page_id = 1005").select("url").union(spark.createDataFrame([("http://nowhere.org/",)], "url string"))
+    assert sorted(r.page_id for r in warc.looked_up(some, directory, index, archives).collect()) == list(range(1000, 1120))
