@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomtick-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
@@ -41,6 +44,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Paths of the tables that ``written`` made and nobody deleted yet.
+_made: dict[str, None] = {}
+
+
 def written(df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
@@ -48,6 +55,7 @@ def written(df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    _made[path] = None
     df.write.parquet(path)
     if tidy:  # Spark deletes the shuffle files of frames that are garbage
         gc.collect()
@@ -61,6 +69,19 @@ def discard(*frames: DataFrame) -> None:
     """Delete tables that ``written`` made, once what was made from them is written too."""
     for df in frames:
         drop_path(df.sparkSession, df.written_to)
+        _made.pop(df.written_to, None)
+
+
+@contextlib.contextmanager
+def tables_of(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, all tables that ``written`` made inside: for work whose result is written by then."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for path in [p for p in _made if p not in before]:
+            drop_path(spark, path)
+            del _made[path]
 
 
 def text_key(text: Column) -> Column:

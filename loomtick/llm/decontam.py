@@ -11,6 +11,7 @@ sketches; a hit makes a candidate, and candidates are verified by exact containm
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,17 +31,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _places(w: Column) -> Column:
-    return F.when(F.size(w) >= WORDS, F.sequence(F.lit(1), F.size(w) - (WORDS - 1))).otherwise(F.array().cast("array<int>"))
+def _each(w: Column, long: Callable[[Column], Column], short: Column, kind: str) -> Column:
+    """Something of every place where five words begin; of the whole where there are fewer words, of nothing without any."""
+    places = F.transform(F.sequence(F.lit(1), F.size(w) - (WORDS - 1)), long)
+    return F.when(F.size(w) >= WORDS, places).when(F.size(w) > 0, F.array(short)).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def shingles(w: Column) -> Column:
-    """Distinct shingles of a word array, as text."""
-    return F.array_distinct(F.transform(_places(w), lambda i: F.array_join(F.slice(w, i, WORDS), " ")))
+    """Distinct shingles of a word array, as text; fewer than five words are one."""
+    return F.array_distinct(_each(w, lambda i: F.array_join(F.slice(w, i, WORDS), " "), F.array_join(w, " "), "string"))
 
 
 def shingle_hashes(w: Column) -> Column:
-    return F.transform(_places(w), lambda i: F.xxhash64(*(F.element_at(w, i + k) for k in range(WORDS))))
+    return _each(w, lambda i: F.xxhash64(*(F.element_at(w, i + k) for k in range(WORDS))), F.xxhash64(*(F.get(w, F.lit(k)) for k in range(WORDS))), "long")
 
 
 def sketch_size(smallest: int, containment: float = CONTAINMENT, miss: float = MISS) -> int:
@@ -54,7 +57,7 @@ def sketch_size(smallest: int, containment: float = CONTAINMENT, miss: float = M
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """(item_id, part, shingles) of the items; those of fewer than five words have no shingle and are left out."""
+    """(item_id, part, shingles) of the items; one without words has none and is left out."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text").cast("string")).alias("w")).distinct()
     rows = rows.select("item_id", shingles(F.col("w")).alias("shingles")).where(F.size("shingles") > 0).distinct()
     return rows.withColumn("part", F.floor(F.log2(F.size("shingles"))).cast("int"))
@@ -65,7 +68,7 @@ def sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     k = F.lit(1)
     for part in range(31):  # sizes of one partition: 2**part and more; larger sets need no larger k
         k = F.when(F.col("part") == part, F.lit(max(sketch_size(n, containment) for n in range(2**part, 2 ** (part + 1))) if part < 8 else 16)).otherwise(k)
-    mins = F.slice(F.array_sort(F.transform("shingles", lambda s: F.xxhash64(*(F.element_at(F.split(s, " "), i + 1) for i in range(WORDS))))), F.lit(1), k)
+    mins = F.slice(F.array_sort(F.transform("shingles", lambda s: F.xxhash64(*(F.get(F.split(s, " "), F.lit(i)) for i in range(WORDS))))), F.lit(1), k)
     return items.select(F.explode(mins).alias("hash"), "item")
 
 
@@ -106,13 +109,13 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, containment: float = C
 
 
 _WORDS_SQL = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
-_SHINGLES_SQL = "list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))"
+_SHINGLES_SQL = "CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) ELSE [array_to_string(w, ' ')] END"
 ORACLE_SQL = f"""
 WITH dw AS (SELECT doc_id, row_number() OVER () AS rid, {_WORDS_SQL} AS w FROM documents),
 iw AS (SELECT DISTINCT item_id, {_WORDS_SQL} AS w FROM benchmark),
-s AS (SELECT item_id, {_SHINGLES_SQL} AS sh FROM iw WHERE len(w) >= 5),
+s AS (SELECT item_id, {_SHINGLES_SQL} AS sh FROM iw WHERE len(w) > 0),
 i AS (SELECT item_id, len(sh)::BIGINT AS n_item, unnest(sh) AS x FROM s),
-d AS (SELECT doc_id, rid, unnest({_SHINGLES_SQL}) AS x FROM dw WHERE len(w) >= 5)
+d AS (SELECT doc_id, rid, unnest({_SHINGLES_SQL}) AS x FROM dw WHERE len(w) > 0)
 SELECT d.doc_id, i.item_id, count(*)::BIGINT AS n_shared, i.n_item, count(*)::DOUBLE / i.n_item AS containment
 FROM d JOIN i ON d.x = i.x GROUP BY d.doc_id, d.rid, i.item_id, i.n_item HAVING count(*)::DOUBLE / i.n_item >= {CONTAINMENT}
 """

@@ -9,8 +9,8 @@ from loomtick.llm.common import fresh, written
 
 #: A line on more than this fraction of its host's pages, and on at least MIN_PAGES of them, is boilerplate.
 RATIO = 0.1
-MIN_PAGES = 5
-#: Boilerplate lines up to this number (16 bytes each) are broadcast; more are joined by host and salt.
+MIN_PAGES = 2
+#: Boilerplate lines up to this number (32 bytes each) are broadcast; more are joined by host and salt.
 BROADCAST_LINES = 1 << 20
 #: Pages of a host that one part of the salted join takes.
 PAGES_A_PART = 20_000
@@ -20,6 +20,12 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def _mark(line: Column) -> Column:
+    """128 bits that stand for a line, without the spaces around it."""
+    line = F.trim(line)
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
+
+
 def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, mark): lines on more than ``ratio`` of the pages of a host.
 
@@ -30,7 +36,7 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, mi
     """
     rows = pages.select(F.col(host).cast("string").alias("host"), F.col(text).cast("string").alias("text"))
     totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
-    marks = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(F.trim(x))))
+    marks = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _mark))
     counts = rows.select("host", F.explode(marks).alias("mark")).groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.where(F.col("n") >= min_pages).withColumnRenamed("host", "of")
     return counts.join(totals, F.col("of").eqNullSafe(F.col("host"))).where(F.col("n") / F.col("n_pages") > ratio).select("host", "mark", "n_pages")
@@ -65,7 +71,7 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
         salted = salted.withColumn(salt, F.pmod(F.xxhash64(F.col(text).cast("string")), F.coalesce(F.col(n_parts), F.lit(1))).cast("int"))
         joined = salted.join(side, key.eqNullSafe(F.col(own)) & (F.col(salt) == F.col(salt + "2")), "left")
     split = joined.withColumn(lines, _lines(F.col(text).cast("string")))
-    bad = lambda x: (F.trim(x) != "") & F.coalesce(F.array_contains(F.col(marks), F.xxhash64(F.trim(x))), F.lit(False))
+    bad = lambda x: (F.trim(x) != "") & F.coalesce(F.array_contains(F.col(marks), _mark(x)), F.lit(False))
     kept = fresh(pages, "lt_kept")
     split = split.withColumn(kept, F.when(F.col(marks).isNull(), F.col(lines)).otherwise(F.filter(F.col(lines), lambda x: ~bad(x))))
     out = [F.array_join(F.col(kept), "\n").alias(text) if c == text else F.col(c) for c in pages.columns if c not in ("n_lines", "n_dropped")]

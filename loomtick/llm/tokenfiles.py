@@ -105,6 +105,25 @@ class Shard:
             shift += w
         return value
 
+    def tokens(self, places: np.ndarray) -> np.ndarray:
+        """Ids at many places, as ``token`` finds each."""
+        out = np.zeros(len(places), np.uint64)
+        left, at, shift = np.arange(len(places)), np.asarray(places, np.int64), 0
+        for w, chunk, bits, rank in self.levels:
+            out[left] |= chunk[at].astype(np.uint64) << np.uint64(shift)
+            more = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            left, at = left[more], at[more]
+            if not len(left):
+                break
+            blocks = bits.reshape(-1, RANK_BITS // 8)[at // RANK_BITS].view("<u8")  # a row of words for each place
+            word = np.arange(RANK_BITS // 64)
+            own = (at % RANK_BITS // 64)[:, None]
+            mask = (np.uint64(1) << (at % 64).astype(np.uint64))[:, None] - np.uint64(1)
+            ones = np.bitwise_count(np.where(word == own, blocks & mask, np.where(word < own, blocks, np.uint64(0)))).sum(1, dtype=np.int64)
+            at = rank[at // RANK_BITS].astype(np.int64) + ones
+            shift += w
+        return out.astype(np.uint32)
+
     def all_ids(self) -> np.ndarray:
         """All ids at once, from the deepest level upwards."""
         above = None
@@ -144,8 +163,9 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-#: Words whose ids are kept, twice: those of lately, and those before them.
-_UNITS_KEPT = 400_000
+#: Bytes of words whose ids are kept, twice: those of lately, and those before them; and what a word takes beside its letters.
+_KEPT_BYTES = 32 << 20
+_WORD_BYTES = 200
 #: Characters of text whose words are looked up together.
 _SLICE_CHARS = 1 << 20
 
@@ -169,6 +189,7 @@ class Tokens:
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.size = 0
 
     def whole_ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -177,10 +198,10 @@ class Tokens:
         return np.array(self.whole_ids(text), "<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.known) > _UNITS_KEPT:
-            self.known, self.older = {}, self.known
+        if self.size > _KEPT_BYTES:
+            self.known, self.older, self.size = {}, self.known, 0
         known, older = self.known, self.older
-        new = []
+        new, before = [], len(known)
         for w in words.difference(known):
             if (ids := older.get(w)) is None:
                 new.append(w)
@@ -195,6 +216,7 @@ class Tokens:
                 mixed.append(w)
         for w, e in zip(mixed, self.tokenizer.encode_batch_fast(mixed, add_special_tokens=False), strict=True):
             known[w] = struct.pack(f"<{len(e)}I", *e.ids)
+        self.size += sum(map(len, new)) + _WORD_BYTES * (len(known) - before)
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
@@ -256,13 +278,20 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, p
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(part, seq, k, doc_id, local_start, n_tokens, ids_crc32) of every document in the files."""
+    """(part, seq, k, doc_id, local_start, n_tokens, ids_crc32) of every document in the files.
+
+    The first and last id of each document are also read by the rank directories; one
+    that differs stops the query.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
                 s = Shard(data.as_py())
                 ids = s.all_ids().astype("<u4")
+                ends = np.concatenate([s.starts[:-1], s.starts[1:] - 1])[np.tile(np.diff(s.starts) > 0, 2)]
+                if (s.tokens(ends) != ids[ends]).any():
+                    raise ValueError(f"shard {s.part}/{s.seq}: a directory leads elsewhere")
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(s.starts[:-1], s.starts[1:], strict=True)]
                 n = s.n_docs
                 yield pa.RecordBatch.from_arrays(

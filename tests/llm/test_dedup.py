@@ -201,14 +201,14 @@ def test_line_dedup(spark, limit):
 @pytest.mark.parametrize("limit", [1 << 20, -1])
 def test_decontamination(spark, limit):
     rng = random.Random(6)
-    items = [(1, prose(rng, 30)), (1, None), (2, "too short here"), (3, prose(rng, 6)), (4, prose(rng, 30))]
+    items = [(1, prose(rng, 30)), (1, None), (2, "too short here"), (3, prose(rng, 6)), (4, prose(rng, 30)), (5, "..")]
     near = items[0][1].split()
     near[0] = "changed"  # one shingle of 26 goes
-    rows = [(10, prose(rng, 400) + " " + items[0][1].upper() + "! " + prose(rng, 400)), (11, " ".join(near)), (12, prose(rng, 50)), (13, " ".join(items[4][1].split()[:12])), (14, items[3][1]), (14, items[3][1]), *EDGES]
+    rows = [(10, prose(rng, 400) + " " + items[0][1].upper() + "! " + prose(rng, 400)), (11, " ".join(near)), (12, prose(rng, 50)), (13, " ".join(items[4][1].split()[:12])), (14, items[3][1]), (14, items[3][1]), (15, "Too short, here!"), (16, "one too short here"), *EDGES]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("item", F.lit(5)).union(spark.createDataFrame([(1, items[0][1])], "item_id long, text string").withColumn("item", F.lit(5)))
     got = sorted((r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontam.contained(frame(spark, rows), bench, broadcast_rows=limit).collect())
-    assert got == [(10, 1, 26, 26), (11, 1, 25, 26), (14, 3, 2, 2), (14, 3, 2, 2)]
+    assert got == [(10, 1, 26, 26), (11, 1, 25, 26), (14, 3, 2, 2), (14, 3, 2, 2), (15, 2, 1, 1)]
     left = decontam.decontaminated(frame(spark, rows), bench, broadcast_rows=limit)
-    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(r[0]) for r in rows if r[0] not in (10, 11, 14))
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(r[0]) for r in rows if r[0] not in (10, 11, 14, 15))
     assert left.columns == frame(spark, rows).columns
     assert decontam.contained(frame(spark, rows), bench.where("item_id < 0")).count() == 0

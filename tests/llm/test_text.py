@@ -293,6 +293,8 @@ def test_direct_access():
     flat = np.concatenate(lists)
     assert (s.all_ids() == flat).all() and all(s.token(i) == flat[i] for i in range(len(flat)))
     assert s.doc_ids == [7, None, 9, 10] and (s.document(2) == lists[2]).all()
+    places = np.random.default_rng(3).integers(len(flat), size=3000)
+    assert (s.tokens(places) == flat[places]).all() and len(s.tokens(places[:0])) == 0
     empty = tokenfiles.Shard(tokenfiles.encode_shard(0, 0, [], []))
     assert empty.n_ids == 0 and len(empty.all_ids()) == 0
     with pytest.raises(IndexError):
