@@ -13,9 +13,9 @@ from loomtick.operators.ordered import ordered
 from loomtick.operators.streams import by_stream
 
 
-def baseline_delta(rows: DataFrame, source: str, mode: str, baseline: str, value: str) -> DataFrame:
-    """Each row with the baseline row of its source and its distance from it (null without one)."""
-    base = rows.where(F.col(mode) == baseline).groupBy(source).agg(F.max(value).alias("baseline"))
+def baseline_delta(rows: DataFrame, source: str, mode: str, baseline: str, value: str, order: str) -> DataFrame:
+    """Each row with the last baseline row of its source, by ``order``, and its distance from it (null without one)."""
+    base = rows.where(F.col(mode) == baseline).groupBy(source).agg(F.max_by(value, order).alias("baseline"))
     return rows.join(base, source, "left").withColumn("delta", F.col(value) - F.col("baseline"))
 
 
@@ -89,14 +89,14 @@ def tracks(observations: DataFrame, gap: int = 8, least: float = 0.1) -> DataFra
 
     Within a frame the highest score chooses first; it takes the open track (seen at
     most ``gap`` frames ago) that it overlaps most, if by at least ``least``, and
-    otherwise starts a new one.  Order matters, so a stream is
+    otherwise starts a new one.  Tracks count from 1.  Order matters, so a stream is
     read in order; only its open tracks are kept.
     """
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         seen: dict[int, tuple[int, list[float]]] = {}  # open tracks: last frame and box
         taken: set[int] = set()
-        now, count = None, 0
+        now, count = None, 1
         for row in rows:
             frame, box = row[1], list(row[3:7])
             if frame != now:

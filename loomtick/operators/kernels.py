@@ -210,7 +210,7 @@ def _blurred(x: np.ndarray, radius: int = 3, sigma: float = 7 / 6) -> np.ndarray
     k = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
     k /= k.sum()
     for axis in (0, 1):
-        padded = np.pad(x, [(radius, radius) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
+        padded = np.pad(x, [(radius, radius) if a == axis else (0, 0) for a in (0, 1)], mode="symmetric")
         x = sum(w * np.take(padded, np.arange(i, i + x.shape[axis]), axis=axis) for i, w in enumerate(k))
     return x
 

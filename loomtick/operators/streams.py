@@ -18,6 +18,15 @@ def by_stream() -> WindowSpec:
     return W.partitionBy("stream_id").orderBy("pos")
 
 
+def in_order(stream: DataFrame) -> WindowSpec:
+    """The rows of each segment in order, where the stream has segments; else those of each stream."""
+    return W.partitionBy(*segment_keys(stream)).orderBy("pos")
+
+
+def segment_keys(stream: DataFrame) -> list[str]:
+    return ["stream_id", "segment_id"] if "segment_id" in stream.columns else ["stream_id"]
+
+
 def event_stream(events: DataFrame) -> DataFrame:
     """The ``events`` table as a stream for each user."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id")

@@ -1,4 +1,7 @@
-"""Operators over neighbouring rows: filters, levels, flicker, trackers and measures of change."""
+"""Operators over neighbouring rows: filters, levels, flicker, trackers and measures of change.
+
+Filters keep to a segment where the stream has them; measures go over whole streams.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomtick.functions.quantiles import lower_median, upper_median
 from loomtick.operators.ordered import ordered
-from loomtick.operators.streams import by_stream
+from loomtick.operators.streams import by_stream, in_order, segment_keys
 
 
 def temporal_difference(stream: DataFrame, order: WindowSpec | None = None) -> DataFrame:
@@ -27,7 +30,7 @@ def temporal_difference(stream: DataFrame, order: WindowSpec | None = None) -> D
 
 def fir_blend(stream: DataFrame, taps: int, sigma: float, strength: float, order: WindowSpec | None = None) -> DataFrame:
     """Add ``blended``: a mean with the last ``taps`` rows, near values weighing more."""
-    past = F.collect_list("value").over((order or by_stream()).rowsBetween(-taps, -1))
+    past = F.collect_list("value").over((order or in_order(stream)).rowsBetween(-taps, -1))
     weight = lambda x: F.lit(strength) * F.exp(-F.pow((x - F.col("value")) / sigma, 2))
     total = F.aggregate("_past", F.lit(0.0), lambda s, x: s + weight(x))
     mass = F.aggregate("_past", F.lit(0.0), lambda s, x: s + weight(x) * x)
@@ -45,7 +48,7 @@ def deflicker(stream: DataFrame, reach: int, band: float, fraction: float, max_f
     sides = {"_w": (-reach, reach), "_l": (-reach, -1), "_r": (1, reach)}
     df = stream
     for name, (a, b) in sides.items():
-        df = df.withColumn(name, F.collect_list("value").over((order or by_stream()).rowsBetween(a, b)))
+        df = df.withColumn(name, F.collect_list("value").over((order or in_order(stream)).rowsBetween(a, b)))
     n = F.size("_w")
     pairs = F.zip_with(F.slice("_w", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("_w", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda x, y: F.abs(y - x))
     swing = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
@@ -62,10 +65,10 @@ def deflicker(stream: DataFrame, reach: int, band: float, fraction: float, max_f
 def pulse_gain(stream: DataFrame, sigma: Column, history: int = 48, least: int = 8, floor: float = 0.002, low: float = 0.6, high: float = 1.8, order: WindowSpec | None = None) -> DataFrame:
     """Add ``gain``: a row's spread over the upper median of its last ones, clamped.
 
-    The first row of a stream has no spread and is neutral, as is a row with fewer
+    The first row of a segment has no spread and is neutral, as is a row with fewer
     than ``least`` spreads so far or a median below ``floor``.
     """
-    df = stream.withColumn("_s", sigma).withColumn("_h", F.collect_list("_s").over((order or by_stream()).rowsBetween(1 - history, 0)))
+    df = stream.withColumn("_s", sigma).withColumn("_h", F.collect_list("_s").over((order or in_order(stream)).rowsBetween(1 - history, 0)))
     ref = upper_median(F.col("_h"))
     gain = F.greatest(F.lit(low), F.least(F.lit(high), F.col("_s") / F.nullif(ref, F.lit(0.0))))
     neutral = F.col("_s").isNull() | (F.size("_h") < least) | (ref < floor)
@@ -73,16 +76,24 @@ def pulse_gain(stream: DataFrame, sigma: Column, history: int = 48, least: int =
 
 
 def ema(stream: DataFrame, alpha: float) -> DataFrame:
-    """(stream_id, pos, ema): alpha * value + (1 - alpha) * ema of the row before; the first row starts it, a null changes nothing."""
+    """(stream_id, pos, ema): alpha * value + (1 - alpha) * ema of the row before; the first row of a segment starts it, a null changes nothing."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        now = None
-        for stream_id, pos, value in rows:
+        now = at = None
+        for stream_id, pos, segment, value in rows:
+            if segment != at:
+                now, at = None, segment
             if value is not None:
                 now = value if now is None else alpha * value + (1 - alpha) * now
             yield stream_id, pos, now
 
-    return ordered(stream.select("stream_id", "pos", "value"), ["pos"], run, "stream_id long, pos long, ema double")
+    segment = F.col("segment_id") if "segment_id" in stream.columns else F.lit(0).cast("long")
+    return ordered(stream.select("stream_id", "pos", segment.alias("segment_id"), "value"), ["pos"], run, "stream_id long, pos long, ema double")
+
+
+def spread(stream: DataFrame, value: str = "value") -> Column:
+    """Change from the row before as the spread of one row; null in the first row of a segment."""
+    return F.abs(F.col(value) - F.lag(value).over(in_order(stream))) / 1.4142135623730951
 
 
 def level(stream: DataFrame, quantiles: str, reach: int, order: WindowSpec | None = None) -> DataFrame:
@@ -90,8 +101,8 @@ def level(stream: DataFrame, quantiles: str, reach: int, order: WindowSpec | Non
 
     The window shrinks alike on both sides near an end.
     """
-    pos, n = F.row_number().over((order or by_stream())), F.count(F.lit(1)).over(W.partitionBy("stream_id"))
-    df = stream.withColumn("_m", F.least(F.lit(reach), pos - 1, n - pos)).withColumn("_w", F.collect_list(quantiles).over((order or by_stream()).rowsBetween(-reach, reach)))
+    pos, n = F.row_number().over((order or in_order(stream))), F.count(F.lit(1)).over(W.partitionBy(*segment_keys(stream)))
+    df = stream.withColumn("_m", F.least(F.lit(reach), pos - 1, n - pos)).withColumn("_w", F.collect_list(quantiles).over((order or in_order(stream)).rowsBetween(-reach, reach)))
     first = F.least(F.lit(reach + 1), pos)  # place of the row itself in its window
     df = df.withColumn("_c", first)
     own = F.slice("_w", F.col("_c") - F.col("_m"), 2 * F.col("_m") + 1)

@@ -9,6 +9,7 @@ from itertools import chain, tee
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -21,15 +22,20 @@ from loomtick.operators.streams import by_stream
 MAX_FAN_OUT = 10_000
 
 
+def in_display_order(stream: DataFrame) -> WindowSpec:
+    """The rows of each stream by time; samples can be listed in the order of decoding."""
+    return W.partitionBy("stream_id").orderBy("pts", "pos")
+
+
 def verdict(stream: DataFrame, tick: int = 1) -> DataFrame:
     """One row a stream: n, first_pts, span, interval and verdict.
 
     exact_cfr: all deltas equal; cfr: all within a tick of the mean; gapped_cfr:
     all whole multiples (one of them larger) of the modal or smallest delta; else
     vfr.  Deltas that do not grow make a stream vfr; a single row has no verdict but
-    ``single``.  Ties for the modal delta go to the smaller one.
+    ``single``.  Rows count in the order of display.  Ties for the modal delta go to the smaller one.
     """
-    deltas = stream.withColumn("d", F.lead("pts").over(by_stream()) - F.col("pts"))
+    deltas = stream.withColumn("d", F.lead("pts").over(in_display_order(stream)) - F.col("pts"))
     counts = deltas.where("d IS NOT NULL").groupBy("stream_id", "d").agg(F.count(F.lit(1)).alias("c"))
     modal = counts.groupBy("stream_id").agg(F.min_by("d", F.struct(-F.col("c"), F.col("d"))).alias("modal"))
     sums = deltas.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"), F.min("pts").alias("first_pts"), F.max("pts").alias("last_pts"), F.min("d").alias("d_min"), F.max("d").alias("d_max"), F.last("d", True).alias("d_any"))
@@ -105,7 +111,7 @@ def cadence(stream: DataFrame, ticks: int = 1_000_000, nominal: Fraction | None
     in the JVM, distinct ones once.
     """
     big = lambda c: F.col(c).cast("decimal(38,0)")
-    steps = stream.withColumn("d", F.lead("pts").over(by_stream()) - F.col("pts"))
+    steps = stream.withColumn("d", F.lead("pts").over(in_display_order(stream)) - F.col("pts"))
     own = F.col("duration") if "duration" in stream.columns else F.lit(None).cast("long")
     inner = F.when(F.col("d").isNotNull(), own)
     base = steps.groupBy("stream_id").agg(

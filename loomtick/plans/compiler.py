@@ -1,5 +1,7 @@
 """The stage catalog, and configs compiled into one DataFrame plan.
 
+Stages that keep state keep it within a segment, once a stage before them has cut the stream.
+
 A stage is a pure function of a stream; all that is decided on the driver (keys,
 defaults, specs) is decided before a row moves, and the chain becomes one plan.
 """

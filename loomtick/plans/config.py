@@ -10,6 +10,8 @@ from collections.abc import Iterable, Mapping
 from fractions import Fraction
 from typing import Any
 
+from loomtick.functions import clock
+
 RESERVED = ("settings", "input", "output", "diagnostics")
 
 
@@ -62,19 +64,32 @@ def check_keys(where: str, table: Mapping[str, Any], known: Iterable[str]) -> No
 
 
 def checked(config: Mapping[str, Any]) -> dict[str, Any]:
-    """The config, if its pipeline is a list of different names that each have a table, and no table is left over."""
-    stages = config.get("pipeline")
-    if not isinstance(stages, list) or not stages or not all(isinstance(s, str) for s in stages):
+    """The config, if it names stages that each have a table with a processor.
+
+    A stage may stand in the pipeline more than once, each time as a stage of its own; a
+    table that the pipeline does not name has to be a stage too, or one of ``RESERVED``.  An
+    empty pipeline passes everything through.
+    """
+    stages = config.get("pipeline", [])
+    if not isinstance(stages, list) or not all(isinstance(s, str) for s in stages):
         raise ConfigError("pipeline is a list of stage names")
-    if twice := sorted({s for s in stages if stages.count(s) > 1}):
-        raise ConfigError(f"pipeline names {twice[0]!r} twice")
+    tables = {k: v for k, v in config.items() if k != "pipeline"}
+    for name, table in tables.items():
+        if not isinstance(table, Mapping):
+            raise ConfigError(f"{name!r} has to be a table")
+        if name in RESERVED:
+            continue
+        if not isinstance(table.get("processor"), str) or not table["processor"]:
+            raise ConfigError(f"table {name!r} needs a processor{suggestion(name, RESERVED)}")
+        for key in ("capability", "profile"):
+            if not isinstance(table.get(key, ""), str):
+                raise ConfigError(f"{key} of {name!r} is a string")
     for s in stages:
         if s in RESERVED:
             raise ConfigError(f"{s!r} is reserved and cannot be a stage")
-        if not isinstance(config.get(s), Mapping) or not isinstance(config[s].get("processor"), str):
-            raise ConfigError(f"stage {s!r} needs a table with a processor")
-    check_keys("config", config, ["pipeline", *stages, *RESERVED])
-    return dict(config)
+        if s not in tables:
+            raise ConfigError(f"stage {s!r} has no table{suggestion(s, tables)}")
+    return {**config, "pipeline": stages}
 
 
 def dumped(config: Mapping[str, Any]) -> str:
@@ -103,14 +118,14 @@ def dumped(config: Mapping[str, Any]) -> str:
 
 
 def parse_time(text: str) -> tuple[str, Fraction]:
-    """("frames", n) or ("seconds", s): ``120``, ``120f``; ``5s``, ``1.5``, ``mm:ss``, ``hh:mm:ss``."""
+    """("frames", n) or ("seconds", s), by the patterns of ``functions.clock``."""
     s = text.strip().lower()
-    if re.fullmatch(r"\d+f?", s):
-        return "frames", Fraction(s.rstrip("f"))
-    if re.fullmatch(r"\d+(\.\d+)?s|\d*\.\d+", s):
-        return "seconds", Fraction(s.rstrip("s"))
-    if m := re.fullmatch(r"(?:(\d+):)?(\d+):(\d+(?:\.\d+)?)", s):
+    if m := re.fullmatch(clock.WHOLE, s):
+        return "frames", Fraction(m[1])
+    if m := re.fullmatch(clock.CLOCK, s):
         return "seconds", int(m[1] or 0) * 3600 + int(m[2]) * 60 + Fraction(m[3])
+    if m := re.fullmatch(clock.SECONDS, s):
+        return "seconds", Fraction(m[1])
     raise ConfigError(f"{text!r} is neither a number of frames nor a time")
 
 

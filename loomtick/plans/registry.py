@@ -33,11 +33,16 @@ STREAM_SQL = """s AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION
  epoch_us(ts) AS pts, value, event_type FROM events)"""
 
 
+#: The same stream cut where its value jumps, as SQL; filters keep to a segment.
+CUTS_SQL = """g AS (SELECT *, coalesce(abs(value - lag(value) OVER (PARTITION BY stream_id ORDER BY pos)) > 200, false) AS cut FROM s),
+x AS (SELECT *, sum(cut::INT) OVER (PARTITION BY stream_id ORDER BY pos) AS segment_id FROM g)"""
+
+
 def _query(sql: str = ""):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql.replace("{S}", STREAM_SQL)
+            SQL[f.__name__] = sql.replace("{S}", STREAM_SQL).replace("{CUTS}", CUTS_SQL)
         return f
 
     return add
@@ -104,9 +109,9 @@ def cut_hist(spark, d):
     return h.withColumn("c", S.chi_square(F.col("before"), F.col("now"))).select("vec_id", "label", _r("c").alias("chi"), F.coalesce(F.col("c") > 0.25, F.lit(False)).alias("is_cut"))
 
 
-@_query("""WITH {S}, f AS (SELECT stream_id * 4 + k AS stream_id, row_number() OVER (PARTITION BY stream_id, k ORDER BY pts, pos) - 1 AS pos,
- CASE k WHEN 0 THEN pts WHEN 1 THEN pos * 40000 WHEN 2 THEN pos * 40000 + (pos % 3 = 1)::INT WHEN 3 THEN (pos + pos // 7) * 40000 END AS pts FROM s, range(0, 4) r(k)),
-d AS (SELECT *, lead(pts) OVER (PARTITION BY stream_id ORDER BY pos) - pts AS d FROM f),
+@_query("""WITH {S}, f AS (SELECT stream_id * 5 + k AS stream_id, pos,
+ CASE k WHEN 0 THEN pts WHEN 1 THEN pos * 40000 WHEN 2 THEN pos * 40000 + (pos % 3 = 1)::INT WHEN 3 THEN (pos + pos // 7) * 40000 ELSE (pos // 3 * 3 + (pos * 2) % 3) * 40000 END AS pts FROM s, range(0, 5) r(k)),
+d AS (SELECT *, lead(pts) OVER (PARTITION BY stream_id ORDER BY pts, pos) - pts AS d FROM f),
 c AS (SELECT stream_id, d, count(*) AS c FROM d WHERE d IS NOT NULL GROUP BY 1, 2),
 m AS (SELECT stream_id, arg_min(d, (-c)::HUGEINT * 1000000000000000 + d) AS modal FROM c GROUP BY 1),
 b AS (SELECT d.stream_id, count(*) AS n, min(pts) AS first_pts, max(pts) - min(pts) AS span, min(d) AS d_min, max(d) AS d_max FROM d GROUP BY 1),
@@ -116,9 +121,9 @@ v AS (SELECT b.*, modal, bm, CASE WHEN n = 1 THEN 'single' WHEN d_min <= 0 THEN
 SELECT stream_id, n, first_pts::BIGINT AS first_pts, span::BIGINT AS span, (CASE WHEN verdict = 'gapped_cfr' THEN CASE WHEN bm THEN modal ELSE d_min END WHEN verdict = 'exact_cfr' THEN d_min END)::BIGINT AS "interval", verdict FROM v""")
 def timing_verdict(spark, d):
     s = _s(spark, d)
-    k = s.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    pts = F.when(F.col("k") == 0, F.col("pts")).when(F.col("k") == 1, F.col("pos") * 40000).when(F.col("k") == 2, F.col("pos") * 40000 + (F.col("pos") % 3 == 1).cast("int")).otherwise((F.col("pos") + F.floor(F.col("pos") / 7)) * 40000)
-    f = k.select((F.col("stream_id") * 4 + F.col("k")).alias("stream_id"), "pos", pts.cast("long").alias("pts"))
+    k = s.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    pts = F.when(F.col("k") == 0, F.col("pts")).when(F.col("k") == 1, F.col("pos") * 40000).when(F.col("k") == 2, F.col("pos") * 40000 + (F.col("pos") % 3 == 1).cast("int")).when(F.col("k") == 3, (F.col("pos") + F.floor(F.col("pos") / 7)) * 40000).otherwise((F.floor(F.col("pos") / 3) * 3 + F.col("pos") * 2 % 3) * 40000)
+    f = k.select((F.col("stream_id") * 5 + F.col("k")).alias("stream_id"), "pos", pts.cast("long").alias("pts"))
     return M.verdict(f)
 
 
@@ -239,8 +244,49 @@ h AS (SELECT *, list(sg) FILTER (sg IS NOT NULL) OVER (PARTITION BY stream_id OR
 r AS (SELECT *, list_sort(h)[len(h) // 2 + 1] AS ref FROM h)
 SELECT stream_id, pos, round(CASE WHEN sg IS NULL OR len(h) < 8 OR ref < 0.002 THEN 1.0 ELSE greatest(0.6, least(1.8, sg / ref)) END, 6) AS gain FROM r""")
 def pulse_gain(spark, d):
-    spread = F.abs(F.col("value") - F.lag("value").over(S.by_stream())) / 1.4142135623730951
-    return T.pulse_gain(_s(spark, d), spread).select("stream_id", "pos", _r("gain").alias("gain"))
+    s = _s(spark, d)
+    return T.pulse_gain(s, T.spread(s)).select("stream_id", "pos", _r("gain").alias("gain"))
+
+
+def _cut(spark, d):
+    return S.with_segments(_s(spark, d), S.jump(200))
+
+
+@_query("""WITH {S}, {CUTS}, w AS (SELECT *, coalesce(list(value) OVER (PARTITION BY stream_id, segment_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), []) AS p FROM x)
+SELECT stream_id, pos, round((value + coalesce(list_sum(list_transform(p, lambda x: 0.8 * exp(-pow((x - value) / 60.0, 2)) * x)), 0)) / (1 + coalesce(list_sum(list_transform(p, lambda x: 0.8 * exp(-pow((x - value) / 60.0, 2)))), 0)), 6) AS blended FROM w""")
+def fir_blend_cuts(spark, d):
+    return T.fir_blend(_cut(spark, d), 4, 60.0, 0.8).select("stream_id", "pos", _r("blended").alias("blended"))
+
+
+@_query("""WITH {S}, {CUTS}, w AS (SELECT stream_id, pos, value, list(value) OVER (PARTITION BY stream_id, segment_id ORDER BY pos ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS w, list(value) OVER (PARTITION BY stream_id, segment_id ORDER BY pos ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS l, list(value) OVER (PARTITION BY stream_id, segment_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING) AS r FROM x),
+m AS (SELECT *, list_sort(w)[(len(w) - 1) // 2 + 1] AS med, coalesce(list_sum(list_transform(range(1, len(w)), lambda i: abs(w[i + 1] - w[i]))), 0) AS swing, abs(w[len(w)] - w[1]) AS drift FROM w),
+i AS (SELECT *, list_filter(w, lambda x: abs(x - med) < 120) AS inb FROM m)
+SELECT stream_id, pos, round(CASE WHEN len(w) >= 6 AND drift <= 0.6 * swing + 1.5 AND len(inb) >= 0.6 * len(w) AND (coalesce(len(l), 0) = 0 OR len(list_filter(l, lambda x: abs(x - med) < 120)) > 0) AND (coalesce(len(r), 0) = 0 OR len(list_filter(r, lambda x: abs(x - med) < 120)) > 0) AND abs(list_sum(inb) / len(inb) - value) < 80 THEN list_sum(inb) / len(inb) ELSE value END, 6) AS fixed FROM i""")
+def deflicker_cuts(spark, d):
+    return T.deflicker(_cut(spark, d), 8, 120, 0.6, 80, 1.5).select("stream_id", "pos", _r("fixed").alias("fixed"))
+
+
+@_query("""WITH {S}, {CUTS}, gg AS (SELECT stream_id, segment_id, pos, abs(value - lag(value) OVER (PARTITION BY stream_id, segment_id ORDER BY pos)) / 1.4142135623730951 AS sg FROM x),
+h AS (SELECT *, list(sg) FILTER (sg IS NOT NULL) OVER (PARTITION BY stream_id, segment_id ORDER BY pos ROWS BETWEEN 47 PRECEDING AND CURRENT ROW) AS h FROM gg),
+r AS (SELECT *, list_sort(h)[len(h) // 2 + 1] AS ref FROM h)
+SELECT stream_id, pos, round(CASE WHEN sg IS NULL OR len(h) < 8 OR ref < 0.002 THEN 1.0 ELSE greatest(0.6, least(1.8, sg / ref)) END, 6) AS gain FROM r""")
+def pulse_gain_cuts(spark, d):
+    s = _cut(spark, d)
+    return T.pulse_gain(s, T.spread(s)).select("stream_id", "pos", _r("gain").alias("gain"))
+
+
+@_query("""WITH {S}, {CUTS}, q AS (SELECT *, [value, value * value / 500] AS q, row_number() OVER (PARTITION BY stream_id, segment_id ORDER BY pos) AS p, count(*) OVER (PARTITION BY stream_id, segment_id) AS n FROM x),
+l AS (SELECT a.stream_id, a.pos, a.q, list(b.q) AS w FROM q a JOIN q b ON a.stream_id = b.stream_id AND a.segment_id = b.segment_id AND abs(a.p - b.p) <= least(5, a.p - 1, a.n - a.p) GROUP BY ALL)
+SELECT stream_id, pos, round(list_sum(list_transform([1, 2], lambda i: list_sum(list_transform(w, lambda v: v[i])) / len(w) - q[i])) / 2, 5) + 0.0 AS shift FROM l""")
+def level_cuts(spark, d):
+    s = _cut(spark, d).withColumn("q", F.array("value", F.col("value") * F.col("value") / 500))
+    return T.level(s, "q", 5).select("stream_id", "pos", (_r("shift", 5) + 0.0).alias("shift"))
+
+
+@_query("""WITH RECURSIVE {S}, {CUTS}, e AS (SELECT stream_id, pos, value AS ema FROM x WHERE pos = 0 UNION ALL SELECT x.stream_id, x.pos, CASE WHEN x.cut THEN x.value ELSE 0.3 * x.value + 0.7 * e.ema END FROM e JOIN x ON x.stream_id = e.stream_id AND x.pos = e.pos + 1)
+SELECT stream_id, pos, round(ema, 6) AS ema FROM e""")
+def ema_cuts(spark, d):
+    return T.ema(_cut(spark, d), 0.3).select("stream_id", "pos", _r("ema").alias("ema"))
 
 
 @_query()
@@ -265,11 +311,12 @@ def sliding_windows(spark, d):
     return t.select("user_id", F.explode(M.fixed_windows(F.col("total"), 10, 2)).alias("w")).select("user_id", "w.*")
 
 
-@_query("""WITH r AS (SELECT o_orderpriority AS source, o_orderstatus AS mode, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2), b AS (SELECT source, max(v) AS baseline FROM r WHERE mode = 'O' GROUP BY 1)
-SELECT source, mode, round(v, 4) AS v, round(baseline, 4) AS baseline, round(v - baseline, 4) + 0.0 AS delta FROM r LEFT JOIN b USING (source)""")
+@_query("""WITH r AS (SELECT o_orderpriority AS source, o_orderstatus AS mode, date_trunc('month', o_orderdate)::DATE AS month, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2, 3), b AS (SELECT source, arg_max(v, month) AS baseline FROM r WHERE mode = 'O' GROUP BY 1)
+SELECT source, mode, month, round(v, 4) AS v, round(baseline, 4) AS baseline, round(v - baseline, 4) + 0.0 AS delta FROM r LEFT JOIN b USING (source)""")
 def baseline_delta(spark, d):
-    r = _t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("mode")).agg(F.avg("o_totalprice").alias("v"))
-    return E.baseline_delta(r, "source", "mode", "O", "v").select("source", "mode", _r("v", 4).alias("v"), _r("baseline", 4).alias("baseline"), (_r("delta", 4) + 0.0).alias("delta"))
+    month = F.trunc(F.to_date("o_orderdate"), "month")
+    r = _t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("mode"), month.alias("month")).agg(F.avg("o_totalprice").alias("v"))
+    return E.baseline_delta(r, "source", "mode", "O", "v", "month").select("source", "mode", "month", _r("v", 4).alias("v"), _r("baseline", 4).alias("baseline"), (_r("delta", 4) + 0.0).alias("delta"))
 
 
 @_query("""SELECT o_orderpriority AS grp, count(*) AS n, count(*) FILTER (o_totalprice < 100000) AS low, count(*) FILTER (o_totalprice >= 100000 AND o_totalprice < 300000) AS medium, count(*) FILTER (o_totalprice >= 300000) AS high, round(quantile_cont(o_totalprice, 0.5), 4) AS median FROM orders GROUP BY 1""")

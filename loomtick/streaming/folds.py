@@ -66,15 +66,21 @@ def difference_step() -> Step:
 
 
 def fold(stream: DataFrame, step: Step) -> DataFrame:
-    """(stream_id, pos, pts, out) of a streaming DataFrame with stream_id, pos, pts and value."""
+    """(stream_id, pos, pts, out) of a streaming DataFrame with stream_id, pos, pts and value.
+
+    With a ``segment_id``, each segment starts from an empty state.
+    """
+    cuts = "segment_id" in stream.columns
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        now = json.loads(state.get[0]) if state.exists else {"pos": None, "fold": {}}
+        now = json.loads(state.get[0]) if state.exists else {"pos": None, "segment": None, "fold": {}}
         rows = pd.concat(list(frames)).sort_values("pos")
         out = []
-        for pos, pts, value in rows[["pos", "pts", "value"]].itertuples(index=False):
+        for pos, pts, value, segment in rows[["pos", "pts", "value", "segment"]].itertuples(index=False):
             if now["pos"] is not None and pos <= now["pos"]:
                 raise ValueError(f"stream {key[0]}: row {pos} came after row {now['pos']}")
+            if segment != now["segment"]:
+                now["segment"], now["fold"] = int(segment), {}
             now["fold"], result = step(now["fold"], int(pos), int(pts), float(value))
             now["pos"] = int(pos)
             out.append((key[0], int(pos), int(pts), result))
@@ -82,7 +88,8 @@ def fold(stream: DataFrame, step: Step) -> DataFrame:
         yield pd.DataFrame(out, columns=["stream_id", "pos", "pts", "out"])
 
     schema = "stream_id long, pos long, pts long, out double"
-    return stream.select("stream_id", "pos", "pts", "value").groupBy("stream_id").applyInPandasWithState(run, schema, "state string", "append", "NoTimeout")
+    segment = F.col("segment_id") if cuts else F.lit(0)
+    return stream.select("stream_id", "pos", "pts", "value", segment.cast("long").alias("segment")).groupBy("stream_id").applyInPandasWithState(run, schema, "state string", "append", "NoTimeout")
 
 
 def windowed(events: DataFrame, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:

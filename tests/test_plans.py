@@ -4,6 +4,7 @@ import tomllib
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomtick.plans import compiler, config, spec
 
@@ -29,12 +30,35 @@ def test_dump_round_trip():
     assert tomllib.loads(config.dumped(c)) == c
 
 
-@pytest.mark.parametrize("change", [{"pipeline": []}, {"pipeline": ["cuts", "cuts"]}, {"pipeline": ["input"]}, {"cuts": {}}, {"extra": {}}])
+@pytest.mark.parametrize("change", [{"pipeline": "cuts"}, {"pipeline": [1]}, {"pipeline": ["input"]}, {"pipeline": ["absent"]}, {"cuts": {}}, {"extra": {}}, {"extra": 1}, {"cuts": {"processor": "cut_detect", "profile": 1}}])
 def test_structure(change):
     with pytest.raises(config.ConfigError):
         config.checked({**CHAIN, **change})
 
 
+def test_allowed_structures(spark):
+    assert config.checked({})["pipeline"] == []
+    assert compiler.resolve({**CHAIN, "pipeline": []}) == []
+    spare = {**CHAIN, "spare": {"processor": "conform"}, "settings": {}}
+    assert [r.name for r in compiler.resolve({**spare, "pipeline": ["denoise", "cuts", "denoise"]})] == ["denoise", "cuts", "denoise"]
+    df = spark.createDataFrame([(1, 0, 0, 1.0)], "stream_id long, pos long, pts long, value double")
+    assert compiler.run({"pipeline": []}, compiler.TypedStream(df, spec.StreamSpec())).df.count() == 1
+
+
+def test_one_time_grammar(spark):
+    from loomtick.functions.clock import frames_column
+
+    texts = ["120", "120F", " 5s", "0.5", "1:30", "1:02:03", "0:00.5", "5.", ".5", ".5s", "1:2", "x", "", "1:", "1:2:3:4", "-1", "1f2", "5.s", "00:10.", "1.5f"]
+    column = [r.f for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", frames_column(F.col("t"), 25).alias("f")).orderBy("i").collect()]
+    single = []
+    for t in texts:
+        try:
+            single.append(config.to_frames(t, 25))
+        except config.ConfigError:
+            single.append(None)
+    assert column == single
+
+
 @pytest.mark.parametrize(("text", "frames"), [("120", 120), ("120F", 120), ("5s", 125), ("0.5", 12), ("1:30", 2250), ("1:02:03", 93075), ("0:00.5", 12)])
 def test_time(text, frames):
     assert config.to_frames(text, 25) == frames
@@ -79,3 +103,21 @@ def test_run(spark):
     assert [r.segment_id for r in out.df.orderBy("pos").collect()] == [0, 0, 1, 1, 2]
     half = compiler.run({"pipeline": ["c"], "c": {"processor": "conform", "fps": 12.5}}, compiler.TypedStream(df, spec.StreamSpec()))
     assert [(r.pos, r.value) for r in half.df.orderBy("pos").collect()] == [(0, 1.0), (1, 9.0), (2, 1.0)]
+
+
+def test_stages_keep_to_segments(spark):
+    """What a chain makes of a stream with a cut is what it makes of the parts."""
+    values = [0.0, 0.1, 0.05, 0.12, 0.02, 0.07, 0.9, 0.8, 0.95, 0.85, 0.9, 0.88, 0.2, 0.25]
+    rows = [(1, i, i * 40_000, v) for i, v in enumerate(values)]
+    schema = "stream_id long, pos long, pts long, value double"
+    chains = {"mc": {"processor": "mc", "window": 4, "sigma": 1.0}, "recursive": {"processor": "mc", "window": 0, "sigma": 1.0}, "deflicker": {"processor": "deflicker", "window": 3, "band": 0.5, "max_fix": 1.0}}
+    for name, table in chains.items():
+        c = {"pipeline": ["cuts", name], "cuts": {"processor": "cut_detect", "threshold": 0.5}, name: table}
+        whole = compiler.run(c, compiler.TypedStream(spark.createDataFrame(rows, schema), spec.StreamSpec())).df
+        got = [round(r.value, 9) for r in whole.orderBy("pos").collect()]
+        want = []
+        for part in (rows[:6], rows[6:12], rows[12:]):
+            alone = compiler.run({"pipeline": [name], name: table}, compiler.TypedStream(spark.createDataFrame([(1, i, *r[2:]) for i, r in enumerate(part)], schema), spec.StreamSpec())).df
+            want += [round(r.value, 9) for r in alone.orderBy("pos").collect()]
+        assert got == want, name
+        assert name == "deflicker" or got != values

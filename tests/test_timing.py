@@ -104,7 +104,7 @@ def test_gop_positions_before_the_first_sync(spark):
 def test_tracks(spark):
     rows = [(1, 0, 0.9, 0, 0, 10, 10), (1, 0, 0.8, 100, 0, 110, 10), (1, 1, 0.7, 1, 0, 11, 10), (1, 3, 0.9, 101, 0, 111, 10), (1, 20, 0.9, 0, 0, 10, 10)]
     df = spark.createDataFrame(rows, "stream_id long, frame long, score double, x0 long, y0 long, x1 long, y1 long")
-    assert [r.track for r in evaluation.tracks(df).orderBy("frame", F.desc("score")).collect()] == [0, 1, 0, 1, 2]
+    assert [r.track for r in evaluation.tracks(df).orderBy("frame", F.desc("score")).collect()] == [1, 2, 1, 2, 3]
 
 
 def test_as_of_keeps_left_rows(spark):
