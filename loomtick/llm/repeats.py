@@ -29,7 +29,6 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -179,16 +178,22 @@ def _emitted(rows: Iterator[tuple], names: list[str], types: list[pa.DataType],
 def _whole(rows: DataFrame, length: int) -> DataFrame:
     """(k1, k2, copied, t, lo, hi, core, w1, w2): w1 and w2 stand for each kept phrase of (k1, k2, copied, text, phrases) with all that its strings reach."""
     names = ["k1", "k2", "copied", "t", "lo", "hi", "core", "w1", "w2"]
-    types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 6]
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = hashlib.blake2b
         for batch in batches:
             for k1, k2, copied, text, found in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4), strict=True):
                 data = text.as_buffer().to_pybytes()
-                for t, lo, hi, core in zip(*(found.values.field(i).to_pylist() for i in range(4)), strict=True):
-                    yield (k1, k2, copied, t, lo, hi, core, *struct.unpack("<qq", _short(struct.pack("<q", t - lo) + data[lo : hi + length])))
+                t, lo, hi, core = (found.values.field(i).to_numpy() for i in range(4))
+                # the length of the phrase goes into the hash by way of its key
+                named = b"".join([digest(data[a:b], digest_size=16, key=c).digest() for a, b, c in zip(lo.tolist(), (hi + length).tolist(), [(x + 1).to_bytes(4) for x in (t - lo).tolist()], strict=True)])
+                two = np.frombuffer(named, "<i8").reshape(-1, 2)
+                n = len(t)
+                columns = [np.full(n, k1), np.full(n, k2), np.full(n, copied), t, lo, hi, core, two[:, 0].copy(), two[:, 1].copy()]
+                for i in range(0, n, 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], names)
 
-    return rows.transform(in_arrow, lambda batches: _emitted(each(batches), names, types, 10_000), "k1 long, k2 long, copied boolean, t long, lo long, hi long, core long, w1 long, w2 long")
+    return rows.transform(in_arrow, run, "k1 long, k2 long, copied boolean, t long, lo long, hi long, core long, w1 long, w2 long")
 
 
 def _contexts(rows: DataFrame, length: int) -> DataFrame:
@@ -296,29 +301,61 @@ def carried(edges: dict) -> dict[int, tuple[list[int], list[int]]]:
     return out
 
 
-def interval(depths: list[int], intervals: list[int], carry: dict, depth: int) -> int:
-    """The interval of a string at a depth."""
-    if not depth:
-        return -1
-    i = intervals[bisect.bisect_left(depths, depth)]
+def interval(depths: list[int], intervals: list[int], carry: dict, depth: int) -> tuple[int, int]:
+    """The interval of a string at a depth, and up to which depth it stays in it."""
+    at = bisect.bisect_left(depths, depth)
+    i, far = intervals[at], depths[at]
     if i in carry:
-        depths, intervals = carry[i]
-        i = intervals[bisect.bisect_left(depths, depth)]
-    return i
+        own, named = carry[i]
+        at = bisect.bisect_left(own, depth)
+        i, far = named[at], min(far, own[at])
+    return i, far
+
+
+def shared_runs(depths: tuple[list[int], list[int]], others: tuple[list[int], list[int]], carries: tuple[dict, dict], length: int, first: int, last: int) -> Iterator[tuple[int, int, int, int]]:
+    """(a, b, d, n): runs of distances d to d + n - 1 between first and last whose strings lie in interval a of one order and b of the other."""
+    d = first
+    while d <= last:
+        a, far = interval(*depths, carries[0], d) if d else (-1, 0)
+        b, _ = interval(*others, carries[1], length - d)
+        # the other side's depth falls as d grows: its interval holds down to the depth before
+        at = bisect.bisect_left(others[0], length - d)
+        low = others[0][at - 1] if at else 0
+        i = others[1][at]
+        if i in carries[1]:
+            own = carries[1][i][0]
+            k = bisect.bisect_left(own, length - d)
+            low = max(low, own[k - 1] if k else 0)
+        stop = min(last, far, length - low - 1)
+        yield a, b, d, stop - d + 1
+        d = stop + 1
 
 
 def _places(rows: DataFrame, length: int, left_carry: dict, right_carry: dict) -> DataFrame:
     """(a, b, d, k1, k2, p, open): the strings of each phrase that both orders' neighbours may share."""
     names = ["a", "b", "d", "k1", "k2", "p", "open"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def packed(runs: list[tuple]) -> pa.RecordBatch:
+        a, b, d, n, k1, k2, t, open_ = (np.array(c) for c in zip(*runs, strict=True))
+        of = np.repeat(np.arange(len(n)), n)
+        each = d[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a[of], b[of], each.astype(np.int32), k1[of], k2[of], t[of] - each, open_[of])], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carries = (left_carry, right_carry)
         for batch in batches:
+            runs: list[tuple] = []
             for k1, k2, t, lo, hi, open_, l_most, l_depths, l_in, r_most, r_depths, r_in in zip(*(batch.column(i).to_pylist() for i in range(12)), strict=True):
-                for d in range(max(t - hi, length - r_most), min(t - lo, l_most) + 1):
-                    yield interval(l_depths, l_in, left_carry, d), interval(r_depths, r_in, right_carry, length - d), d, k1, k2, t - d, open_
-
-    return rows.transform(in_arrow, lambda batches: _emitted(each(batches), names, types, 20_000), "a long, b long, d int, k1 long, k2 long, p long, open boolean")
+                first, last = max(t - hi, length - r_most), min(t - lo, l_most)
+                if first <= last:
+                    runs += [(*x, k1, k2, t, open_) for x in shared_runs((l_depths, l_in), (r_depths, r_in), carries, length, first, last)]
+                    if len(runs) > 5000:
+                        yield packed(runs)
+                        runs = []
+            if runs:
+                yield packed(runs)
+
+    return rows.transform(in_arrow, run, "a long, b long, d int, k1 long, k2 long, p long, open boolean")
 
 
 def _repeats_of(texts: DataFrame, length: int) -> DataFrame:

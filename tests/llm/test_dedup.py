@@ -75,10 +75,17 @@ def test_intervals_of_an_order_over_partitions():
                 if end:
                     edges[part, bit] = SimpleNamespace(s=s, depths=[d for d, _ in steps], intervals=[x for _, x in steps])
     carry = repeats.carried(edges)
-    named = {(s, r): repeats.interval([d for d, _ in st], [i for _, i in st], carry, r) for s, st in steps_of.items() for r in range(1, len(s) + 1)}
+    named = {(s, r): repeats.interval([d for d, _ in st], [i for _, i in st], carry, r)[0] for s, st in steps_of.items() for r in range(1, len(s) + 1)}
     for (s, r), x in named.items():
         for u, y in ((u, named[u, r]) for u in steps_of if len(u) >= r):
             assert (s[:r] == u[:r]) == (x == y)
+    split = lambda st: ([d for d, _ in st], [i for _, i in st])
+    for _ in range(300):
+        s, u = (rng.choice(texts[: len(steps_of)]) for _ in range(2))
+        length = rng.randrange(1, len(s) + len(u) + 1)
+        first, last = max(0, length - len(u)), min(len(s), length - 1)
+        runs = [(x, y, d + k) for x, y, d, n in repeats.shared_runs(split(steps_of[s]), split(steps_of[u]), (carry, carry), length, first, last) for k in range(n)]
+        assert runs == [(named[s, d] if d else -1, named[u, length - d], d) for d in range(first, last + 1)]
 
 
 def test_jaccard_join_matches_brute_force(spark):
