@@ -8,9 +8,11 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtick.operators.ordered import ordered
+from loomtick.operators.streams import in_order
 
 
 def smoothstep(t: Column) -> Column:
@@ -114,6 +116,26 @@ def recursive_blend(rows: DataFrame, strength: float, sigma: float) -> DataFrame
     return _by_segment(rows.select("stream_id", "segment_id", "pos", "value"), run, "blended double")
 
 
+def guarded_output(rows: DataFrame, guard: Guard = Guard()) -> DataFrame:
+    """``rows`` (stream_id, pos, value, candidate, area, mean, ...) with the share of ``candidate`` that the guard lets through as value.
+
+    ``candidate`` is what a model made of the row elsewhere; adds ``state`` and ``weight``.
+    """
+    df = rows if "segment_id" in rows.columns else rows.withColumn("segment_id", F.lit(0).cast("long"))
+    made = output_guard(df, guard).select("stream_id", "pos", "state", "weight")
+    mixed = F.col("value") + F.col("weight") * (F.col("candidate") - F.col("value"))
+    return rows.join(made, ["stream_id", "pos"]).withColumn("value", mixed)
+
+
+def held_estimate(rows: DataFrame, estimate: str, window: int = 12, least: int = 6, longest: int = 64) -> DataFrame:
+    """Add ``held``: the estimate of the last row at which one was made anew (see ``refreshes``); null before the first."""
+    df = rows if "segment_id" in rows.columns else rows.withColumn("segment_id", F.lit(0).cast("long"))
+    made = df.join(refresh_at_sync(df, window, least, longest).select("stream_id", "pos", "refreshed"), ["stream_id", "pos"])
+    so_far = in_order(made).rowsBetween(W.unboundedPreceding, 0)
+    held = F.last(F.when(F.col("refreshed"), F.col(estimate)), ignorenulls=True).over(so_far)
+    return made.withColumn("held", held).select(*rows.columns, "held")
+
+
 def admission(current: Column, plain: Column, aligned: Column, strength: float = 1.0, ramp: float = 0.004, sigma: float = 0.035) -> Column:
     """How much history a row admits: it has to come nearer when aligned, and near at all."""
     near, far = F.abs(current - aligned), F.abs(current - plain)

@@ -8,6 +8,7 @@ defaults, specs) is decided before a row moves, and the chain becomes one plan.
 
 from __future__ import annotations
 
+import contextlib
 import importlib
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
@@ -17,7 +18,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtick.operators import guards, streams, temporal, timing
+from loomtick.operators import geometry, guards, levels, streams, temporal, timing
 from loomtick.plans import config as C
 from loomtick.plans.spec import Mode, StreamSpec, violations
 
@@ -108,6 +109,34 @@ class TypedStream:
     spec: StreamSpec
 
 
+class Session:
+    """A chain over one stream, to be run once; what it opened is closed once, however it ends.
+
+    An error of the run comes first; one of closing is raised only if the run had none.
+    """
+
+    def __init__(self, config: Mapping[str, Any], stream: TypedStream, close: Callable[[], None] = lambda: None):
+        self._config, self._stream, self._close, self._used, self._closed = config, stream, close, False, False
+
+    def run(self, sink: Callable[[TypedStream], Any]) -> Any:
+        if self._used:
+            raise RuntimeError("this session has been run; open another one for the next stream")
+        self._used = True
+        try:
+            out = sink(run(self._config, self._stream))
+        except BaseException:
+            with contextlib.suppress(Exception):
+                self.close()
+            raise
+        self.close()
+        return out
+
+    def close(self) -> None:
+        if not self._closed:
+            self._closed = True
+            self._close()
+
+
 def run(config: Mapping[str, Any], stream: TypedStream) -> TypedStream:
     """Compile the chain over a stream: one lazy plan, run by the caller's action."""
     df, spec = stream.df, stream.spec
@@ -152,12 +181,39 @@ def _constant(spec: StreamSpec, keys: Mapping[str, Any]) -> StreamSpec:
     return spec.with_timeline(cadence=Fraction(str(keys["fps"])), cardinality_kept=False)
 
 
+def _level(df: DataFrame, keys: Mapping[str, Any]) -> DataFrame:
+    made = levels.level_frames(df, keys["window"], keys["deadband"], keys["bins"]).select("stream_id", "pos", "pixels")
+    return df.drop("pixels").join(made, ["stream_id", "pos"])
+
+
+def _edges(keys: Mapping[str, Any]) -> tuple[int, int, int, int]:
+    return keys["top"], keys["bottom"], keys["left"], keys["right"]
+
+
+def _crop(df: DataFrame, keys: Mapping[str, Any]) -> DataFrame:
+    """Edge bands, or the largest window of an aspect where one is given."""
+
+    def kernel(x):
+        if keys["aspect"] is None:
+            return geometry.cut(x, _edges(keys))
+        wide, high = map(int, keys["aspect"].split(":"))
+        return geometry.cut(x, geometry.aspect_window(x.shape[1], x.shape[0], (wide, high), keys["dx"], keys["dy"], keys["anchor"]))
+
+    return geometry.mapped(df, kernel)
+
+
 for _stage in (
     Stage("cut_detect", {"threshold": 0.25}, lambda df, k: streams.with_segments(df, streams.jump(k["threshold"])), mode=Mode.CAUSAL, radius=lambda k: 1, emits_cuts=True),
     Stage("conform", {"fps": 25}, _conform, mode=Mode.CENTERED, radius=lambda k: 1, produces=_constant),
     Stage("interpolate", {"fps": 25}, _interpolate, capability="interpolate", produces=_constant),
     Stage("deflicker", {"window": 8, "band": 0.1, "frac": 0.6, "max_fix": 0.1, "step": 1.5 / 255}, lambda df, k: _replace(temporal.deflicker(df, k["window"], k["band"], k["frac"], k["max_fix"], k["step"]), "fixed"), mode=Mode.CENTERED, radius=lambda k: k["window"]),
     Stage("mc", {"window": 4, "sigma": 0.05, "strength": 0.8}, _motion_blend, capability="denoise", mode=Mode.CAUSAL, radius=lambda k: max(1, k["window"]), profiles={"strong": {"strength": 1.0, "sigma": 0.1}}),
+    Stage("level", {"window": 5, "deadband": 0.003, "bins": levels.BINS}, _level, mode=Mode.CENTERED, radius=lambda k: k["window"]),
+    Stage("crop", {"top": 0, "bottom": 0, "left": 0, "right": 0, "aspect": None, "anchor": "center", "dx": 0, "dy": 0}, _crop),
+    Stage("square_pixels", {"pixel_aspect": "1"}, lambda df, k: geometry.mapped(df, lambda x: geometry.squared(x, Fraction(str(k["pixel_aspect"]))))),
+    Stage("sanitize_edges", {"top": 0, "bottom": 0, "left": 0, "right": 0}, lambda df, k: geometry.mapped(df, lambda x: geometry.sanitised(x, _edges(k)))),
+    Stage("nafnet", {"trip": 0.01, "lockout": 48, "rise": 12}, lambda df, k: guards.guarded_output(df, guards.Guard(trip=k["trip"], lockout=k["lockout"], rise=k["rise"])), capability="restore", mode=Mode.CAUSAL),
+    Stage("fbcnn", {"estimate": "value", "window": 12, "least": 6, "longest": 64}, lambda df, k: guards.held_estimate(df, k["estimate"], k["window"], k["least"], k["longest"]), capability="deblock", mode=Mode.CAUSAL),
     Stage("trim", {"start": 0, "end": 1 << 62}, lambda df, k: streams.trim(df, F.lit(k["start"]), F.lit(k["end"])), produces=lambda s, k: s.with_timeline(cardinality_kept=False)),
 ):
     register(_stage.name, _stage)

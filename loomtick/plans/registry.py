@@ -624,3 +624,6 @@ def rel_top_parts(spark, d):
 def rel_set_operations(spark, d):
     c, s = _t(spark, d, "customer").select(F.col("c_nationkey").alias("k")), _t(spark, d, "supplier").select("s_nationkey")
     return c.intersect(s).subtract(_t(spark, d, "nation").where("n_regionkey = 0").select("n_nationkey"))
+
+
+from loomtick.plans import analysis_queries as _analysis_queries  # noqa: E402, F401  its queries register themselves here
