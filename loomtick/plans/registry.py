@@ -289,7 +289,11 @@ def ema_cuts(spark, d):
     return T.ema(_cut(spark, d), 0.3).select("stream_id", "pos", _r("ema").alias("ema"))
 
 
-@_query()
+@_query("""WITH RECURSIVE {S}, t AS (SELECT stream_id, count(*) AS total FROM s GROUP BY 1), y AS (SELECT stream_id, pos FROM s WHERE event_type = 'purchase'),
+a AS (SELECT stream_id, 0::BIGINT AS a FROM t UNION ALL SELECT a.stream_id, min(y.pos) FROM a JOIN y ON y.stream_id = a.stream_id AND y.pos >= a.a + 4 GROUP BY a.stream_id, a.a),
+g AS (SELECT stream_id, a, total, lead(a) OVER (PARTITION BY stream_id ORDER BY a) AS nxt FROM a JOIN t USING (stream_id)), e AS (SELECT *, coalesce(nxt, total) AS stop FROM g WHERE a < total),
+p AS (SELECT *, a + 12 * unnest(range(0, (stop - a + 11) // 12)) AS f FROM e)
+SELECT stream_id, (CASE WHEN f = a THEN a ELSE greatest(a, f - 2) END)::BIGINT AS process_from, (CASE WHEN f + 12 < stop THEN least(stop, f + 14) WHEN nxt IS NULL THEN total ELSE nxt + 1 END)::BIGINT AS process_to, f::BIGINT AS emit_from, least(stop, f + 12)::BIGINT AS emit_to FROM p""")
 def gop_windows(spark, d):
     return M.gop_windows(S.gop_positions(_s(spark, d), _sync()), 4, 12)
 
@@ -491,12 +495,26 @@ def _changes(spark, d):
     return s.withColumn("area", F.col("value") / 16000).withColumn("mean", F.col("value") / 4800).withColumn("is_sync", _sync())
 
 
-@_query()
+GUARD_SQL = """SELECT q.stream_id, q.pos, q.area, q.mean, CASE WHEN new THEN 1.0 ELSE gain END AS g, CASE WHEN new THEN 0 ELSE streak END AS k, CASE WHEN NOT new THEN wait END AS w FROM e JOIN q ON q.stream_id = e.stream_id AND q.pos = e.pos + 1"""
+
+
+@_query(f"""WITH RECURSIVE {{S}}, q AS (SELECT stream_id, pos, value / 16000 AS area, value / 4800 AS mean, coalesce(abs(value - lag(value) OVER (PARTITION BY stream_id ORDER BY pos)) > 300, false) OR pos = 0 AS new FROM s),
+e AS (SELECT stream_id, -1::BIGINT AS pos, 1.0::DOUBLE AS gain, 0 AS streak, NULL::INT AS wait, '' AS state, 0.0::DOUBLE AS weight, false AS damped FROM q WHERE pos = 0 UNION ALL
+ SELECT stream_id, pos, gain, streak, wait, state, CASE WHEN state IN ('open', 'tripped') THEN gain * gain * (3 - 2 * gain) ELSE 0.0 END, state = 'tripped' AND gain > 0 FROM (
+ SELECT stream_id, pos, state, CASE state WHEN 'open' THEN least(1.0, g + 1.0 / 12) WHEN 'locked' THEN greatest(0.0, g - 1.0 / 3) ELSE CASE WHEN bad AND (mean > 0.1 OR area >= 0.04) THEN 0.0 ELSE greatest(0.0, g - 1.0 / 3) END END AS gain,
+  CASE state WHEN 'open' THEN 0 WHEN 'locked' THEN k ELSE k + bad::INT END AS streak, CASE state WHEN 'open' THEN NULL WHEN 'locked' THEN w - 1 ELSE CASE WHEN w IS NOT NULL OR mean > 0.1 OR k + bad::INT >= 2 THEN 6 END END AS wait FROM (
+ SELECT *, mean > 0.1 OR area >= 0.01 AS bad, CASE WHEN w IS NOT NULL AND w - 1 > 0 THEN 'locked' WHEN mean > 0.1 OR area >= 0.01 THEN 'tripped' WHEN w IS NOT NULL AND area > 0.005 THEN 'held' ELSE 'open' END AS state FROM ({GUARD_SQL}))))
+SELECT stream_id, pos, state, round(weight, 6) AS weight, damped FROM e WHERE pos >= 0""")
 def guard_states(spark, d):
     return G.output_guard(_changes(spark, d), G.Guard(lockout=6)).select("stream_id", "pos", "state", _r("weight").alias("weight"), "damped")
 
 
-@_query()
+@_query("""WITH RECURSIVE {S}, q AS (SELECT stream_id, pos, event_type = 'purchase' AS y, coalesce(abs(value - lag(value) OVER (PARTITION BY stream_id ORDER BY pos)) > 300, false) OR pos = 0 AS new FROM s),
+e AS (SELECT stream_id, -1::BIGINT AS pos, 0::BIGINT AS age, 0 AS seen, false AS made, false AS refreshed FROM q WHERE pos = 0 UNION ALL
+ SELECT stream_id, pos, CASE WHEN now THEN 0 ELSE age + 1 END, seen, made OR now, now FROM (
+ SELECT *, (age >= 64 OR (y AND age >= 12) OR NOT made) AND least(seen, 12) >= 6 AS now FROM (
+ SELECT q.stream_id, q.pos, q.y, CASE WHEN new THEN 0 ELSE e.age END AS age, CASE WHEN new THEN 1 ELSE e.seen + 1 END AS seen, NOT new AND e.made AS made FROM e JOIN q ON q.stream_id = e.stream_id AND q.pos = e.pos + 1)))
+SELECT stream_id, pos, refreshed, CASE WHEN made THEN age ELSE 0 END AS age FROM e WHERE pos >= 0""")
 def sync_refresh(spark, d):
     return G.refresh_at_sync(_changes(spark, d))
 
