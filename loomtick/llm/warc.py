@@ -365,3 +365,13 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     captures = written(checked(looked_up(pages.select("url"), directory, index, archives)), "captures")
     discard(directory)
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "file", "offset", "length")
+
+
+_LETTERS_SQL = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+ORACLE_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT hex, min(page_id) AS first FROM p GROUP BY 1),
+d AS (SELECT p.*, first, array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda k: substr({_LETTERS_SQL}, (('0x' || substr(hex, i * 5 + 1, 5))::INT >> k) % 32 + 1, 1)), '')), '') AS digest FROM p JOIN f USING (hex))
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM d
+"""
