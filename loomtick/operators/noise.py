@@ -101,6 +101,30 @@ def spectrum_peak(periods: np.ndarray, strengths: np.ndarray) -> tuple[float, fl
     return float(periods[best]), float(strengths[best] / usual)
 
 
+def shared_period(window: np.ndarray, low: float = 6.0, high: float = 16.0) -> tuple[float, float, float] | None:
+    """(period, strength across, strength down) of a grid that both axes of a window (frames, lines, columns) share.
+
+    Coding grids have one period both ways, also after a resize to a fraction; texture
+    rarely has.  None where a side is shorter than three periods or either axis is weak.
+    """
+    found = []
+    for axis in (2, 1):
+        profile = np.abs(np.diff(window, axis=axis)).mean(axis=(0, 3 - axis))
+        if len(profile) < 3 * int(high):
+            return None
+        found.append(profile_spectrum(profile, low, high))
+    periods = found[0][0]
+    shares = [s / usual if (usual := float(np.sort(s)[len(s) // 2])) > 0 else np.zeros(len(s)) for _, s in found]
+    if not all(x.any() for x in shares):
+        return None
+    both = shares[0] + shares[1]
+    period, _ = spectrum_peak(periods, both)
+    at = int(np.abs(periods - period).argmin())
+    if both[at] < 5.5 or min(x[at] for x in shares) < 1.8:
+        return None
+    return period, float(found[0][1][at]), float(found[1][1][at])
+
+
 def windows(frames: DataFrame, names: list[str], measure, size: int = 13) -> DataFrame:
     """(stream_id, window, *names): ``measure`` of each run of ``size`` frames (stream_id, pos, height, width, pixels).
 

@@ -1,12 +1,13 @@
 """Geometry, levels, noise kernels, sessions and stages over frames, against plain definitions."""
 
+import math
 from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomtick.operators import geometry, guards, kernels, levels, noise, streams
+from loomtick.operators import geometry, guards, kernels, levels, naturalness, noise, streams
 from loomtick.plans import compiler, spec
 
 
@@ -160,3 +161,44 @@ def test_a_session_runs_once_and_closes_once(spark):
         failing.run(lambda s: (_ for _ in ()).throw(ValueError("run")))
     assert closed == [1, 2]
     assert streams.segment_keys(df) == ["stream_id"]
+
+
+def test_shared_period_of_a_grid():
+    y, x = np.mgrid[:192, :192]
+    rng = np.random.default_rng(8)
+    flat = np.full((2, 192, 192), 0.5) + rng.normal(0, 0.002, (2, 192, 192))
+    for period in (8.0, 10.7):
+        steps = 0.05 * ((x // period).astype(int) % 2 + (y // period).astype(int) % 2)
+        found = noise.shared_period(flat + steps)
+        assert found and abs(found[0] - period) <= 0.11
+    assert noise.shared_period(flat + 0.05 * ((x // 8) % 2)) is None  # one axis only
+    assert noise.shared_period(flat[:, :20]) is None
+
+
+def test_patch_measures_against_plain_fits(spark):
+    def shape_of(ratio):  # the grid searched one by one
+        curve = lambda g: math.exp(math.lgamma(1 / g) + math.lgamma(3 / g) - 2 * math.lgamma(2 / g))
+        return min((0.2 + 0.001 * i for i in range(9801)), key=lambda g: abs(curve(g) - ratio))
+
+    rng = np.random.default_rng(9)
+    x = rng.uniform(size=(40, 36))
+    got = naturalness.patch_measures(x, 16)
+    assert got.shape == (4, 36)
+    tile = naturalness.contrast_normalised(x)[:16, :16]
+    assert got[0, 0] == pytest.approx(shape_of((tile**2).mean() / np.abs(tile).mean() ** 2))
+    assert got[0, 1] == pytest.approx(np.sqrt((tile**2).mean()))
+    p = (tile[1:, :-1] * tile[:-1, 1:]).ravel()  # the last pair of neighbours
+    left, right = np.sqrt((p[p < 0] ** 2).mean()) + 1e-6, np.sqrt((p[p >= 0] ** 2).mean()) + 1e-6
+    assert got[0, 16] == pytest.approx(left**2) and got[0, 17] == pytest.approx(right**2)
+    assert naturalness.patch_measures(x[:10], 16).shape == (0, 36)
+
+
+def test_distance_of_gaussians(spark):
+    rng = np.random.default_rng(10)
+    arrays = [rng.uniform(size=(48, 48)) for _ in range(12)]
+    df = frames(spark, arrays).repartition(3)
+    blurred = frames(spark, [kernels._blurred(a) for a in arrays]).withColumn("stream_id", F.lit(2).cast("long"))
+    found = naturalness.gaussians(df.unionByName(blurred), 16)
+    m = np.concatenate([naturalness.patch_measures(a, 16) for a in arrays])
+    assert found[1].n == len(m) and np.allclose(found[1].mean, m.mean(0)) and np.allclose(found[1].cov, np.cov(m.T), atol=1e-6)
+    assert found[1].distance(found[1]) == 0 and found[1].distance(found[2]) > 1
