@@ -34,6 +34,8 @@ MAX_HASHES = 150
 #: Texts in a block, and characters of their texts in it (a longer text has a block of its own).
 BLOCK_TEXTS = 128
 BLOCK_CHARS = 4_000_000
+#: Keys of texts in groups are broadcast up to this number (16 bytes each), so other texts are not shuffled; more are joined by key.
+BROADCAST_KEYS = 1 << 19
 _WORD = re.compile(r"\w+")
 
 
@@ -221,7 +223,8 @@ def block_links(keys: list[bytes], sides: list[int], sets: list[np.ndarray], sam
 def verified_links(docs: DataFrame, groups: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b, n): spanning links (n null) and link counts of a text (b null), from whole sets."""
     whole = docs.select(text_key(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
-    whole = whole.join(groups.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    keys = written(groups.select("key").distinct(), "group-keys")
+    whole = whole.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     split = groups.where("band IS NOT NULL").select("key").distinct()
     bands = texts.select("key", "bands").join(split, "key", "left_semi").withColumnRenamed("key", "of")
     rows = groups.join(bands, (F.col("key") == F.col("of")) & F.col("band").isNotNull(), "left").drop("of")
