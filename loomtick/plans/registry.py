@@ -298,7 +298,13 @@ def gop_windows(spark, d):
     return M.gop_windows(S.gop_positions(_s(spark, d), _sync()), 4, 12)
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {{S}}, q AS (SELECT stream_id, pos, (pts - pos // 20 * {48 * HOUR})::BIGINT AS t FROM s),
+e AS (SELECT stream_id, -1::BIGINT AS pos, 0::BIGINT AS pts, []::BIGINT[] AS steps, 0::BIGINT AS off, NULL::BIGINT AS bef, NULL::BIGINT AS top, NULL::BIGINT AS ht, NULL::BIGINT AS hc, 0::BIGINT AS adjusted FROM q WHERE pos = 0 UNION ALL
+ SELECT stream_id, pos, t, CASE WHEN NOT back AND bef IS NOT NULL AND t > bef AND t - bef <= greatest(1000000, 4 * st) THEN list_append(steps[-14:], t - bef) ELSE steps END, off, CASE WHEN back THEN bef ELSE t END,
+  greatest(coalesce(top, t + off), CASE WHEN back THEN top + st ELSE t + off END), CASE WHEN back THEN t END, CASE WHEN back THEN top + st - t END, CASE WHEN back THEN top + st ELSE t + off END FROM (
+ SELECT *, bef IS NOT NULL AND bef - t > 10000000 AS back, coalesce(list_sort(steps)[(len(steps) + 1) // 2], 40000) AS st FROM (
+ SELECT q.stream_id, q.pos, q.t, steps, top, CASE WHEN ht IS NOT NULL AND bef - q.t > 10000000 THEN hc ELSE off END AS off, CASE WHEN ht IS NOT NULL AND bef - q.t > 10000000 THEN ht ELSE bef END AS bef FROM e JOIN q ON q.stream_id = e.stream_id AND q.pos = e.pos + 1)))
+SELECT stream_id, pos, pts, adjusted FROM e WHERE pos >= 0""")
 def epoch_unwrap(spark, d):
     # the clock is set back by two days after every 20th row
     s = _s(spark, d).withColumn("pts", F.col("pts") - F.floor(F.col("pos") / 20) * 48 * HOUR)
