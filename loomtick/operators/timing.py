@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from loomtick.functions.rational import floor_div, half_even
 from loomtick.operators.ordered import ordered
-from loomtick.operators.streams import by_stream
+from loomtick.operators.streams import by_stream, in_order
 
 #: A row that would fan out to more slots than this is refused.
 MAX_FAN_OUT = 10_000
@@ -185,20 +185,30 @@ def conform(stream: DataFrame, interval: int, origin: Column | None = None) -> D
     return df.select("stream_id", "slot", (F.col("pts") - F.col("t") + F.col("slot") * interval).alias("pts"), "pos", F.abs(F.col("slot") * interval - F.col("t")).alias("shift"))
 
 
-def interpolate(stream: DataFrame, interval: int) -> DataFrame:
+def interpolate(stream: DataFrame, interval: int, hold: int | None = None) -> DataFrame:
     """Values on a grid of ``interval`` ticks by linear interpolation between the rows around.
 
     stream_id, slot, phase, value; a slot on a row has phase 0.  The numeric value
-    stands in for a synthesised payload.
+    stands in for a synthesised payload.  Nothing is made out of two segments: up to a
+    cut the row before it is held.  With ``hold``, so is the last row, for its own
+    ``duration`` if it has one above 0 and ``hold`` ticks otherwise; ``duration`` is then
+    added, and cut at the end of the input.
     """
-    df = stream.withColumn("t", F.col("pts") - F.first("pts").over(by_stream().rowsBetween(W.unboundedPreceding, 0)))
-    df = df.withColumn("t2", F.lead("t").over(by_stream())).withColumn("v2", F.lead("value").over(by_stream())).where("t2 > t")
+    order = by_stream()
+    df = stream.withColumn("t", F.col("pts") - F.first("pts").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    df = df.withColumn("t2", F.lead("t").over(order)).withColumn("v2", F.lead("value").over(in_order(stream)))
+    if hold is not None:
+        own = F.when(F.col("duration") > 0, F.col("duration")) if "duration" in stream.columns else F.lit(None).cast("long")
+        df = df.withColumn("end", F.when(F.col("t2").isNull(), F.col("t") + F.coalesce(own, F.lit(hold)))).withColumn("t2", F.coalesce("t2", "end"))
+    df = df.where("t2 > t")
     ceil = lambda c: -floor_div(-F.col(c), F.lit(interval))
     df = df.withColumn("lo", ceil("t")).withColumn("hi", ceil("t2") - 1).where("lo <= hi")
     fan = F.when(F.col("hi") - F.col("lo") >= MAX_FAN_OUT, F.raise_error(F.lit("a gap needs more than 10000 slots"))).otherwise(F.sequence("lo", "hi"))
     df = df.withColumn("slot", F.explode(fan))
-    phase = (F.col("slot") * interval - F.col("t")) / (F.col("t2") - F.col("t"))
-    return df.select("stream_id", "slot", phase.alias("phase"), (F.col("value") + (F.col("v2") - F.col("value")) * phase).alias("value"))
+    phase = F.when(F.col("v2").isNull(), 0.0).otherwise((F.col("slot") * interval - F.col("t")) / (F.col("t2") - F.col("t")))
+    value = F.col("value") + (F.coalesce("v2", "value") - F.col("value")) * phase
+    length = [F.least(F.lit(interval), F.coalesce("end", F.lit(1 << 62)) - F.col("slot") * interval).cast("long").alias("duration")] if hold is not None else []
+    return df.select("stream_id", "slot", phase.alias("phase"), value.alias("value"), *length)
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, right_columns: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomtick.operators import colour as K
 from loomtick.operators import levels as L
 from loomtick.operators import noise as N
 from loomtick.operators import report as P
@@ -215,3 +216,32 @@ def noise_classes(spark, d):
     made = {n: (k * (7919 + 2 * i) + i * 37) % 997 / 997 * r for i, (n, r) in enumerate(_RANGES.items())}
     out = N.classified(_t(spark, d, "part").select("p_partkey", *(c.alias(n) for n, c in made.items())))
     return out.select("p_partkey", F.array_join("labels", "; ").alias("labels"), "n_warnings", "risk")
+
+
+@_query(f"""WITH {{S}}, {{CUTS}}, t AS (SELECT *, pts - first_value(pts) OVER (PARTITION BY stream_id ORDER BY pos) AS t FROM x),
+n AS (SELECT *, lead(t) OVER (PARTITION BY stream_id ORDER BY pos) AS t1, lead(value) OVER (PARTITION BY stream_id, segment_id ORDER BY pos) AS v2 FROM t), e AS (SELECT *, CASE WHEN t1 IS NULL THEN t + {20 * HOUR} END AS fin, coalesce(t1, t + {20 * HOUR}) AS t2 FROM n),
+h AS (SELECT *, unnest(range(((t + {6 * HOUR - 1}) // {6 * HOUR})::BIGINT, ((t2 + {6 * HOUR - 1}) // {6 * HOUR})::BIGINT)) AS slot FROM e WHERE t2 > t), p AS (SELECT *, CASE WHEN v2 IS NULL THEN 0 ELSE (slot * {6 * HOUR} - t) / (t2 - t) END AS phase FROM h)
+SELECT stream_id, slot, round(phase, 6) AS phase, round(value + (coalesce(v2, value) - value) * phase, 6) AS value, least({6 * HOUR}, coalesce(fin, 1::BIGINT << 62) - slot * {6 * HOUR})::BIGINT AS duration FROM p""")
+def interpolate_cuts(spark, d):
+    out = M.interpolate(_cut(spark, d), 6 * HOUR, 20 * HOUR)
+    return out.select("stream_id", "slot", _r("phase").alias("phase"), _r("value").alias("value"), "duration")
+
+
+@_query("WITH " + FRAMES_SQL + """, i AS (SELECT stream_id, pos, unnest(px) AS a, unnest(list_transform(range(1, 65), lambda i: px[i] * 0.9 + (i % 3) * 0.01)) AS b FROM f),
+g AS (SELECT stream_id, pos, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS c, avg(abs(b - a)) AS mae FROM i GROUP BY 1, 2)
+SELECT stream_id, pos, round((2 * ma * mb + 1e-4) * (2 * c + 9e-4) / ((ma * ma + mb * mb + 1e-4) * (va + vb + 9e-4)), 6) AS ssim, round(c / sqrt(va * vb), 6) AS corr, round(mae, 6) AS mae FROM g""")
+def crop_similarity(spark, d):
+    f = _frames(spark, d).withColumn("other", F.transform("pixels", lambda v, i: v * 0.9 + ((i + 1) % 3) * 0.01))
+    return K.similarity(f, ["stream_id", "pos"], "pixels", "other").select("stream_id", "pos", *(_r(c).alias(c) for c in ("ssim", "corr", "mae")))
+
+
+_CROP = {"chroma_hf_ratio": (0.7, 0.6), "temporal_hf_diff_ratio": (0.5, 0.9), "row_score_ratio": (0.6, 0.8), "hf_luma_ratio": (0.8, 0.4), "grad_ratio": (0.9, 0.15), "ssim_luma": (0.95, 0.05), "grad_corr": (0.96, 0.04), "mae_luma": (0, 0.012), "chroma_drift": (0, 0.012)}
+_CROP_SQL = ", ".join(f"{a} + (p_partkey * {101 + 2 * i}) % 211 / 211 * {r} AS {n}" for i, (n, (a, r)) in enumerate(_CROP.items()))
+
+
+@_query(f"""WITH c AS (SELECT p_partkey, {_CROP_SQL} FROM part)
+SELECT p_partkey, round(100 * (0.28 * (1 - chroma_hf_ratio) + 0.24 * (1 - temporal_hf_diff_ratio) + 0.20 * (1 - row_score_ratio) + 0.12 * (1 - hf_luma_ratio) - 2.0 * greatest(0, 0.970 - grad_ratio) - 2.2 * greatest(0, 0.988 - ssim_luma)
+ - 0.7 * greatest(0, 0.988 - grad_corr) - 8 * greatest(0, mae_luma - 0.006) - 8 * greatest(0, chroma_drift - 0.006)), 6) AS score FROM c""")
+def crop_scores(spark, d):
+    made = {n: a + (F.col("p_partkey") * (101 + 2 * i)) % 211 / 211 * r for i, (n, (a, r)) in enumerate(_CROP.items())}
+    return _t(spark, d, "part").withColumns(made).select("p_partkey", _r(K.crop_score()).alias("score"))

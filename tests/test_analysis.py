@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomtick.operators import geometry, guards, kernels, levels, naturalness, noise, streams
+from loomtick.operators import colour, geometry, guards, kernels, levels, naturalness, noise, streams
 from loomtick.plans import compiler, spec
 
 
@@ -202,3 +202,18 @@ def test_distance_of_gaussians(spark):
     m = np.concatenate([naturalness.patch_measures(a, 16) for a in arrays])
     assert found[1].n == len(m) and np.allclose(found[1].mean, m.mean(0)) and np.allclose(found[1].cov, np.cov(m.T), atol=1e-6)
     assert found[1].distance(found[1]) == 0 and found[1].distance(found[2]) > 1
+
+
+def test_planes_of_422():
+    grey = np.full((2, 4, 3), 0.5)
+    y, c = colour.planes_422(grey)
+    assert (y >> 6 == 502).all() and (c >> 6 == 512).all()
+    y, c = colour.planes_422(np.ones((2, 4, 3)), full_range=True)
+    assert (y >> 6 == 1023).all()
+    red = np.zeros((1, 6, 3))
+    red[0, 2] = [1, 0, 0]  # one red column, an even one: half of it there, nothing at its neighbours
+    _, c = colour.planes_422(red, "bt601")
+    cr = (c >> 6)[0, 1::2].tolist()
+    assert cr == [512, round(512 + 448 / 2), 512]
+    red[0, 2], red[0, 3] = 0, [1, 0, 0]  # an odd one: a quarter at each side
+    assert ((colour.planes_422(red, "bt601")[1] >> 6)[0, 1::2]).tolist() == [512, 512 + 112, 512 + 112]
