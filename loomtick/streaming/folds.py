@@ -92,6 +92,47 @@ def fold(stream: DataFrame, step: Step) -> DataFrame:
     return stream.select("stream_id", "pos", "pts", "value", segment.cast("long").alias("segment")).groupBy("stream_id").applyInPandasWithState(run, schema, "state string", "append", "NoTimeout")
 
 
+def centered(stream: DataFrame, radius: int, reduce: Callable[[list[float], int], float]) -> DataFrame:
+    """(stream_id, pos, pts, out) of a function of the rows around each row and its place among them.
+
+    A row comes out once ``radius`` rows follow it.  A cut (``segment_id``) ends a window: the rows
+    before it come out with the rows that they have, as the last ones of a stream do once
+    its next segment begins.  The state is 2 * radius rows.
+    """
+    cuts = "segment_id" in stream.columns
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        now = json.loads(state.get[0]) if state.exists else {"segment": None, "rows": [], "next": 0}
+        out: list[tuple] = []
+
+        def emit(most: int) -> None:
+            """Rows with all that will ever follow them, or ``radius`` rows at least."""
+            while now["next"] < most:
+                i = now["next"]
+                lo = max(0, i - radius)
+                around = [r[2] for r in now["rows"][lo : i + radius + 1]]
+                out.append((key[0], *now["rows"][i][:2], reduce(around, i - lo)))
+                now["next"] += 1
+            gone = max(0, now["next"] - radius)
+            now["rows"], now["next"] = now["rows"][gone:], now["next"] - gone
+
+        for pos, pts, value, segment in pd.concat(list(frames)).sort_values("pos")[["pos", "pts", "value", "segment"]].itertuples(index=False):
+            if now["rows"] and pos <= now["rows"][-1][0]:
+                raise ValueError(f"stream {key[0]}: row {pos} came after row {now['rows'][-1][0]}")
+            if segment != now["segment"]:
+                emit(len(now["rows"]))
+                now.update(segment=int(segment), rows=[], next=0)
+            now["rows"].append([int(pos), int(pts), float(value)])
+            emit(len(now["rows"]) - radius)
+        state.update((json.dumps(now),))
+        yield pd.DataFrame(out, columns=["stream_id", "pos", "pts", "out"])
+
+    schema = "stream_id long, pos long, pts long, out double"
+    segment = F.col("segment_id") if cuts else F.lit(0)
+    rows = stream.select("stream_id", "pos", "pts", "value", segment.cast("long").alias("segment"))
+    return rows.groupBy("stream_id").applyInPandasWithState(run, schema, "state string", "append", "NoTimeout")
+
+
 def windowed(events: DataFrame, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Counts and sums of events by type in time windows, final once the watermark has passed them."""
     w = F.window("ts", width, slide or width)

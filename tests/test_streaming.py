@@ -44,6 +44,36 @@ def test_folds_match_batch(spark, tmp_path):
     assert {k: v for k, v in late.items() if v is not None} == want
 
 
+CUT = SCHEMA + ", segment_id long"
+
+
+def cut_files(spark, tmp_path):
+    rows = [(s, i, i * 40_000, float((i * 37 + s * 11) % 23), 0 if i < 17 else 1 if i < 18 + s else 2) for s in (1, 2) for i in range(40)]
+    df = spark.createDataFrame(rows, CUT)
+    for lo, hi in ((0, 13), (13, 30), (30, 40)):
+        df.where(F.col("pos").between(lo, hi - 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return df
+
+
+def results(spark, tmp_path, made, name):
+    q = made.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"c-{name}")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return {(r.stream_id, r.pos): r.out for r in spark.table(name).collect()}
+
+
+def test_folds_and_windows_start_anew_at_cuts(spark, tmp_path):
+    df = cut_files(spark, tmp_path)
+    source = lambda: tables.read_stream(spark, str(tmp_path / "in"), CUT)
+    got = results(spark, tmp_path, folds.fold(source(), folds.ema_step(0.3)), "ema_cuts")
+    want = {(r.stream_id, r.pos): r.ema for r in temporal.ema(df, 0.3).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+    got = results(spark, tmp_path, folds.centered(source(), 3, lambda around, i: sum(around) / len(around)), "mean_cuts")
+    mean = F.avg("value").over(streams.in_order(df).rowsBetween(-3, 3))
+    want = {(r.stream_id, r.pos): r.m for r in df.withColumn("m", mean).collect()}
+    assert all(math.isclose(v, want[k], abs_tol=1e-9) for k, v in got.items())
+    assert set(want) - set(got) == {(s, p) for s in (1, 2) for p in (37, 38, 39)}  # no row follows the last ones
+
+
 def test_rows_out_of_order_are_refused(spark, tmp_path):
     for p in (5, 3):
         spark.createDataFrame([(1, p, 0, 1.0)], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
