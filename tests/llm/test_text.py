@@ -364,3 +364,29 @@ def test_lookups_of_a_table_find_every_capture(spark):
     assert sorted(map(str, warc.looked_up(pages.select("url"), directory, index, archives).collect())) == want and len(want) == len(rows)
     some = pages.where("page_id = 1005").select("url").union(spark.createDataFrame([("http://nowhere.org/",)], "url string"))
     assert sorted(r.page_id for r in warc.looked_up(some, directory, index, archives).collect()) == list(range(1000, 1120))
+
+
+# --- long texts and clashing names, through Spark ---
+
+
+def test_very_long_texts(spark):
+    from loomtick.llm import neardup, quality
+
+    rng = random.Random(77)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(250_000)]
+    long = " ".join(words) + " mail me@example.org password=hunter2hunter"
+    near = " ".join(words[:-1]) + " mail me@example.org password=hunter2hunter"
+    rows = [(1, long), (2, near), (3, "short text only")]
+    docs = frame(spark, rows).withColumns({"n_email": F.lit("x"), "n_assign": F.lit("y"), "kept": F.lit(0), "class_id": F.lit(9), "ids": F.lit("z")})
+    found = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
+    assert [found[i].n_email for i in (1, 2, 3)] == [1, 1, 0]
+    found = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    assert [found[i].n_assign for i in (1, 2, 3)] == [1, 1, 0] and f"assign:{len(long) - 22}:{len(long)}" in found[1].spans
+    found = {r.doc_id: r for r in quality.quality(docs).collect()}
+    assert found[1].n_words == 250_003 and found[1].kept and found[3].base_failed
+    found = {r.doc_id: (r.class_id, r.n_links) for r in neardup.jaccard_join(docs).collect()}
+    assert found == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+    ids = {r.doc_id: r.ids for r in bpe.encode_documents(docs, P.path(MULTI_RANKS), P.PATTERN).collect()}
+    assert bpe.decode_ids(bpe.encoding(P.path(MULTI_RANKS), P.PATTERN), ids[1]).decode() == long
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://a.org/").alias("url"), F.col("text").alias("html"), F.lit("clash").alias("file"), F.lit(1).alias("offset"))
+    assert {r.page_id: r.payload_bytes for r in warc.round_trip(pages).collect()} == {i: len(t.encode()) for i, t in rows}
