@@ -59,9 +59,9 @@ def time_bases(spark, d):
     return C.time_base(_t(spark, d, "lineitem").select(F.col("l_suppkey").alias("stream_id"), den.cast("long").alias("den")), "den")
 
 
-@_query("SELECT vec_id, list_transform([0, 2, 4, 6, 16, 18, 20, 22, 32, 34, 36, 38, 48, 50, 52, 54], lambda i: embedding[i + 1]) AS small FROM embeddings")
+@_query("""WITH e AS (SELECT vec_id, unnest([0, 2, 4, 6, 16, 18, 20, 22, 32, 34, 36, 38, 48, 50, 52, 54]) AS i, unnest(range(0, 16)) AS place, embedding FROM embeddings) SELECT vec_id, place::INT AS place, embedding[i + 1] AS sample FROM e""")
 def thumbnails(spark, d):
-    return _t(spark, d, "embeddings").select("vec_id", C.thumbnail(F.col("embedding"), 8, 8, 4).alias("small"))
+    return _t(spark, d, "embeddings").select("vec_id", F.posexplode(C.thumbnail(F.col("embedding"), 8, 8, 4)).alias("place", "sample"))
 
 
 @_query("""SELECT p_partkey, coalesce(CASE WHEN p_partkey % 3 = 0 THEN 'bt2020' END, CASE WHEN p_partkey % 2 = 0 THEN 'smpte170m' END, 'bt709') AS primaries, coalesce(CASE WHEN p_partkey % 5 = 0 THEN 'pq' END, 'bt709') AS transfer,
