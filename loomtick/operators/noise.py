@@ -125,6 +125,71 @@ def shared_period(window: np.ndarray, low: float = 6.0, high: float = 16.0) -> t
     return period, float(found[0][1][at]), float(found[1][1][at])
 
 
+def box(x: np.ndarray, size: int) -> np.ndarray:
+    """Mean over a square of odd size, the border repeated outwards."""
+    for axis in (0, 1):
+        r = size // 2
+        line = np.cumsum(np.pad(np.pad(x, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="edge"), [(1, 0) if a == axis else (0, 0) for a in (0, 1)]), axis=axis)
+        n = x.shape[axis]
+        x = (np.take(line, np.arange(size, size + n), axis) - np.take(line, np.arange(n), axis)) / size
+    return x
+
+
+def spatial_floor(window: np.ndarray, temporal: float = 0.0) -> dict[str, float]:
+    """Spread of fine structure in the flat parts of the mean frame, and what of it does not flicker.
+
+    ``temporal`` is the spread of the noise from frame to frame; it averages out over the window.
+    """
+    mean = window.mean(0)
+    smooth = box(mean, 5)
+    slope = np.zeros(mean.shape)
+    slope[:, :-1] += np.abs(np.diff(smooth, axis=1))
+    slope[:-1] += np.abs(np.diff(smooth, axis=0))
+    usual = np.sort(slope, axis=None)[int(0.35 * (slope.size - 1))]
+    flat = slope < min(0.060, max(0.016, 1.5 * usual))
+    fine = np.sort(np.abs(mean - box(mean, 3))[flat])
+    spread = float(fine[len(fine) // 2] * CHANNEL / (NORMAL[0.50] * 0.9428)) if len(fine) >= 64 else 0.0
+    rest = temporal / math.sqrt(max(1, len(window) - 1))
+    return {"spatial_sigma": spread, "static_grain": math.sqrt(max(0.0, spread**2 - rest**2))}
+
+
+def _grid_evidence(step: np.ndarray, phase: int, period: int, tile: int) -> np.ndarray:
+    """Least step of a tile over the grid's lines in it, less the same half a period off; 0 at least."""
+    h, w = step.shape
+    padded = np.pad(step, ((0, -h % tile), (0, -w % tile)), mode="edge")
+    lines = padded.reshape(padded.shape[0] // tile, tile, -1, tile).mean(1)
+    least = lambda p: lines[..., p::period][..., : max(1, (tile - p) // period)].min(-1)
+    return np.maximum(least(phase) - least((phase + period // 2) % period), 0)
+
+
+def block_map(window: np.ndarray, period: int = 8, tile: int = 32, scale: float = 0.006, kept: float = 0.35, smooth: bool = True) -> np.ndarray:
+    """How blocky each sample's surroundings are, in [0, 1], over a window (frames, lines, columns).
+
+    The grid's phase is where steps are largest.  A tile counts what all of its grid lines
+    show on both axes, so that an edge, or a pattern along one axis, counts nothing.  Where
+    most of a frame is blocky, only what stands above its median keeps more than ``kept``.
+    """
+    h, w = window.shape[1:]
+    evidence = []
+    for axis in (2, 1):
+        step = np.abs(np.diff(window, axis=axis)).mean(0)
+        step = step if axis == 2 else step.T
+        whole = step[:, : step.shape[1] // period * period]
+        phase = int(whole.reshape(len(step), -1, period).mean((0, 1)).argmax()) if whole.size else 0
+        found = _grid_evidence(step, phase, period, tile)
+        evidence.append(found if axis == 2 else found.T)
+    th, tw = (min(e.shape[i] for e in evidence) for i in (0, 1))
+    both = np.sqrt(evidence[0][:th, :tw] * evidence[1][:th, :tw])
+    full = np.repeat(np.repeat(box(both, 3) if smooth else both, tile, 0), tile, 1)[:h, :w]
+    out = np.clip((box(full, tile + 1) if smooth else full) / scale, 0, 1)
+    order = np.sort(out, axis=None)
+    at = lambda q: order[int(q * (out.size - 1))]
+    if at(0.95) > 0.9 and (out > 0.5).mean() > 0.3 and at(0.25) > 0.2:
+        usual = order[out.size // 2]
+        out = np.minimum(out, kept + (1 - kept) * np.clip((out - usual) / max(1 - usual, 1e-6), 0, 1))
+    return out
+
+
 def windows(frames: DataFrame, names: list[str], measure, size: int = 13) -> DataFrame:
     """(stream_id, window, *names): ``measure`` of each run of ``size`` frames (stream_id, pos, height, width, pixels).
 

@@ -217,3 +217,38 @@ def test_planes_of_422():
     assert cr == [512, round(512 + 448 / 2), 512]
     red[0, 2], red[0, 3] = 0, [1, 0, 0]  # an odd one: a quarter at each side
     assert ((colour.planes_422(red, "bt601")[1] >> 6)[0, 1::2]).tolist() == [512, 512 + 112, 512 + 112]
+
+
+def test_block_map():
+    rng = np.random.default_rng(11)
+    y, x = np.mgrid[:160, :192]
+    blocks = rng.uniform(0.4, 0.6, (20, 24))[y // 8, x // 8]
+    clean = np.full((160, 192), 0.5) + rng.normal(0, 0.001, (160, 192))
+    half = np.where(x < 96, blocks, clean)
+    m = noise.block_map(np.stack([half, half]))
+    assert m.shape == half.shape and m[:, :60].mean() > 0.9 and m[:, 140:].mean() < 0.05
+    assert noise.block_map(np.stack([0.5 + 0.1 * ((x // 8) % 2)] * 2)).max() == 0  # along one axis
+    assert noise.block_map(clean[None]).max() < 0.2
+    whole = noise.block_map(blocks[None])  # all of it: kept down to the floor but for what stands out
+    assert np.median(whole) <= 0.36
+    step = np.abs(np.diff(half, axis=1))  # tile by tile, line by line
+    got = noise._grid_evidence(step, 7, 8, 32)
+    padded = np.pad(step, ((0, 0), (0, 1)), mode="edge")
+    for i in range(5):
+        for j in range(6):
+            tile = padded[32 * i : 32 * i + 32, 32 * j : 32 * j + 32].mean(0)
+            assert got[i, j] == pytest.approx(max(0, min(tile[7 + 8 * k] for k in range(3)) - min(tile[3 + 8 * k] for k in range(3))))
+
+
+def test_spatial_floor():
+    rng = np.random.default_rng(12)
+    grain = 0.5 + rng.normal(0, 0.01, (64, 64))
+    window = np.stack([grain] * 9)
+    found = noise.spatial_floor(window)
+    assert abs(found["spatial_sigma"] / (0.01 * noise.CHANNEL) - 1) < 0.15 and found["static_grain"] == found["spatial_sigma"]
+    moving = 0.5 + rng.normal(0, 0.03, (9, 64, 64))
+    found = noise.spatial_floor(moving, 0.03 * noise.CHANNEL)
+    assert found["static_grain"] < 0.5 * found["spatial_sigma"] + 0.01
+    x = rng.uniform(size=(7, 9))
+    want = np.array([[np.mean([x[min(max(i + a, 0), 6), min(max(j + b, 0), 8)] for a in (-1, 0, 1) for b in (-1, 0, 1)]) for j in range(9)] for i in range(7)])
+    assert np.allclose(noise.box(x, 3), want)
