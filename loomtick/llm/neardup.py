@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtick.llm.common import fresh, in_arrow, text_key, text_slices, written
+from loomtick.llm.common import discard, fresh, in_arrow, text_key, text_slices, written
 from loomtick.llm.graph import components
 
 WORDS = 5
@@ -151,7 +151,9 @@ def groups_of(shared: DataFrame, clusters: DataFrame, texts: DataFrame, block_te
     one = members.join(chosen.where("not split"), "cluster").select("key", F.col("cluster").alias("grp"), F.lit(None).cast("long").alias("band"), "n_blocks")
     split = buckets.join(chosen.where("split").select("cluster"), "cluster", "left_semi")
     many = rows.select("key", "cluster", "band").join(split.select("cluster", "band", "n_blocks"), ["cluster", "band"])
-    return written(one.unionByName(many.select("key", F.col("cluster").alias("grp"), "band", "n_blocks")), "groups")
+    groups = written(one.unionByName(many.select("key", F.col("cluster").alias("grp"), "band", "n_blocks")), "groups")
+    discard(members, rows, buckets, chosen)
+    return groups
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -271,7 +273,9 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     """(doc_id, key) of every row, and (key, first, n_copies, n_links, label) of every text; a class is a label."""
     rows = written(signatures(docs, *bands_for(threshold, recall, MAX_HASHES)), "signatures")
     texts = written(rows.groupBy("key").agg(F.first("bands").alias("bands"), F.max("n_chars").alias("n_chars"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_copies")), "texts")
-    links = written(verified_links(docs, groups_of(*candidates(texts), texts, block_texts), texts, threshold), "links")
+    groups = groups_of(*candidates(texts), texts, block_texts)
+    links = written(verified_links(docs, groups, texts, threshold), "links")
+    discard(groups)
     counts = links.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
     classes = components(links.where("b IS NOT NULL")).withColumnRenamed("node", "key")
     each = texts.select("key", "first", "n_copies").join(counts, "key", "left").join(classes, "key", "left")
