@@ -161,6 +161,7 @@ def measure(texts: list[str], min_repeat: int = MIN_REPEAT) -> dict[str, np.ndar
                 out[name][own] = np.bincount(doc[inside], minlength=stop)[own]
             np.maximum.at(out["longest_repeat"], doc, longest)
         start = stop
+    out["longest_repeat"][out["longest_repeat"] < WINDOW] = 0  # of texts that only may repeat five words
     return out
 
 
@@ -217,3 +218,21 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
             yield batch.filter(pa.array(~failed & ~bad))
 
     return docs.transform(in_arrow, run, docs.schema)
+
+
+#: Words in repeated substrings of ten words are those in ten-word windows that occur again; runs of repeated five-word windows at one distance give the longest.
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+t AS (SELECT rid, doc_id, text, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM d),
+l AS (SELECT rid, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT rid, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^ \t\x0B\f\r]') GROUP BY 1),
+g AS (SELECT rid, k, i, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM t, (VALUES (5), (10)) v(k))),
+r AS (SELECT rid, k, i, gram FROM (SELECT *, count(*) OVER (PARTITION BY rid, k, gram) AS c FROM g) WHERE c > 1),
+c AS (SELECT rid, k, count(DISTINCT i + s) AS n FROM r, range(0, 10) o(s) WHERE s < k GROUP BY 1, 2),
+p AS (SELECT a.rid, b.i - a.i AS gap, a.i - row_number() OVER (PARTITION BY a.rid, b.i - a.i ORDER BY a.i) AS run FROM r a JOIN r b ON a.rid = b.rid AND a.k = 5 AND b.k = 5 AND a.gram = b.gram AND a.i < b.i),
+m AS (SELECT rid, max(n) + 4 AS longest FROM (SELECT rid, gap, run, count(*) AS n FROM p GROUP BY 1, 2, 3) GROUP BY 1),
+q AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+ coalesce(c5.n, 0)::BIGINT AS n_repeat_words, coalesce(c10.n, 0)::BIGINT AS covered_words, coalesce(longest, 0)::BIGINT AS longest_repeat
+ FROM t LEFT JOIN l USING (rid) LEFT JOIN c c5 ON c5.rid = t.rid AND c5.k = 5 LEFT JOIN c c10 ON c10.rid = t.rid AND c10.k = 10 LEFT JOIN m ON m.rid = t.rid),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (covered_words > @C@ * n_words OR (longest_repeat > @R@ AND longest_repeat > @F@ * n_words)) AS kept, covered_words, longest_repeat FROM f
+""".replace("@C@", str(MAX_COVERED)).replace("@R@", str(MAX_REPEAT)).replace("@F@", str(MAX_REPEAT_FRACTION))
