@@ -318,3 +318,19 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
     kept = docs.groupBy(text_key(F.col("text").cast("string")).alias(name)).agg(F.min_by(F.struct(*docs.columns), order).alias(row))
     return kept.join(heads, F.col(name) == F.col("head"), "left_semi").select(f"{row}.*")
+
+
+#: All pairs that share a shingle; components by closure.  For small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS first, count(*) AS n_copies FROM documents GROUP BY 1),
+k AS (SELECT row_number() OVER (ORDER BY first, text) AS id, * FROM t),
+w AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM k),
+s AS (SELECT id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) ELSE [array_to_string(w, ' ')] END AS sh FROM w WHERE len(w) > 0),
+x AS (SELECT id, len(sh) AS n, unnest(sh) AS gram FROM s),
+l AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.gram = b.gram AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= @T@ * (a.n + b.n - count(*))),
+r AS (SELECT a, a AS b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT r.a AS id, min(k.first) AS class_id FROM r JOIN k ON k.id = r.b GROUP BY 1),
+n AS (SELECT a AS id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT d.doc_id, coalesce(c.class_id, k.first) AS class_id, k.n_copies, coalesce(n.n_links, 0)::BIGINT AS n_links
+FROM documents d JOIN k ON k.text = coalesce(d.text, '') LEFT JOIN c USING (id) LEFT JOIN n USING (id)
+""".replace("@T@", str(THRESHOLD))

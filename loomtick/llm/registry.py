@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontam.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op9_quality": quality.ORACLE_SQL, "op10_line_dedup": lines.ORACLE_SQL}
+    return {"op3_decontamination": decontam.ORACLE_SQL, "op4_jaccard_join": neardup.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op9_quality": quality.ORACLE_SQL, "op10_line_dedup": lines.ORACLE_SQL}
