@@ -220,7 +220,7 @@ MEASURES = {
 
 
 def _rules(m) -> list[tuple[str, Column, bool]]:
-    """(label, rule, whether it also warns), in the order of the report."""
+    """(label, rule, whether it also warns), in the order of the report; labels and limits are fixed values."""
     dense = (m("static_fraction") <= 0.06) & (m("density_p90") >= 0.55) & (m("tail5_p90") >= 0.045)
     by_motion = (m("mc_sigma") > 0) & (m("mc_sigma") <= 0.12)
     by_flat = (m("flat_thr") <= 0.045) & (m("flat_sigma") <= 0.12)
