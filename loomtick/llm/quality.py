@@ -22,7 +22,7 @@ WINDOW = 5
 #: Repeated substrings from this many words on count as covered.
 MIN_REPEAT = 10
 #: Largest covered fraction of the words (below the fifth that windows of five words may repeat), and longest repeated substring in words and as a fraction of the text.
-MAX_COVERED = 0.1
+MAX_COVERED = 0.15
 MAX_REPEAT = 60
 MAX_REPEAT_FRACTION = 0.05
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
