@@ -68,6 +68,11 @@ def _r(c, n: int = 6):
     return F.round(c, n)
 
 
+def _scaled(c, n: int):
+    """Rounded as DuckDB does: Spark's round takes a number's shortest decimals, DuckDB's the number times a power of ten."""
+    return F.round(F.col(c) * 10.0**n) / 10.0**n
+
+
 
 def _sync():
     return F.col("event_type") == "purchase"
@@ -280,7 +285,7 @@ l AS (SELECT a.stream_id, a.pos, a.q, list(b.q) AS w FROM q a JOIN q b ON a.stre
 SELECT stream_id, pos, round(list_sum(list_transform([1, 2], lambda i: list_sum(list_transform(w, lambda v: v[i])) / len(w) - q[i])) / 2, 5) + 0.0 AS shift FROM l""")
 def level_cuts(spark, d):
     s = _cut(spark, d).withColumn("q", F.array("value", F.col("value") * F.col("value") / 500))
-    return T.level(s, "q", 5).select("stream_id", "pos", (_r("shift", 5) + 0.0).alias("shift"))
+    return T.level(s, "q", 5).select("stream_id", "pos", (_scaled("shift", 5) + 0.0).alias("shift"))
 
 
 @_query("""WITH RECURSIVE {S}, {CUTS}, e AS (SELECT stream_id, pos, value AS ema FROM x WHERE pos = 0 UNION ALL SELECT x.stream_id, x.pos, CASE WHEN x.cut THEN x.value ELSE 0.3 * x.value + 0.7 * e.ema END FROM e JOIN x ON x.stream_id = e.stream_id AND x.pos = e.pos + 1)

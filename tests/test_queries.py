@@ -2,6 +2,8 @@
 
 import math
 import os
+import random
+from datetime import datetime, timedelta
 
 import duckdb
 import pytest
@@ -40,3 +42,14 @@ def test_query(spark, con, name):
     assert len(rows) == len(want)
     wrong = [(a, b) for a, b in zip(rows, want, strict=True) if not all(map(same, a, b))]
     assert not wrong, wrong[:3]
+
+
+def test_level_cuts_rounds_ties_as_its_sql_does(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, datetime(2024, 1, 1) + timedelta(minutes=i), i % 20, "view", rng.randrange(800) / 4, "{}") for i in range(2000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    one = duckdb.connect(config={"threads": 1})  # with more, its lists may come in another order
+    one.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = {r[:2]: r[2] for r in one.execute(f"SELECT stream_id, pos, shift FROM ({registry.SQL['level_cuts']})").fetchall()}
+    got = {r[:2]: r[2] for r in map(tuple, registry.QUERIES["level_cuts"](spark, str(tmp_path)).select("stream_id", "pos", "shift").collect())}
+    assert got == want and len(got) == 2000
