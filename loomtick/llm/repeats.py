@@ -11,7 +11,10 @@ phrase's strings reach).
    once in the corpus hold no repeat.  A hash decides this: it can only keep too many.
 2. A phrase that occurs again together with its whole continuation (by 128 bits of
    BLAKE2) is repeated at all its places.
-3. For the others, the two suffix arrays are made.  The dictionary's suffixes that
+3. The other phrases' places are classed by their distance to the trigger.  All strings
+   of a class share most of their bytes, and a class whose shared bytes occur once,
+   again by a hash, holds no repeat.
+4. For the classes left, the two suffix arrays are made.  The dictionary's suffixes that
    end at a trigger are ordered by their reversed bytes, and the parse's suffixes by
    theirs, each as far as a string reaches, by a distributed sort.  The longest common
    prefixes of neighbours, taken on the bytes, give for each depth the interval of the
@@ -29,7 +32,7 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +49,12 @@ REACH = 160
 CORE = 160
 #: A trigger is a hash with so many leading zero bits: phrases of 128 bytes, then finer ones where none is in reach.
 TRIGGERS = (7, 5, 2)
+#: Classes of a phrase's places by their distance to the trigger.
+CLASSES = 4
 #: Bytes taken at a time.
 PIECE = 1 << 20
+#: Bytes of short texts taken together: few enough for the processor's cache.
+JOINED = 1 << 16
 
 
 def reach_of(length: int) -> int:
@@ -61,6 +68,11 @@ def core_of(length: int) -> int:
     return min(CORE, length - reach_of(length) + 1)
 
 
+def class_of(length: int) -> int:
+    """Distances of a class: its strings share all but that many bytes, less one."""
+    return -(-reach_of(length) // CLASSES)
+
+
 @functools.lru_cache(maxsize=2)
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For a polynomial hash: byte values, powers of the base, and powers of its inverse."""
@@ -131,6 +143,68 @@ def text_phrases(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
         yield _mixed(piece.hash(t, t + core_of(length))).view(np.int64), t + a, lo + a, hi + a
 
 
+def joined_phrases(texts: Iterable[bytes], length: int) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...]]]:
+    """The number of its text and (core, trigger, low, high) of each phrase of whole texts; short ones are taken together.
+
+    A trigger and all that it depends on lie within the strings before it, so what
+    follows a text's end changes nothing.
+    """
+    reach, held, first, size = reach_of(length), [], 0, 0
+
+    def together() -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        sizes = np.array([len(x) for x in held])
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        inside = np.zeros(size + 1, np.int8)
+        np.add.at(inside, starts[sizes >= length], 1)
+        np.add.at(inside, ends[sizes >= length] - length + 1, -1)
+        piece = Piece(np.frombuffer(b"".join(held), np.uint8))
+        t, lo, hi = phrases(piece, np.flatnonzero(np.cumsum(inside[:-1])), reach)
+        of = np.searchsorted(ends, lo, side="right")
+        at = starts[of]
+        return of + first, (_mixed(piece.hash(t, t + core_of(length))).view(np.int64), t - at, lo - at, hi - at)
+
+    i = -1
+    for i, data in enumerate(texts):
+        if held and size + len(data) > JOINED:
+            yield together()
+            held, size, first = [], 0, i
+        if len(data) > JOINED:
+            for found in text_phrases(data, length):
+                yield np.full(len(found[0]), i), found
+            first = i + 1
+            continue
+        held.append(data)
+        size += len(data)
+    if held:
+        yield together()
+
+
+def class_hashes(data: bytes, t: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> list[np.ma.MaskedArray]:
+    """For each class, a hash of what its strings of each phrase (t, lo, hi) share; masked where a phrase has no place of the class."""
+    array, step = np.frombuffer(data, np.uint8), class_of(length)
+    size = length - step + 1
+    start = t - np.arange(CLASSES)[:, None] * step
+    use = (start >= lo) & (start - step < hi)
+    h = np.zeros(start.shape, np.uint64)
+    for k in range(0, len(data), PIECE):
+        of = use if len(data) <= PIECE else use & (start >= k) & (start < k + PIECE)
+        at = start[of] - k
+        h[of] = Piece(array[k : k + PIECE + size]).hash(at, at + size)
+    h = (_mixed(h) + np.arange(CLASSES, dtype=np.uint64)[:, None]).view(np.int64)
+    return [np.ma.MaskedArray(a, ~b) for a, b in zip(h, use, strict=True)]
+
+
+def packed_places(t: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A phrase's trigger with its distances to the first and last place, which are under 256, as one long."""
+    return t << 16 | t - lo << 8 | t - hi
+
+
+def unpacked_places(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    t = place >> 16
+    return t, t - (place >> 8 & 255), t - (place & 255)
+
+
 def _halves(key: Column) -> list[Column]:
     """A 16-byte key as two longs, which stay small in every row."""
     as_long = lambda a: F.conv(F.hex(F.substring(key, a, 8)), 16, -10).cast("long")
@@ -141,23 +215,22 @@ def _parsed(rows: DataFrame, length: int) -> DataFrame:
     """The phrases of (k1, k2, text): a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "core", "t", "lo", "hi"]
+        names = ["k1", "k2", "core", "place"]
         packed = lambda parts: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
         for batch in batches:
             parts: list[list[np.ndarray]] = []
             size = 0
-            for k1, k2, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for found in text_phrases(value.as_buffer().to_pybytes(), length):
-                    n = len(found[0])
-                    parts.append([np.full(n, k1), np.full(n, k2), *found])
-                    size += n
-                    if size > 200_000:
-                        yield packed(parts)
-                        parts, size = [], 0
+            k1, k2 = (batch.column(i).to_numpy() for i in range(2))
+            for of, (core, *found) in joined_phrases((value.as_buffer().to_pybytes() for value in batch.column(2)), length):
+                parts.append([k1[of], k2[of], core, packed_places(*found)])
+                size += len(of)
+                if size > 200_000:
+                    yield packed(parts)
+                    parts, size = [], 0
             if parts:
                 yield packed(parts)
 
-    return rows.transform(in_arrow, run, "k1 long, k2 long, core long, t long, lo long, hi long")
+    return rows.transform(in_arrow, run, "k1 long, k2 long, core long, place long")
 
 
 def _short(data: bytes) -> bytes:
@@ -175,29 +248,32 @@ def _emitted(rows: Iterator[tuple], names: list[str], types: list[pa.DataType],
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
 
+HASHES = [f"h{j}" for j in range(CLASSES)]
+
+
 def _whole(rows: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, copied, t, lo, hi, core, w1, w2): w1 and w2 stand for each kept phrase of (k1, k2, copied, text, phrases) with all that its strings reach."""
-    names = ["k1", "k2", "copied", "t", "lo", "hi", "core", "w1", "w2"]
+    """(k1, k2, copied, t, lo, hi, w1, w2, h0 ...): w1 and w2 stand for each kept phrase of (k1, k2, copied, text, phrases) with all that its strings reach, h0 and so on for what its classes share."""
+    names = ["k1", "k2", "copied", "t", "lo", "hi", "w1", "w2", *HASHES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = hashlib.blake2b
         for batch in batches:
             for k1, k2, copied, text, found in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4), strict=True):
                 data = text.as_buffer().to_pybytes()
-                t, lo, hi, core = (found.values.field(i).to_numpy() for i in range(4))
+                t, lo, hi = unpacked_places(found.values.to_numpy())
                 # the length of the phrase goes into the hash by way of its key
                 named = b"".join([digest(data[a:b], digest_size=16, key=c).digest() for a, b, c in zip(lo.tolist(), (hi + length).tolist(), [(x + 1).to_bytes(4) for x in (t - lo).tolist()], strict=True)])
                 two = np.frombuffer(named, "<i8").reshape(-1, 2)
                 n = len(t)
-                columns = [np.full(n, k1), np.full(n, k2), np.full(n, copied), t, lo, hi, core, two[:, 0].copy(), two[:, 1].copy()]
+                columns = [np.full(n, k1), np.full(n, k2), np.full(n, copied), t, lo, hi, two[:, 0].copy(), two[:, 1].copy(), *class_hashes(data, t, lo, hi, length)]
                 for i in range(0, n, 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], names)
 
-    return rows.transform(in_arrow, run, "k1 long, k2 long, copied boolean, t long, lo long, hi long, core long, w1 long, w2 long")
+    return rows.transform(in_arrow, run, "k1 long, k2 long, copied boolean, t long, lo long, hi long, w1 long, w2 long, " + ", ".join(f"{h} long" for h in HASHES))
 
 
 def _contexts(rows: DataFrame, length: int) -> DataFrame:
-    """What stands on both sides of the trigger of chosen phrases of (k1, k2, text, phrases).
+    """What stands on both sides of the trigger of chosen phrases of (k1, k2, text, classes of phrases).
 
     left is the phrase from the trigger backwards, right the text from the trigger on as
     far as the phrase's strings reach; lh and rh name them.
@@ -209,7 +285,11 @@ def _contexts(rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for k1, k2, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 data = text.as_buffer().to_pybytes()
-                for t, lo, hi, open_ in zip(*(found.values.field(i).to_pylist() for i in range(4)), strict=True):
+                spans: dict[int, tuple[int, int, bool]] = {}
+                for t, lo, hi, open_ in zip(*(found.values.field(i).to_pylist() for i in range(4)), strict=True):  # a row for each class
+                    a, b, _ = spans.get(t, (lo, hi, open_))
+                    spans[t] = min(a, lo), max(b, hi), open_
+                for t, (lo, hi, open_) in spans.items():
                     left, right = data[lo:t][::-1], data[t : hi + length]
                     yield k1, k2, t, lo, hi, open_, _short(left), _short(right), left, right
 
@@ -361,17 +441,22 @@ def _places(rows: DataFrame, length: int, left_carry: dict, right_carry: dict) -
 def _repeats_of(texts: DataFrame, length: int) -> DataFrame:
     """(k1, k2, lo, hi): first to last start of repeated strings, phrase by phrase, of (k1, k2, copied, text, phrases); none of copied texts, which go as a whole."""
     whole = written(_whole(texts, length), "whole-phrases")
-    one = F.min(F.struct("k1", "k2", "t", "lo", "hi")).alias("one")
-    kinds = whole.groupBy("w1", "w2").agg((F.count(F.lit(1)) + F.max(F.col("copied").cast("long"))).alias("n"), F.first("core").alias("core"), one)
+    one = [F.first(c).alias(c) for c in ("k1", "k2", "t", "lo", "hi", *HASHES)]  # all of one row, without the sort that a struct would take
+    kinds = whole.groupBy("w1", "w2").agg((F.count(F.lit(1)) + F.max(F.col("copied").cast("long"))).alias("n"), *one)
     kinds = written(kinds, "kinds")
-    twice = kinds.where("n > 1").select("w1", "w2")
+    twice = kinds.where("n > 1").select("w1", "w2").hint("shuffle_hash")
     repeated = written(whole.where("not copied").select("k1", "k2", "lo", "hi", "w1", "w2").join(twice, ["w1", "w2"], "left_semi").select("k1", "k2", "lo", "hi"), "repeated")
     discard(whole)
-    # one phrase of each kind goes on, if one that is still open shares its core
-    open_cores = written(kinds.where("n = 1").groupBy("core").agg(F.lit(1)).select("core"), "open-cores")
-    met = kinds.join(open_cores, "core", "left_semi").select("one.*", (F.col("n") == 1).alias("open"))
-    met = written(met.groupBy("k1", "k2").agg(F.collect_list(F.struct("t", "lo", "hi", "open")).alias("met")), "met-lists")
-    discard(kinds, open_cores)
+    # one phrase of each kind goes on, with the classes that meet another kind's; one of the two is still open
+    step = class_of(length)
+    classes = kinds.select("k1", "k2", "t", "lo", "hi", (F.col("n") == 1).alias("open"), F.posexplode(F.array(*HASHES)).alias("j", "h")).where("h is not null")
+    shared = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("open").cast("long")).alias("open")).where("n > 1 and open > 0")
+    shared = written(shared.select("h"), "shared-classes")
+    near = F.col("t") - F.col("j") * step
+    own = F.struct("t", F.greatest("lo", near - (step - 1)).alias("lo"), F.least("hi", near).alias("hi"), "open")
+    met = classes.join(shared.hint("shuffle_hash"), "h", "left_semi").select("k1", "k2", own.alias("own"))
+    met = written(met.groupBy("k1", "k2").agg(F.collect_list("own").alias("met")), "met-lists")
+    discard(kinds, shared)
     met_texts = texts.select("k1", "k2", "text").join(met, ["k1", "k2"]).select("k1", "k2", "text", "met")
     before, met = met, written(_contexts(met_texts, length), "met-phrases")
     discard(before)
@@ -380,11 +465,12 @@ def _repeats_of(texts: DataFrame, length: int) -> DataFrame:
     right, right_carry = _ordered(strings("rh", "right"), "parse-order")
     side = lambda df, x: df.select(F.col("h").alias(x + "h"), F.col("most").alias(x + "_most"), F.col("depths").alias(x + "_depths"), F.col("intervals").alias(x + "_in"))
     both = met.drop("left", "right").join(side(left, "l"), "lh").join(side(right, "r"), "rh")
-    rows = both.select("k1", "k2", "t", "lo", "hi", "open", "l_most", "l_depths", "l_in", "r_most", "r_depths", "r_in")
+    some = F.greatest(F.col("t") - F.col("hi"), length - F.col("r_most")) <= F.least(F.col("t") - F.col("lo"), "l_most")
+    rows = both.where(some).select("k1", "k2", "t", "lo", "hi", "open", "l_most", "l_depths", "l_in", "r_most", "r_depths", "r_in")
     places = written(_places(rows, length, left_carry, right_carry), "places")
     discard(met, left, right)
     again = written(places.groupBy("a", "b", "d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "d"), "intervals")
-    single = places.where("open").join(again, ["a", "b", "d"], "left_semi").select("k1", "k2", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    single = places.where("open").join(again.hint("shuffle_hash"), ["a", "b", "d"], "left_semi").select("k1", "k2", F.col("p").alias("lo"), F.col("p").alias("hi"))
     single = written(single, "repeated")
     discard(places, again)
     return repeated.unionByName(single)
@@ -417,16 +503,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fal
     long_enough = texts.where(F.octet_length("text") >= length)
     parsed = written(_parsed(long_enough, length), "phrases")
     cores = written(parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "cores")
-    kept = parsed.join(cores, "core", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("t", "lo", "hi", "core")).alias("phrases"))
+    kept = parsed.join(cores.hint("shuffle_hash"), "core", "left_semi").groupBy("k1", "k2").agg(F.collect_set("place").alias("phrases"))
     kept = written(kept, "kept-phrases")
     discard(parsed, cores)
     one = long_enough.groupBy("k1", "k2").agg(F.first("text").alias("text"), (F.count(F.lit(1)) > 1).alias("copied"))
     found = written(one.join(kept, ["k1", "k2"]).select("k1", "k2", "copied", "text", "phrases"), "kept-texts")
     places = _repeats_of(found, length)
     discard(found)
-    starts = places.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("starts"))
-    passages = kept.select("k1", "k2", F.transform("phrases", lambda p: p["t"]).alias("cores"))
-    lists = written(passages.join(starts, ["k1", "k2"], "left"), "starts")
+    starts = places.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
+    lists = written(kept.withColumnRenamed("phrases", "cores").join(starts, ["k1", "k2"], "left"), "starts")
     discard(kept)
     every = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"), (F.count(F.lit(1)) > 1).alias("copied")).join(lists, ["k1", "k2"], "left")
     core = core_of(length)
@@ -444,7 +529,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fal
                     parts.append(data[at:a])
                     at = b
                 left = b"".join([*parts, data[at:]])
-                passage = sum(b - a for a, b in removed_spans([(t, t) for t in cores.values.to_pylist()], core)) if cores.is_valid else 0
+                passage = sum(b - a for a, b in removed_spans([(t, t) for t in unpacked_places(cores.values.to_numpy())[0].tolist()], core)) if cores.is_valid else 0
                 yield k1, k2, len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), passage, ",".join(f"{a}:{b}" for a, b in spans), left if keep_text else None
 
     names = ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage", "spans", "kept"]

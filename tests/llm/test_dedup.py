@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,57 @@ def test_passages_too_short_to_go_are_reported(spark):
     assert got == {0: (0, True), 1: (0, True), 2: (0, True), 9: (0, False)}
 
 
+def test_only_places_that_share_enough_are_sorted(spark, monkeypatch):
+    rng = random.Random(15)
+    short, long = prose(rng, 60)[:350], prose(rng, 120)[:600]
+    around = lambda x: prose(rng, 80) + " " + x + " " + prose(rng, 80)
+    sorted_, before = [], repeats._contexts
+
+    def counted(rows, length):
+        out = before(rows, length)
+        sorted_.append(sum((r.hi - r.lo + 1 for r in out.collect()), 0))
+        return out
+
+    monkeypatch.setattr(repeats, "_contexts", counted)
+    removed = [sum(r.n_removed for r in repeats.without_repeats(frame(spark, [(i, around(x)) for i in range(6)])).collect()) for x in (short, long)]
+    assert removed[0] == 0 and removed[1] >= 6 * 600
+    assert sorted_[0] == 0 < sorted_[1]
+
+
+def test_texts_taken_together_agree_with_each(monkeypatch):
+    rng = random.Random(16)
+    texts = [prose(rng, rng.choice([0, 1, 50, 90, 300])).encode() for _ in range(60)] + [b"a" * 399, b"a" * 400, b"b" * 3000, b""]
+    rng.shuffle(texts)
+    want = sorted((i, *map(int, x)) for i, text in enumerate(texts) for c in repeats.text_phrases(text, 400) for x in zip(*c, strict=True))
+    for size in (1, 700, 5000, 1 << 20):
+        monkeypatch.setattr(repeats, "JOINED", size)
+        got = [tuple(map(int, x)) for of, c in repeats.joined_phrases(texts, 400) for x in zip(of, *c, strict=True)]
+        assert sorted(got) == want
+    t, lo, hi = (np.array(c) for c in zip(*(x[2:] for x in want), strict=True))
+    assert [x.tolist() for x in repeats.unpacked_places(repeats.packed_places(t, lo, hi))] == [t.tolist(), lo.tolist(), hi.tolist()]
+
+
+def test_classes_share_what_their_strings_share(monkeypatch):
+    rng = random.Random(17)
+    for length in (64, 100, 400, 2000):
+        passage = prose(rng, 700).encode()[:4000]
+        data = [prose(rng, 20).encode() + passage + prose(rng, 20).encode() for _ in range(2)]
+        found, step = [], repeats.class_of(length)
+        for piece in (1 << 20, 512):
+            monkeypatch.setattr(repeats, "PIECE", piece)
+            each = []
+            for text in data:
+                t, lo, hi = (np.concatenate(c) for c in list(zip(*repeats.text_phrases(text, length), strict=True))[1:])
+                hashes = repeats.class_hashes(text, t, lo, hi, length)
+                places = {p: (d := int(a - p), hashes[d // step][i]) for i, (a, b, c) in enumerate(zip(t, lo, hi, strict=True)) for p in range(b, c + 1)}
+                assert len(places) == len(text) - length + 1 and not any(h is np.ma.masked for _, h in places.values())
+                each.append({text[p : p + length]: x for p, x in places.items()})
+            found.append(each)
+            both = each[0].keys() & each[1].keys()
+            assert len(both) >= 4000 - length + 1 and all(each[0][s] == each[1][s] for s in both)
+        assert [[sorted(x.values()) for x in e] for e in found][0] == [[sorted(x.values()) for x in e] for e in found][1]
+
+
 def test_repeats_parts_agree_with_whole(monkeypatch):
     rng = random.Random(9)
     data = prose(rng, 900).encode() + b"a" * 2000
